@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duskwatch.llm import fingerprints, packing, token_counts
+from duskwatch.llm import fingerprints, near_dup, packing, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": packing.query,
         "op2_token_counts": token_counts.query,
         "op9_fingerprints": fingerprints.query,
+        "op10_near_duplicates": near_dup.query,
     }
 
 
