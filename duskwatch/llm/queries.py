@@ -6,17 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duskwatch.llm import fingerprints, near_dup, packing, token_counts
+from duskwatch.llm import fingerprints, near_dup, packing, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.query,
         "op2_token_counts": token_counts.query,
+        "op5_warc": warc.query,
         "op9_fingerprints": fingerprints.query,
         "op10_near_duplicates": near_dup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": warc.SQL}
