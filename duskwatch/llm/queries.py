@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duskwatch.llm import fingerprints, near_dup, packing, token_counts, warc
+from duskwatch.llm import fingerprints, licenses, near_dup, packing, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.query,
         "op2_token_counts": token_counts.query,
+        "op3_license_scans": licenses.query,
         "op5_warc": warc.query,
         "op9_fingerprints": fingerprints.query,
         "op10_near_duplicates": near_dup.query,
@@ -20,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.SQL}
+    return {"op3_license_scans": licenses.SQL, "op5_warc": warc.SQL}
