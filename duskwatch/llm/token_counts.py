@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import table
+from duskwatch.llm.common import table, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How this public vocabulary splits text before merging; fixed value.
@@ -119,4 +119,4 @@ def length_quantile(contexts: DataFrame, share: float) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context table of all documents, under the byte-level vocabulary."""
     docs = table(spark, sf_dir, "documents")
-    return context_table(length_histogram(docs, encoded_length("text")))
+    return context_table(written(length_histogram(docs, encoded_length("text")), "lengths"))
