@@ -3,7 +3,8 @@
 A text is made canonical (Unicode NFKC, case folding, white space runs to one blank, ends trimmed)
 and its UTF-8 bytes get a 128-bit xxhash digest.  Rows are grouped by digest; only inside digests
 that occur more than once are the canonical bytes themselves compared, by grouping on them, so a
-collision of digests can never join two different documents.
+collision of digests cannot join two different documents.  (Rows then find their group by digest and
+a second, unrelated hash of the bytes, so that the bytes are shuffled once.)
 
 The operator also compares each document with its successor by id and with an edited text made of
 both.  For that, rows are dealt to ranges of ids (bounds from approximate quantiles); the first
@@ -139,8 +140,9 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     walked = dealt.unionByName(marks).repartition(n, "bucket").sortWithinPartitions("bucket", "copy", "key", "kind", "text").mapInPandas(_walk, _WALKED)
     walked = written(walked, "fingerprints")
     groups = walked.where("canon is not null").groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = groups.select("fingerprint", F.xxhash64("canon").alias("check"), "group_id", "group_size")
     single = walked.where("canon is null").drop("canon").select("*", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"))
-    several = walked.where("canon is not null").join(groups, ["fingerprint", "canon"]).select(*single.columns)
+    several = walked.where("canon is not null").withColumn("check", F.xxhash64("canon")).drop("canon").join(groups, ["fingerprint", "check"]).select(*single.columns)
     return single.unionByName(several)
 
 

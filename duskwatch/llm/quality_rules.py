@@ -1,7 +1,7 @@
 """Quality rules: surface counts, and a hashed n-gram log-likelihood ratio.
 
 A text is read as tokens: white-space separated, with runs of two or more capitals written as one
-mark and runs of symbols or of exclamation marks split off as marks of their own.  Its n-grams are
+mark and runs of symbols or of exclamation marks split off as another.  Its n-grams are
 the tokens and the pairs of neighbours; a pair of equal neighbours is one n-gram of its own, whatever
 the token.  N-grams are hashed into ``BUCKETS`` buckets, and two multinomials over the buckets are
 counted with add-one smoothing: one over trusted documents, one over the whole raw corpus.  A
@@ -32,7 +32,7 @@ TRUSTED_ROWS = 20_000
 MIN_SCORE = -0.5
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-_CAPITALS, _SYMBOL_RUN, _BANGS = "\x01", "\x02", "\x03"
+_CAPITALS, _MARK = "\x01", "\x02"
 
 
 def words(text: Column | str) -> Column:
@@ -52,13 +52,12 @@ def surface_counts(docs: DataFrame, text: str = "text", keep: list[str] = ()) ->
     a = docs.select(
         *keep,
         words(text).alias("_w"),
-        F.length(F.regexp_replace(t, SPACE, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         lines.alias("_lines"),
     )
     n = F.size("_w")
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    a = a.select(*keep, n.cast("long").alias("n_words"), "word_chars", "n_symbols", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), windows.alias("_h"))
+    a = a.select(*keep, n.cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), "n_symbols", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), windows.alias("_h"))
     a = a.withColumn("_sorted", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.array_sort(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     twice = F.filter("_sorted", lambda x, k: (x["h"] == F.get("_sorted", k - 1)["h"]) | (x["h"] == F.get("_sorted", k + 1)["h"]))
     a = a.withColumn("_at", F.array_sort(F.transform(twice, lambda x: x["i"])))
@@ -75,18 +74,24 @@ def tokens(text: Column | str) -> Column:
     """The tokens of a text as described above."""
     t = F.coalesce(text, F.lit(""))
     t = F.regexp_replace(t, r"\p{Lu}{2,}", _CAPITALS)
-    t = F.regexp_replace(t, r"[#*$%&|<>]+", f" {_SYMBOL_RUN} ")
-    t = F.regexp_replace(t, "!{2,}", f" {_BANGS} ")
+    t = F.regexp_replace(t, rf"[{SYMBOLS}]+|!{{2,}}", f" {_MARK} ")
     return F.array_remove(F.split(t, SPACE), "")
 
 
-def buckets(tokens: Column | str, n: int = BUCKETS) -> Column:
-    """The bucket of every n-gram of a token array."""
-    size = F.size(tokens)
-    single = F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(n)).cast("int"))
-    pair = lambda x, y: F.pmod(F.when(x == y, F.xxhash64(F.lit("="), F.lit("="))).otherwise(F.xxhash64(x, y)), F.lit(n)).cast("int")
-    pairs = F.when(size > 1, F.zip_with(F.slice(tokens, F.lit(1), size - 1), F.slice(tokens, F.lit(2), size - 1), pair)).otherwise(F.array().cast("array<int>"))
-    return F.concat(single, pairs)
+def _single(w: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(w), F.lit(n)).cast("int")
+
+
+def _pair(x: Column, y: Column, n: int) -> Column:
+    return F.pmod(F.when(x == y, F.lit(0).cast("long")).otherwise(F.xxhash64(x, y)), F.lit(n)).cast("int")
+
+
+def _but_last(tokens: Column | str) -> Column:
+    return F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0)))
+
+
+def _but_first(tokens: Column | str) -> Column:
+    return F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
 
 
 def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
@@ -98,7 +103,9 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
 def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = BUCKETS) -> list[float]:
     """The log ratio trusted : raw of every bucket; n numbers, whatever the corpus."""
     marked = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("t")).join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
-    counts = marked.select("good", F.explode(buckets("t", n)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good"))
+    neighbours = marked.select("good", F.inline(F.arrays_zip(F.col("t").alias("x"), _but_first("t").alias("y"))))
+    grams = neighbours.select("good", F.explode(F.array(_single(F.col("x"), n), F.when(F.col("y").isNotNull(), _pair(F.col("x"), F.col("y"), n)))).alias("bucket"))
+    counts = grams.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good"))
     spark = docs.sparkSession
     full = spark.range(n).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
     totals = full.agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"))
@@ -110,8 +117,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text
 def ratio_score(tokens: Column | str, ratios: list[float]) -> Column:
     """Mean log ratio of a token array's n-grams (0 without n-grams)."""
     looked_up = F.from_json(F.lit(json.dumps([round(r, 9) for r in ratios])), "array<double>")
-    grams = buckets(tokens, len(ratios))
-    total = F.aggregate(grams, F.lit(0.0), lambda s, b: s + F.get(looked_up, b))
+    n = len(ratios)
+    single = F.aggregate(tokens, F.lit(0.0), lambda s, w: s + F.get(looked_up, _single(w, n)))
+    pairs = F.zip_with(_but_last(tokens), _but_first(tokens), lambda x, y: F.get(looked_up, _pair(x, y, n)))
+    total = single + F.aggregate(pairs, F.lit(0.0), lambda s, r: s + r)
     return F.when(F.size(tokens) > 0, total / F.greatest(2 * F.size(tokens) - 1, F.lit(1))).otherwise(0.0)
 
 

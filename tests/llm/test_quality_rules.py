@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from duskwatch.llm import quality_rules as q
+from duskwatch.llm.common import written
 
 
 def brute(text):
@@ -47,9 +48,9 @@ def test_scores_follow_the_formula(docs_of, spark):
         return bucket[gram]
 
     def grams(tokens):
-        return [of(t) for t in tokens] + [of("=", "=") if x == y else of(x, y) for x, y in zip(tokens, tokens[1:])]
+        return [of(t) for t in tokens] + [0 if x == y else of(x, y) for x, y in zip(tokens, tokens[1:])]
 
-    tokens = {1: ["a", "b", "a"], 2: ["B!", "\x01", "\x03", "\x02", "c"], 3: ["a", "a", "a"], 4: []}
+    tokens = {1: ["a", "b", "a"], 2: ["B!", "\x01", "\x02", "\x02", "c"], 3: ["a", "a", "a"], 4: []}
     raw, good = Counter(g for t in tokens.values() for g in grams(t)), Counter(grams(tokens[1]))
     ratio = lambda b: math.log((good[b] + 1) / (good.total() + n)) - math.log((raw[b] + 1) / (raw.total() + n))
     want = {i: sum(map(ratio, grams(t))) / max(1, len(grams(t))) for i, t in tokens.items()}
@@ -59,7 +60,7 @@ def test_scores_follow_the_formula(docs_of, spark):
 
 def test_labelled_documents_are_told_apart(spark):
     d = "/root/testdata/sf0.01"
-    out = q.query(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed")
+    out = written(q.query(spark, d), "rules").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed")
     assert out.where("quality = 1 and not kept").count() == 0
     assert out.where("quality = 0 and kept").count() == 0
 
