@@ -46,9 +46,9 @@ BLOCK = 512
 _CHUNK_BYTES = 2_000_000
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of (id, text) of about _CHUNK_BYTES of text; a longer text is alone."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), dtype=np.int64)
+def _chunks(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about _CHUNK_BYTES of text (column ``text``); a longer text is alone."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
     group = np.cumsum(sizes) // _CHUNK_BYTES
     cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(sizes) else []
     for a, b in zip(cuts, [*cuts[1:], len(sizes)]):
@@ -90,7 +90,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text:
                     ["cls", "n", "grams"],
                 )
 
-    wanted = docs.select(F.col(doc_id).cast("bigint").alias("cls"), F.col(text).cast("string").alias("text")).join(ids, "cls", "left_semi")
+    wanted = docs.select(F.col(doc_id).cast("bigint").alias("cls"), F.col(text).cast("string").alias("text")).join(ids.hint("merge"), "cls", "left_semi")
     return wanted.mapInArrow(shingle, "cls bigint, n bigint, grams array<bigint>")
 
 
