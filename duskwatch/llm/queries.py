@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duskwatch.llm import fingerprints, licenses, near_dup, packing, quality_rules, token_counts, warc
+from duskwatch.llm import fingerprints, licenses, near_dup, packing, quality_classifier, quality_rules, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scans": licenses.query,
         "op4_quality_rules": quality_rules.query,
         "op5_warc": warc.query,
+        "op6_quality_classifier": quality_classifier.query,
         "op9_fingerprints": fingerprints.query,
         "op10_near_duplicates": near_dup.query,
     }
