@@ -85,9 +85,10 @@ def train_linear(sample: DataFrame, size: int, parts: int = 4, rounds: int = 150
     """
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if not len(pdf):
+        shares = [pdf for pdf in batches if len(pdf)]
+        if not shares:
             return
+        pdf = pd.concat(shares, ignore_index=True)
         n = len(pdf)
         row = np.repeat(np.arange(n), pdf["ids"].map(len))
         ids = np.concatenate([*pdf["ids"], np.zeros(0, np.int32)]).astype(np.int64)
