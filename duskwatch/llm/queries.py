@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duskwatch.llm import fingerprints, licenses, near_dup, packing, quality_classifier, quality_rules, token_counts, warc
+from duskwatch.llm import fingerprints, licenses, mixing, near_dup, packing, quality_classifier, quality_rules, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,10 +17,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": quality_rules.query,
         "op5_warc": warc.query,
         "op6_quality_classifier": quality_classifier.query,
+        "op7_toxicity": toxicity.query,
+        "op8_mixing": mixing.query,
         "op9_fingerprints": fingerprints.query,
         "op10_near_duplicates": near_dup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scans": licenses.SQL, "op5_warc": warc.SQL}
+    return {"op3_license_scans": licenses.SQL, "op5_warc": warc.SQL, "op8_mixing": mixing.SQL}
