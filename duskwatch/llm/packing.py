@@ -17,9 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import table
+from duskwatch.llm.common import table, written
+from duskwatch.llm.token_counts import VOCABULARY, encoded_length
 
-CAPACITIES = (2048, 4096, 8192, 16384)
+CAPACITIES = (1024, 2048, 4096, 8192)
 
 
 def bin_cost(capacity: int, per_bin: float = 64.0, quadratic: float = 1 / 65536) -> float:
@@ -108,12 +109,21 @@ def _nullable_ids(pack, kind: str):
     return run
 
 
-def byte_tokens(df: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens``: length of each text in byte-level tokens with one end mark (empty: 0)."""
-    n = F.octet_length(text)
-    return df.select("doc_id", F.when(n > 0, n + 1).otherwise(0).cast("long").alias("n_tokens"))
+def token_lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """``doc_id, n_tokens``: encoded length of each whole text with one end mark (empty: 0).
+
+    Written once, since packing reads lengths twice and encoding is the dear part.
+    """
+    n = encoded_length(text, vocabulary)
+    lengths = docs.select(F.col(doc_id).alias("doc_id"), n.alias("n"))
+    return written(lengths.select("doc_id", F.when(F.col("n") > 0, F.col("n") + 1).otherwise(0).cast("long").alias("n_tokens")), "lengths")
+
+
+def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Documents packed by encoded length; see :func:`best_fit_pack`."""
+    return best_fit_pack(token_lengths(docs, doc_id, text), "doc_id", "n_tokens", **options)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, packed by their lengths in byte-level tokens."""
-    return best_fit_pack(byte_tokens(table(spark, sf_dir, "documents")), "doc_id", "n_tokens")
+    """All documents, packed by their encoded lengths."""
+    return pack_documents(table(spark, sf_dir, "documents"))

@@ -144,14 +144,20 @@ def estimate(patterns: dict[int, int], rounds: int = 100) -> dict[int, float]:
     return dict(zip(codes.tolist(), posterior.tolist()))
 
 
-def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS, min_score: float = MIN_SCORE) -> DataFrame:
-    """One row per document: ``doc_id, votes, posterior, score, kept``.
+class Model:
+    """Posteriors of vote patterns, and the weights and bias of the scorer they trained."""
 
-    ``votes`` is the pattern's number, ``posterior`` the label model's probability of good and
-    ``score`` the scorer's.
-    """
+    def __init__(self, posterior: dict[int, float], weights: np.ndarray, bias: float, buckets: int):
+        self.posterior, self.weights, self.bias, self.buckets = posterior, weights, bias, buckets
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        row, ids, x = features(texts, self.buckets)
+        return sigmoid(self.bias + np.bincount(row, self.weights[ids] * x, len(texts)))
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS) -> Model:
+    """Vote on every document, estimate the label model, train the scorer on a bounded sample."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,19 +179,41 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample
 
     span = 1 << 31
     some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < int(span * min(1.0, sample_rows / max(total, 1))))
-    weights, bias = train_linear(some.select("text").mapInArrow(sampled, "ids array<int>, x array<float>, target double"), buckets + 2)
+    return Model(posterior, *train_linear(some.select("text").mapInArrow(sampled, "ids array<int>, x array<float>, target double"), buckets + 2), buckets)
+
+
+def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_score: float = MIN_SCORE, **options) -> DataFrame:
+    """One row per document: ``doc_id, votes, posterior, score, kept``.
+
+    ``votes`` is the pattern's number, ``posterior`` the label model's probability of good and
+    ``score`` the scorer's.
+    """
+    model = fit(docs, doc_id, text, **options)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _chunks(batch):
-                texts = part.column(1)
-                row, ids, x = features(texts, buckets)
-                s = sigmoid(bias + np.bincount(row, weights[ids] * x, len(texts)))
-                codes = vote_codes(texts).tolist()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.int32()), pa.array([posterior[c] for c in codes], pa.float64()), pa.array(s), pa.array(s >= min_score)], ["doc_id", "votes", "posterior", "score", "kept"])
+                s = model.scores(part.column(1))
+                codes = vote_codes(part.column(1)).tolist()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.int32()), pa.array([model.posterior[c] for c in codes], pa.float64()), pa.array(s), pa.array(s >= min_score)], ["doc_id", "votes", "posterior", "score", "kept"])
 
     return rows.mapInArrow(score, f"doc_id {kind}, votes int, posterior double, score double, kept boolean")
 
 
+def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_score: float = MIN_SCORE, **options) -> DataFrame:
+    """The documents that are kept, with all their columns and without a join."""
+    model = fit(docs, doc_id, text, **options)
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _chunks(batch, at):
+                yield part.filter(pa.array(model.scores(part.column(at)) >= min_score))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"))

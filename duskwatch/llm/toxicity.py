@@ -142,11 +142,11 @@ def label_model(patterns: dict[int, float], seen: dict[int, tuple[float, float]]
     the latter.  The model has ``rates`` (class x voter), ``correlation`` (class x voter x voter),
     ``weight`` of each voter, and ``share`` of toxic documents.
     """
-    codes = np.array(sorted(set(patterns) | set(seen)))
+    codes = np.array(sorted(set(patterns) | set(seen)), np.int64)
     bits = (codes[:, None] >> np.arange(VOTERS) & 1).astype(float)
     n = np.array([patterns.get(c, 0.0) for c in codes.tolist()])
-    start = np.array([seen.get(c, (0.0, 0.0)) for c in codes.tolist()]).T
-    share = (start[1].sum() + 0.5) / (start.sum() + 1)
+    start = np.array([seen.get(c, (0.0, 0.0)) for c in codes.tolist()]).reshape(-1, 2).T
+    share = (start[1].sum() + 0.5) / (start.sum() + 50)
     weight = np.ones(VOTERS)
     p = [start[0], start[1]]
     posterior = np.zeros(len(codes))
@@ -166,10 +166,24 @@ def label_model(patterns: dict[int, float], seen: dict[int, tuple[float, float]]
     return dict(zip(codes.tolist(), posterior.tolist())), {"rates": rates, "correlation": np.array(correlation), "weight": weight, "share": share}
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", labelled_rows: int = LABELLED_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """One row per document: ``doc_id, held_out, score, predicted, weak_posterior``."""
+class Model:
+    """The lexicon and its voters, posteriors of vote patterns, and the classifier."""
+
+    def __init__(self, posterior, prior, known, voter, vocabulary, weights, bias):
+        self.posterior, self.prior, self.known, self.voter = posterior, prior, known, voter
+        self.vocabulary, self.weights, self.bias = vocabulary, weights, bias
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        row, at, _ = hits(texts, self.vocabulary)
+        return sigmoid(self.bias + np.bincount(row, self.weights[at], len(texts)))
+
+    def posteriors(self, texts: pa.Array) -> list[float]:
+        return [self.posterior.get(c, self.prior) for c in votes(texts, self.known, self.voter).tolist()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", labelled_rows: int = LABELLED_ROWS, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Build lexicon and voters, estimate the label model, fit the classifier."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
     labelled = written(_labelled(rows, labels.select("doc_id", "toxic"), labelled_rows), "labelled")
     entries, _ = lexicon(labelled)
     order = np.argsort(entries)
@@ -209,19 +223,37 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(off, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(np.ones(len(at), np.float32))), part.column(1)], ["ids", "x", "target"])
 
     weights, bias = train_linear(weak.mapInArrow(featured, "ids array<int>, x array<float>, target double"), max(1, len(vocabulary)), parts=1, rounds=300, decay=2e-5)
+    return Model(posterior, prior, known, voter, vocabulary, weights, bias)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row per document: ``doc_id, held_out, score, predicted, weak_posterior``."""
+    model = fit(docs, labels, doc_id, text, **options)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _chunks(batch):
                 texts = part.column(1)
-                row, at, _ = hits(texts, vocabulary)
-                s = sigmoid(bias + np.bincount(row, weights[at], len(texts)))
-                weak_p = [posterior.get(c, prior) for c in votes(texts, known, voter).tolist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array(weak_p, pa.float64())], ["doc_id", "score", "weak_posterior"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(texts)), pa.array(model.posteriors(texts), pa.float64())], ["doc_id", "score", "weak_posterior"])
 
     scored = rows.mapInArrow(score, f"doc_id {kind}, score double, weak_posterior double")
     return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "weak_posterior")
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: float = 0.5, **options) -> DataFrame:
+    """The documents scored below the limit, with all their columns and without a join."""
+    model = fit(docs, labels, doc_id, text, **options)
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _chunks(batch, at):
+                yield part.filter(pa.array(model.scores(part.column(at)) < limit))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

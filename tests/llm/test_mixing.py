@@ -9,10 +9,9 @@ def made(spark, rows):
 
 
 def test_given_documents_agree_with_sql(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    mixed, names = mixing.mix(docs.select("doc_id", "text", "source", "lang"))
-    out = mixed.toDF("doc_id", "text", "raw_source", "raw_lang", *mixing.DIMENSIONS, "n_tokens", "probability", "kept").drop("text", "raw_source", "raw_lang")
-    assert same(out.select("doc_id", *mixing.DIMENSIONS, "n_tokens", "probability", "kept"), connect(documents=docs), mixing.SQL) == 200
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    assert same(mixing.query(spark, d), connect(documents=docs), mixing.SQL) == 200
 
 
 def test_marginals_are_met_where_no_cell_is_full(spark):
