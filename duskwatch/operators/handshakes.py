@@ -122,10 +122,10 @@ def frame(rows: list[tuple]) -> pd.DataFrame:
     return out
 
 
-def events_of(packets: DataFrame) -> DataFrame:
-    """The columns the fold needs; ``kind`` is isyn, rsyn or ack, and RSTs and others are left out."""
+def events_of(packets: DataFrame, *more: str) -> DataFrame:
+    """The columns the fold needs, and ``more``; ``kind`` is isyn, rsyn or ack, RSTs and others are left out."""
     kind = F.when(F.col("rst") == 1, None).when((F.col("syn") == 1) & (F.col("ack") == 0), F.when((F.col("ipid") == 54321) | (F.col("ttl") > 200) | (F.col("options") == ""), "isyn").otherwise("rsyn")).when((F.col("ack") == 1) & (F.col("syn") == 0), "ack")
-    return packets.withColumn("kind", kind).where("kind is not null").select(*NEEDED)
+    return packets.withColumn("kind", kind).where("kind is not null").select(*NEEDED, *more)
 
 
 def rows_of(pdf: pd.DataFrame) -> Iterator:

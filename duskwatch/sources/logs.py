@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from duskwatch.functions import net
 from duskwatch.sources import schemas as S
 
-#: 2024-01-31.13:00:00.<tag>.<program>.<proto>.<kind>.<unix seconds>.csv[.gz]
-FILE_NAME = r"^(\d{4}-\d{2}-\d{2}\.\d{2}:\d{2}:\d{2})\.([^.]+)\.([^.]+)\.([^.]+)\.([^.]+)\.(\d+)\.csv"
+#: 2024-01-31.13:00:00.<tag>.<program>.<proto>.<kind>.<unix seconds>.csv[.gz]; local and HDFS paths
+#: that Spark reads cannot hold colons, so dashes are taken for them as well.
+FILE_NAME = r"^(\d{4}-\d{2}-\d{2}\.\d{2}[:-]\d{2}[:-]\d{2})\.([^.]+)\.([^.]+)\.([^.]+)\.([^.]+)\.(\d+)\.csv"
 
 
 def log_file_name(ts_ms: Column | str, tag: Column, proto: Column, kind: Column, program: str = "duskwatch") -> Column:
@@ -28,7 +29,7 @@ def parse_file_name(name: Column | str) -> Column:
     """struct(hour_ms, tag, proto, kind), null for other names."""
     c = F.col(name) if isinstance(name, str) else name
     part = lambda k: F.regexp_extract(c, FILE_NAME, k)
-    hour = F.unix_millis(F.try_to_timestamp(part(1), F.lit("yyyy-MM-dd'.'HH:mm:ss")))
+    hour = F.unix_millis(F.try_to_timestamp(F.replace(part(1), F.lit(":"), F.lit("-")), F.lit("yyyy-MM-dd'.'HH-mm-ss")))
     return F.when(c.rlike(FILE_NAME), F.struct(hour.alias("hour_ms"), part(2).alias("tag"), part(4).alias("proto"), part(5).alias("kind")))
 
 
