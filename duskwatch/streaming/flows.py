@@ -34,9 +34,8 @@ def with_time(df: DataFrame, delay: str = "30 minutes") -> DataFrame:
 def unique_packets(packets: DataFrame, delay: str = "30 minutes") -> DataFrame:
     """Packets without repeats of their five-field key within the watermark's delay; RSTs all pass."""
     timed = with_time(packets, delay)
-    key = ["saddr", "daddr", "sport", "dport", "snum", "_rst"]
-    mark = F.when(F.col("rst") == 1, F.monotonically_increasing_id()).otherwise(-1)
-    return timed.withColumn("_rst", mark).dropDuplicatesWithinWatermark(key).drop("_rst")
+    others = timed.where("rst <> 1").dropDuplicatesWithinWatermark(["saddr", "daddr", "sport", "dport", "snum"])
+    return others.unionByName(timed.where("rst = 1"))
 
 
 def confirmed(packets: DataFrame, confs: DataFrame, delay: str = "30 minutes", timeout: str = "5 minutes") -> DataFrame:
