@@ -125,3 +125,19 @@ def throttle(df: DataFrame, key: str, ts: str = "ts_ms", every_ms: int = 3_600_0
     yes = runs.select(key, F.explode(tried).alias(ts)).withColumn("_yes", F.lit(True))
     first = F.row_number().over(Window.partitionBy(key, ts).orderBy(F.lit(1)))
     return df.join(yes, [key, ts], "left").withColumn("attempted", F.coalesce(F.col("_yes"), F.lit(False)) & (first == 1)).drop("_yes")
+
+
+def first_hours(df: DataFrame, hours: int, ts: str = "ts_ms") -> DataFrame:
+    """Rows of the first ``hours`` hours that have any."""
+    distinct = df.select(hour_ms(ts).alias("_h")).distinct().orderBy("_h").limit(hours)
+    return df.withColumn("_h", hour_ms(ts)).join(distinct, "_h", "left_semi").drop("_h")
+
+
+def pending(missing: DataFrame, budget: int, order: str = "first_missed") -> DataFrame:
+    """The hashes to ask for next: 80 % of a budget of requests, longest missing first."""
+    return missing.orderBy(order, "hash").limit(budget * 8 // 10)
+
+
+def unanswered(asked: DataFrame, answered: DataFrame, column: str) -> DataFrame:
+    """Distinct values asked for and not answered."""
+    return asked.select(column).distinct().join(answered.select(column), column, "left_anti")

@@ -442,3 +442,47 @@ def known_hashes(spark, d):
     replies_ = h.where(F.col("first_seen") / 3_600_000 % 1 >= 0).where(F.pmod((F.col("first_seen") - 1_600_000_000_000) / 3_600_000, F.lit(3)) == 0).select("hash", F.col("first_seen").alias("first_submission"), F.col("last_seen").alias("last_submission"))
     known = enrich.hash_report(h, replies_, require=True).select("hash", F.lit(True).alias("known"))
     return known.unionByName(enrich.unknown_hashes(h, replies_).select("hash", F.lit(False).alias("known")))
+
+
+# -- smaller operators ------------------------------------------------------------------------
+
+
+@query("payload_bytes", """WITH h AS (SELECT doc_id, lower(hex(encode(text))) AS x, strlen(text) AS n FROM documents),
+  b AS (SELECT doc_id, n, list_transform(range(least(15, n)), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER)) AS codes FROM h)
+  SELECT doc_id, n AS latin_chars, 2 * len(list_filter(codes, lambda c: c BETWEEN 33 AND 126 OR c IN (0, 9, 10, 13, 32))) >= len(codes) AS printable FROM b""")
+def payload_bytes(spark, d):
+    docs = derived.read(spark, d, "documents").select("doc_id", pl.to_hex(F.col("text").cast("binary")).alias("x"))
+    return docs.select("doc_id", F.length(pl.latin1("x")).cast("long").alias("latin_chars"), pl.looks_printable("x").alias("printable"))
+
+
+@query("escaped_text", r"SELECT doc_id, replace(replace(replace(replace(text, '\', '\\'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') AS escaped FROM documents")
+def escaped_text(spark, d):
+    return derived.read(spark, d, "documents").select("doc_id", pl.escaped("text").alias("escaped"))
+
+
+@query("probe_payloads", derived.WITH + " SELECT event_id, step, CASE WHEN dport = 23 THEN 'aabb' WHEN payload <> '' THEN payload ELSE '0a' END AS probe_payload FROM packets")
+def probe_payloads(spark, d):
+    by_port = spark.createDataFrame([(23, "aabb")], "dport int, port_payload string")
+    return _ids(reaction.probe_payload(P(spark, d), by_port), "probe_payload")
+
+
+@query("first_hours", derived.WITH + ", h AS (SELECT DISTINCT ts_ms - ts_ms % 3600000 AS h FROM packets ORDER BY h LIMIT 24) SELECT event_id, step FROM packets WHERE ts_ms - ts_ms % 3600000 IN (SELECT h FROM h)")
+def first_hours(spark, d):
+    return _ids(reports.first_hours(P(spark, d), 24))
+
+
+@query("pending_hashes", "WITH h AS (SELECT sha256(coalesce(text, '')) AS hash, 1600000000000 + min(doc_id) * 3600000 AS first_missed FROM documents GROUP BY 1) SELECT hash, first_missed FROM h ORDER BY first_missed, hash LIMIT 40")
+def pending_hashes(spark, d):
+    h = reports.hash_catalogue(downloads(spark, d)).select("hash", F.col("first_seen").alias("first_missed"))
+    return reports.pending(h, 50)
+
+
+@query("unanswered_addresses", derived.WITH + " SELECT DISTINCT daddr FROM packets WHERE daddr NOT IN (SELECT saddr FROM conf)")
+def unanswered_addresses(spark, d):
+    p = P(spark, d)
+    return reports.unanswered(p, derived.confirmations(p).select(F.col("saddr").alias("daddr")), "daddr")
+
+
+@query("phase_states", _HANDSHAKES + " SELECT ts_ms - ts_ms % 3600000 AS hour_ms, tag, count(*) AS n, count_if(rack IS NULL AND iack IS NULL) AS no_ack FROM h GROUP BY ALL")
+def phase_states(spark, d):
+    return shakes(spark, d).groupBy(net.hour_ms("ts_ms").alias("hour_ms"), "tag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rack").isNull() & F.col("iack").isNull()).alias("no_ack"))
