@@ -25,8 +25,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return near_dup.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates, linked from a similarity of 0.8."""
+    return near_dup.drop_near_duplicates(docs, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,9 +17,10 @@
    component.  Pairs already known to be connected (both in the pivot's component) are skipped.
    Pairs are never rows of a table.
 
-Links need 100 * |A n B| >= 85 * |A u B| on the full sets of 64-bit shingle hashes.  A pair at
-exactly that limit is missed only if fewer than ``matches`` of its coordinates agree: with 48 and
-30, about 3 in 100,000 such pairs, and far fewer above the limit.
+Links need 100 * |A n B| >= percent * |A u B| on the full sets of 64-bit shingle hashes: 85 in the
+query, 80 in the pipeline.  A pair at exactly that limit is missed only if fewer than ``matches`` of
+its coordinates agree.  ``matches`` follows from the limit, so that at most 1 in 32,000 such pairs is
+missed, and far fewer above the limit: of 48 it is 30 at 85 (3 in 100,000) and 26 at 80 (1 in 100,000).
 
 Defined cases: a null text is empty; texts without words have no shingles, link with nothing and
 are kept; rows of one id are one document, linked by any of their texts; rows with a null id are
@@ -30,6 +31,7 @@ other columns are not read; an empty table gives none.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ from duskwatch.llm.common import table, written
 from duskwatch.llm.components import components
 from duskwatch.llm.shingles import minhash, mix, shingle_hashes
 
-COORDINATES, MATCHES = 48, 30
+COORDINATES, MISSED = 48, 1 / 32_000
 BLOCK = 512
 _CHUNK_BYTES = 2_000_000
 
@@ -94,6 +96,16 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text:
     return wanted.mapInArrow(shingle, "cls bigint, n bigint, grams array<bigint>")
 
 
+def matches_for(percent: int, coordinates: int = COORDINATES) -> int:
+    """The most coordinates to ask for, so that a pair at the limit has fewer with a chance of at most MISSED."""
+    p, below = percent / 100, 0.0
+    for k in range(coordinates):
+        below += comb(coordinates, k) * p**k * (1 - p) ** (coordinates - k)
+        if below > MISSED:
+            return k
+    return coordinates
+
+
 def postings(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
     """``token, cls``: each class under its rarest tokens, without those that occur once."""
     prefix = coordinates - matches + 1
@@ -189,8 +201,9 @@ def _tasks(groups: DataFrame, members: DataFrame, block: int, bundles: int) -> D
     return small.unionByName(own).unionByName(rest_own).unionByName(pairs).unionByName(single)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85, coordinates: int = COORDINATES, matches: int | None = None, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row; see the module."""
+    matches = matches_for(percent, coordinates) if matches is None else matches
     signed = written(signatures(docs, doc_id, text, size, coordinates), "signatures")
     classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("cls"), F.min_by("signature", "doc_id").alias("signature"))
     classes = written(classes, "classes")
