@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TWO32 = 1 << 32
+from duskwatch.operators.ordered import flag_in_order
+
+TWO32, NEVER = 1 << 32, 1 << 62
 
 
 def plan_reaction(packets: DataFrame, tcp: bool = True, udp: bool = True, icmp: bool = True) -> DataFrame:
@@ -45,16 +47,25 @@ def suppress_in_flight(requests: DataFrame, replies: DataFrame) -> DataFrame:
     """Adds ``suppressed``: a probe to the same (daddr, irregular) is still unanswered.
 
     ``requests``: ``userid, daddr, irregular, ts_ms``; ``replies``: ``userid, ts_ms``.  A request
-    that is sent blocks later ones until its reply's time.  Per target a fold over the requests in
-    order keeps one number, the time until which the target is busy.
+    that is sent blocks later ones until its reply's time.  One pass over the requests of a target
+    in order keeps one number, the time until which the target is busy.
     """
-    asked = requests.join(replies.groupBy("userid").agg(F.min("ts_ms").alias("reply_ms")), "userid", "left")
-    busy = asked.groupBy("daddr", "irregular").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "userid", "reply_ms"))).alias("q"))
-    never = F.lit(2**62)
-    start = F.struct(F.lit(-(2**62)).cast("long").alias("until"), F.array().cast("array<bigint>").alias("held"))
-    fold = F.aggregate("q", start, lambda s, r: F.when(r["ts_ms"] < s["until"], F.struct(s["until"].alias("until"), F.array_append(s["held"], r["userid"]).alias("held"))).otherwise(F.struct(F.coalesce(r["reply_ms"], never).alias("until"), s["held"].alias("held"))))
-    held = busy.select(F.explode(fold["held"]).alias("userid")).withColumn("_held", F.lit(True))
-    return requests.join(held, "userid", "left").withColumn("suppressed", F.coalesce("_held", F.lit(False))).drop("_held")
+
+    def fold():
+        until = -NEVER
+
+        def step(row: tuple) -> bool:
+            nonlocal until
+            ts, _, reply = row
+            if ts is not None and ts < until:
+                return True
+            until = NEVER if reply is None else reply
+            return False
+
+        return step
+
+    asked = requests.join(replies.groupBy("userid").agg(F.min("ts_ms").alias("_reply_ms")), "userid", "left")
+    return flag_in_order(asked, ["daddr", "irregular"], ["ts_ms", "userid"], "suppressed", fold, ("_reply_ms",))
 
 
 def dedupe_rst(requests: DataFrame, pause_ms: int = 5000) -> DataFrame:

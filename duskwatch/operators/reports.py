@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from duskwatch.functions import payload as pl
 from duskwatch.functions.net import hour_ms
 from duskwatch.operators.enrich import tag_known_scanners
+from duskwatch.operators.ordered import flag_in_order
 
 CATEGORIES = {"isyn": "isyn", "isyn (acked)": "isyn", "rsyn": "rsyn", "rsyn (acked)": "rsyn", "two-phase": "two-phase", "two-phase (no ack)": "two-phase"}
 
@@ -114,17 +115,23 @@ def activity(downloads: DataFrame) -> DataFrame:
 def throttle(df: DataFrame, key: str, ts: str = "ts_ms", every_ms: int = 3_600_000) -> DataFrame:
     """Adds ``attempted``: at least ``every_ms`` since the key's last attempt (not sighting).
 
-    Times of a key are cut where two lie at least ``every_ms`` apart, which always allows an
-    attempt; only within such a stretch a fold over its sorted times decides.
+    One pass over a key's rows in order keeps one number, the time of its last attempt.
     """
-    w = Window.partitionBy(key).orderBy(ts)
-    cut = df.select(key, ts).distinct().withColumn("_new", F.when(F.col(ts) - F.lag(ts).over(w) < every_ms, 0).otherwise(1))
-    runs = cut.withColumn("_run", F.sum("_new").over(w)).groupBy(key, "_run").agg(F.array_sort(F.collect_list(ts)).alias("_t"))
-    start = F.array().cast("array<bigint>")
-    tried = F.aggregate("_t", start, lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) >= every_ms), F.array_append(a, t)).otherwise(a))
-    yes = runs.select(key, F.explode(tried).alias(ts)).withColumn("_yes", F.lit(True))
-    first = F.row_number().over(Window.partitionBy(key, ts).orderBy(F.lit(1)))
-    return df.join(yes, [key, ts], "left").withColumn("attempted", F.coalesce(F.col("_yes"), F.lit(False)) & (first == 1)).drop("_yes")
+
+    def fold():
+        last = None
+
+        def step(row: tuple) -> bool:
+            nonlocal last
+            if row[0] is None or (last is not None and (row[0] == last or row[0] - last < every_ms)):
+                return False
+            last = row[0]
+            return True
+
+        return step
+
+    tried = flag_in_order(df, [key], [ts], "attempted", fold)
+    return tried.withColumn("attempted", F.col("attempted") & F.col(key).isNotNull())
 
 
 def first_hours(df: DataFrame, hours: int, ts: str = "ts_ms") -> DataFrame:

@@ -386,6 +386,18 @@ def in_flight(spark, d):
     return reaction.suppress_in_flight(r, derived.confirmations(p).select("userid", "ts_ms")).select("userid", "suppressed")
 
 
+@query("in_flight_targets", "WITH RECURSIVE " + derived.WITH.removeprefix("WITH ") + """,
+  q AS (SELECT p.userid, p.saddr AS a, p.ipid = 54321 OR p.ttl > 200 OR p.options = '' AS irregular, p.ts_ms, coalesce(c.ts_ms, 4611686018427387904) AS reply FROM packets p LEFT JOIN conf c USING (userid) WHERE syn = 1),
+  o AS (SELECT *, row_number() OVER (PARTITION BY a, irregular ORDER BY ts_ms, userid) AS k FROM q),
+  f AS (SELECT userid, a, irregular, k, reply AS until, false AS suppressed FROM o WHERE k = 1 UNION ALL SELECT o.userid, o.a, o.irregular, o.k, CASE WHEN o.ts_ms < f.until THEN f.until ELSE o.reply END, o.ts_ms < f.until FROM f JOIN o ON o.a = f.a AND o.irregular = f.irregular AND o.k = f.k + 1)
+  SELECT userid, suppressed FROM f""")
+def in_flight_targets(spark, d):
+    p = P(spark, d)
+    irregular = (F.col("ipid") == 54321) | (F.col("ttl") > 200) | (F.col("options") == "")
+    r = p.where("syn = 1").select("userid", F.col("saddr").alias("daddr"), irregular.alias("irregular"), "ts_ms")
+    return reaction.suppress_in_flight(r, derived.confirmations(p).select("userid", "ts_ms")).select("userid", "suppressed")
+
+
 @query("reply_loss", derived.WITH + " SELECT p.userid, CASE WHEN c.userid IS NULL THEN 0 ELSE 1 END AS replies, CASE WHEN syn = 1 THEN 1 ELSE 2 END - CASE WHEN c.userid IS NULL THEN 0 ELSE 1 END AS loss FROM packets p LEFT JOIN conf c USING (userid)")
 def reply_loss(spark, d):
     p = P(spark, d)
