@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from duskwatch.operators.ordered import flag_in_order
+from duskwatch.operators.ordered import dealt, flag_in_order
 
 TWO32, NEVER = 1 << 32, 1 << 62
 
@@ -80,13 +85,62 @@ def udp_outcomes(probes: DataFrame, packets: DataFrame, timeout_ms: int = 20_000
     """``probe_id, outcome``: answered, unreachable or timeout.
 
     ``probes``: ``probe_id, addr, port, ts_ms``; ``packets``: ``proto, saddr, sport, ts_ms`` where an
-    ICMP unreachable carries the embedded port as ``sport``.  The earliest packet in time decides.
+    ICMP unreachable carries the embedded port as ``sport``.  An address has one probe in flight;
+    others wait in order and start when it is done, at its reply or ``timeout_ms`` after its start.
+    A packet of its port settles the probe in flight and no other.  One pass over an address's
+    probes and packets in order keeps the probe in flight and those waiting.
     """
-    r = packets.select(F.col("saddr").alias("addr"), F.col("sport").alias("port"), "proto", F.col("ts_ms").alias("r_ms"))
-    hit = probes.join(r, ["addr", "port"]).where((F.col("r_ms") >= F.col("ts_ms")) & (F.col("r_ms") - F.col("ts_ms") <= timeout_ms) & F.col("proto").isin("udp", "icmp"))
-    first = hit.groupBy("probe_id").agg(F.min_by("proto", F.struct("r_ms", "proto")).alias("first"))
-    outcome = F.when(F.col("first") == "udp", "answered").when(F.col("first") == "icmp", "unreachable").otherwise("timeout")
-    return probes.join(first, "probe_id", "left").select("probe_id", outcome.alias("outcome"))
+    sent = probes.select("addr", "ts_ms", F.lit(0).alias("_packet"), F.lit(None).cast("string").alias("proto"), "probe_id", "port")
+    got = packets.where(F.col("proto").isin("udp", "icmp") & F.col("ts_ms").isNotNull() & F.col("saddr").isNotNull() & F.col("sport").isNotNull())
+    got = got.select(F.col("saddr").alias("addr"), "ts_ms", F.lit(1).alias("_packet"), "proto", F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"), F.col("sport").alias("port"))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, waiting, flying, out = None, deque(), None, []
+
+        def advance(now: int | None) -> None:
+            """Time out what has been in flight for too long before ``now`` (None: all), and start what waits."""
+            nonlocal flying
+            while flying is not None and (now is None or now - flying[2] > timeout_ms):
+                out.append((flying[0], "timeout"))
+                follow(flying[2] + timeout_ms)
+
+        def follow(free: int) -> None:
+            nonlocal flying
+            flying = None
+            if waiting:
+                probe, port, ts = waiting.popleft()
+                flying = (probe, port, max(ts, free))
+
+        def flush() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], kind), pa.array([y for _, y in out], pa.string())], ["probe_id", "outcome"])
+            out.clear()
+            return done
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("probe_id").type
+            for addr, ts, packet, proto, probe, port in zip(*[batch.column(c).to_pylist() for c in ("addr", "ts_ms", "_packet", "proto", "probe_id", "port")]):
+                if addr != key:
+                    advance(None)
+                    key = addr
+                if ts is None:
+                    out.append((probe, "timeout"))
+                    continue
+                advance(ts)
+                if not packet and flying is None:
+                    flying = (probe, port, ts)
+                elif not packet:
+                    waiting.append((probe, port, ts))
+                elif flying is not None and flying[1] == port and ts >= flying[2]:
+                    out.append((flying[0], "answered" if proto == "udp" else "unreachable"))
+                    follow(ts)
+            yield flush()
+        if kind is not None:
+            advance(None)
+            yield flush()
+
+    schema = T.StructType([probes.schema["probe_id"], T.StructField("outcome", T.StringType())])
+    return dealt(sent.unionByName(got), ["addr"], ["ts_ms", "_packet", "proto", "probe_id"]).mapInArrow(settle, schema)
 
 
 def reply_loss(requests: DataFrame, replies: DataFrame) -> DataFrame:

@@ -22,3 +22,10 @@ def test_throttle_of_a_long_stretch(spark):
     tried = sorted(r["ts_ms"] for r in out.where("attempted").collect())
     assert tried == list(range(0, 30_000, 1001)) and out.count() == df.count()
     assert "collect_list" not in plan(out)
+
+
+def test_one_probe_is_in_flight_per_address(spark):
+    probes = spark.createDataFrame([(1, 7, 53, 0), (2, 7, 53, 1000), (3, 7, 69, 2000), (4, 7, 53, 3000), (5, 8, 53, 0), (6, 9, 53, 0), (7, 9, 53, 10), (8, None, 53, 0)], "probe_id long, addr long, port int, ts_ms long")
+    packets = spark.createDataFrame([("udp", 7, 53, 5000), ("udp", 7, 69, 6000), ("icmp", 7, 53, 7000), ("udp", 7, 69, 8000), ("tcp", 8, 53, 10), ("udp", 8, 53, 20000), ("udp", 9, 53, 40000), ("udp", None, 53, 5)], "proto string, saddr long, sport int, ts_ms long")
+    out = {r["probe_id"]: r["outcome"] for r in reaction.udp_outcomes(probes, packets).collect()}
+    assert out == {1: "answered", 2: "unreachable", 3: "answered", 4: "timeout", 5: "answered", 6: "timeout", 7: "answered", 8: "timeout"}
