@@ -119,7 +119,7 @@ def postings(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
 
 def shared_counts(rows: list[np.ndarray]) -> np.ndarray:
     """How many elements each pair of sorted sets has in common."""
-    out = np.zeros((len(rows), len(rows)), np.float32)
+    out = np.zeros((len(rows), len(rows)), np.int64)
     lengths = [len(r) for r in rows]
     flat = np.concatenate(rows)
     values, column, n = np.unique(flat, return_inverse=True, return_counts=True)
@@ -136,15 +136,15 @@ def shared_counts(rows: list[np.ndarray]) -> np.ndarray:
         a, b = np.searchsorted(column, (start, start + width))
         m = np.zeros((len(rows), min(width, len(often) - start)), np.float32)
         m[row[a:b], column[a:b] - start] = 1
-        out += m @ m.T
+        out += (m @ m.T).astype(np.int64)
     return out
 
 
 def linked_labels(labels: np.ndarray, rows: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """(label, smaller label) for labels joined by links between rows; at most one per label."""
-    n = np.array([len(r) for r in rows], np.float32)
+    n = np.array([len(r) for r in rows], np.int64)
     common = shared_counts(rows)
-    near = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    near = 100 * common >= percent * (n[:, None] + n[None, :] - common)  # in 64-bit whole numbers
     near &= labels[:, None] != labels[None, :]
     names, own = np.unique(labels, return_inverse=True)
     a, b = np.nonzero(near)

@@ -1,7 +1,9 @@
 """The pipeline's near-duplicate stage against brute force at its own limit, 0.80."""
 
+import numpy as np
+
 from corpus_pipeline import STAGES
-from duskwatch.llm.near_dup import matches_for
+from duskwatch.llm.near_dup import linked_labels, matches_for
 from tests.llm.test_near_dup import corpus, shingles
 
 
@@ -32,3 +34,11 @@ def test_stage_links_from_four_fifths(spark, docs_of):
 
 def test_matches_follow_the_limit():
     assert [matches_for(p) for p in (80, 85)] == [26, 30]
+
+
+def test_very_long_sets_are_held_exactly():
+    common, alone = 1_400_012, 247_061
+    a, b = np.arange(common), np.r_[np.arange(common), np.arange(alone) + 10**7]
+    labels = np.array([1, 2])
+    assert 100 * common < 85 * (common + alone) and linked_labels(labels, [a, b], 85) == []
+    assert linked_labels(labels, [a, b[:-1]], 85) == [(2, 1)]
