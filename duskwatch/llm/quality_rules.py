@@ -8,11 +8,10 @@ counted with add-one smoothing: one over trusted documents, one over the whole r
 document's score is the mean log ratio of its n-grams, so length does not matter; a document is
 kept if the score reaches a fixed threshold.
 
-Trusted documents are those labelled good, at most ``TRUSTED_ROWS`` of them (chosen by a hash of the
-id, so that the list of ids has a fixed size and may be broadcast); corpus counts cover every
-document.  The table of log ratios has one number per bucket.
+Trusted documents are all those labelled good, found by a shuffle join of ids (``trusted_rows`` can
+bound them, by a hash of the id); corpus counts cover every document.  The table of log ratios has one number per bucket.
 
-Everything is built from DataFrame functions, without any join or shuffle of texts.  Defined cases:
+Everything is built from DataFrame functions, with one shuffle of texts.  Defined cases:
 null and empty texts have no words, all counts 0, score 0 and fail the base rules; null or repeated
 ids are rows like others; extra columns are not read; an empty table gives none; without labels the
 trusted and raw multinomials differ by smoothing only.
@@ -28,7 +27,6 @@ from pyspark.sql import functions as F
 from duskwatch.llm.common import table
 
 BUCKETS = 1 << 14
-TRUSTED_ROWS = 20_000
 MIN_SCORE = -0.5
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -94,15 +92,19 @@ def _but_first(tokens: Column | str) -> Column:
     return F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """``doc_id`` of at most ``rows`` documents labelled good, by hash order."""
+def trusted_ids(labels: DataFrame, rows: int | None = None) -> DataFrame:
+    """``doc_id`` of the documents labelled good; of at most ``rows``, by hash order, if given."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return good if rows is None else good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = BUCKETS) -> list[float]:
     """The log ratio trusted : raw of every bucket; n numbers, whatever the corpus."""
-    marked = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("t")).join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
+    marked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    # Rows without an id are dealt by their text, so that they do not meet in one task.
+    marked = marked.withColumn("_deal", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0))
+    marked = marked.join(trusted.select("doc_id", F.lit(0).cast("long").alias("_deal"), F.lit(1).alias("good")).hint("merge"), ["doc_id", "_deal"], "left")
+    marked = marked.select("good", tokens("text").alias("t"))
     neighbours = marked.select("good", F.inline(F.arrays_zip(F.col("t").alias("x"), _but_first("t").alias("y"))))
     grams = neighbours.select("good", F.explode(F.array(_single(F.col("x"), n), F.when(F.col("y").isNotNull(), _pair(F.col("x"), F.col("y"), n)))).alias("bucket"))
     counts = grams.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good"))
@@ -124,7 +126,7 @@ def ratio_score(tokens: Column | str, ratios: list[float]) -> Column:
     return F.when(F.size(tokens) > 0, total / F.greatest(2 * F.size(tokens) - 1, F.lit(1))).otherwise(0.0)
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", min_score: float = MIN_SCORE, n: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", min_score: float = MIN_SCORE, n: int = BUCKETS, trusted_rows: int | None = None) -> DataFrame:
     """One row per document: ``doc_id``, the counts, ``base_failed``, ``score`` and ``kept``."""
     ratios = log_ratios(docs, trusted_ids(labels, trusted_rows), doc_id, text, n)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), tokens(text).alias("_t"))

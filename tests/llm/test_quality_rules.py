@@ -70,3 +70,12 @@ def test_empty_tables(docs_of, spark):
     assert q.apply_rules(docs_of([]), labels, n=16).count() == 0
     rows = q.apply_rules(docs_of([(1, None), (2, "x " * 60)]), labels, n=16).collect()
     assert [(r["base_failed"], r["kept"]) for r in sorted(rows)] == [(True, False), (True, False)]
+
+
+def test_every_good_label_is_trusted(spark):
+    labels = spark.range(20_100).selectExpr("id as doc_id", "1 as quality")
+    assert q.trusted_ids(labels).count() == 20_100
+    docs = spark.range(20_100).selectExpr("id as doc_id", "'a' as text").unionByName(spark.range(900).selectExpr("cast(null as long) as doc_id", "'b' as text"))
+    ratios = q.log_ratios(docs, q.trusted_ids(labels))
+    want = math.log(20_101 / (20_100 + q.BUCKETS)) - math.log(20_101 / (21_000 + q.BUCKETS))
+    assert any(math.isclose(r, want, abs_tol=1e-9) for r in ratios)
