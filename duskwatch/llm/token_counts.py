@@ -5,8 +5,10 @@ shuffled is one row per distinct length and task, and suffix sums over that hist
 every context limit L: how many documents are longer, how many tokens there are in all, how many
 remain if each document is cut to L tokens, and which share of the documents fits (quantiles).
 
-Null and empty texts have length 0.  Columns other than the text are never read, so they may have
-any names and nulls.  Repeated rows count as often as they occur.  An empty table gives an empty
+Null and empty texts have length 0.  Texts of any length are encoded whole; white-space runs longer
+than ``LONG_RUN``, which the splitting pattern cannot walk, are cut where the pattern would cut them.
+Columns other than the text are never read, so they may have any names and nulls.  Repeated rows
+count as often as they occur; texts of equal length share a row.  An empty table gives an empty
 histogram.
 """
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,14 +30,45 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-@functools.lru_cache(maxsize=4)
-def encoder(path: str):
-    """A byte-level BPE encoder from a file of ranks, once per worker process."""
-    import tiktoken
+#: White space as the pattern's \\s has it; fixed values.
+_SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Longer runs of white space are encoded on their own: the pattern's look-ahead would overflow its stack.
+LONG_RUN = 100_000
+
+
+class Encoder:
+    """A byte-level BPE encoder of whole texts of any length."""
+
+    def __init__(self, path: str, long_run: int = LONG_RUN):
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self._split = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._whole = tiktoken.Encoding("whole", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._long = re.compile(f"[{_SPACES}]{{{long_run},}}")
+        self._least = long_run
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def encode(self, text: str) -> list[int]:
+        """The tokens of a text; strings of special tokens are ordinary text.
+
+        In a run of white space before a word, the pattern takes all but the last character as one
+        piece and leaves that one to the word; at the end of the text it takes the whole run.
+        """
+        if len(text) < self._least:
+            return self._split(text)
+        tokens, at = [], 0
+        for run in self._long.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            tokens += self._split(text[at : run.start()]) + self._whole(text[run.start() : end])
+            at = end
+        return tokens + self._split(text[at:])
+
+
+@functools.lru_cache(maxsize=4)
+def encoder(path: str) -> Encoder:
+    """The encoder of a file of ranks, once per worker process."""
+    return Encoder(path)
 
 
 def encoded_length(text: Column | str, vocabulary: str = VOCABULARY) -> Column:
@@ -42,7 +76,7 @@ def encoded_length(text: Column | str, vocabulary: str = VOCABULARY) -> Column:
 
     @F.pandas_udf("long")
     def lengths(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = encoder(vocabulary).encode
         for texts in batches:
             yield pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
 

@@ -41,6 +41,6 @@ def test_long_null_and_repeated_documents(spark):
 
 def test_documents_are_packed_by_encoded_length(docs_of):
     texts = [(1, "Hello world"), (2, None), (3, "x" * 50)]
-    encode = encoder(VOCABULARY).encode_ordinary
+    encode = encoder(VOCABULARY).encode
     got = {r["doc_id"]: r["length"] for r in packing.pack_documents(docs_of(texts)).collect()}
     assert got == {i: len(encode(t)) + 1 if t else 0 for i, t in texts}

@@ -4,7 +4,7 @@ from duskwatch.llm import token_counts as tc
 
 
 def lengths(docs):
-    encode = tc.encoder(tc.VOCABULARY).encode_ordinary
+    encode = tc.encoder(tc.VOCABULARY).encode
     return [len(encode(r["text"])) if r["text"] else 0 for r in docs.select("text").collect()]
 
 
@@ -35,3 +35,23 @@ def test_nulls_special_tokens_and_empty_tables(docs_of):
     docs = docs_of([(1, None), (2, ""), (None, "<|endoftext|>"), (3, "a"), (3, "a"), (4, "é" * 2000)])
     check(tc.context_table(tc.length_histogram(docs, tc.encoded_length("text"))), lengths(docs))
     assert tc.context_table(tc.length_histogram(docs_of([]), tc.encoded_length("text"))).count() == 0
+
+
+def test_long_runs_are_cut_where_the_pattern_cuts():
+    whole = tc.Encoder(tc.VOCABULARY, 10**9)
+    cut = tc.Encoder(tc.VOCABULARY, 3)
+    for blank in (" ", "\n", "\t", "\u3000", " \n", "\x1c"):
+        for k in (1, 2, 3, 4, 9):
+            for text in (blank * k, blank * k + "a", "a" + blank * k + "1", "b!" + blank * k + "?" + blank * k, "é" + blank * k + " x", "a" + blank * k + "'s"):
+                assert cut.encode(text) == whole.encode(text), repr(text)
+
+
+def test_very_long_texts(docs_of):
+    n = 1_000_000
+    for text in (" " * n + "a", "\n" * n, "x" + "\n" * n + " y", "a" * n, "ab " * n, "!" * n, " " * (10 * n) + "a", "\n" * (10 * n), "a" * (10 * n)):
+        assert len(tc.encoder(tc.VOCABULARY).encode(text)) > 0
+    docs = docs_of([(1, " " * n + "a"), (2, "a" * n), (3, "\n" * n)])
+    few = tc.encoder(tc.VOCABULARY).encode
+    got = sorted(r["length"] for r in tc.length_histogram(docs, tc.encoded_length("text")).collect())
+    # Blanks are tokens of their own, also in short runs; letters and newlines repeat with a period.
+    assert got == sorted([n - 1 + len(few(" a")), n // 1000 * len(few("a" * 1000)), n // 1000 * len(few("\n" * 1000))])
