@@ -1,39 +1,83 @@
 """TCP handshakes and two-phase events, one fold per (source, destination, port).
 
-Packets are dealt by key and sorted by time; a task walks its rows once and keeps only the open
-phases of the current key, so a key with very many packets costs a pass and no memory of its size:
-phases that their hour has closed are emitted as it goes.  The same fold serves batch and stream.
+Packets are dealt by key and sorted by time.  Keys with one kind of packet only, nearly all of a
+telescope's, are finished by built-in functions.  The rows of the others are walked once: a task keeps
+the open phases of the key at hand, indexed by what can find them (ports and numbers for ACKs, the
+confirmation's time and then the order of arrival for second phases), so a row costs a logarithm of
+the open phases, and emits them when their hour has closed.  The same fold serves batch and stream.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import deque, namedtuple
+from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR, GRACE = 3_600_000, 90 * 60_000
 RESULT = "saddr long, daddr long, dport int, ts_ms long, tag string, repeated boolean, isyn long, iack long, rsyn long, rack long, isyn_ipid int, isyn_snum long, rack_sport int, rack_snum long, rack_payload string, iack_payload string"
 COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
 NEEDED = ["saddr", "daddr", "dport", "ts_ms", "step", "sport", "snum", "anum", "ipid", "userid", "kind", "probe_anum", "con_ms", "payload"]
+KEYS = ["saddr", "daddr", "dport"]
+REGULAR, IRREGULAR, SECOND, FIRST = range(4)
+
+Packet = namedtuple("Packet", NEEDED)
+_ARROW = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]]) for c in RESULT.split(", ")])
+
+
+def closing(ts_ms: int) -> int:
+    """When the hour of a packet is closed: 90 minutes after its start."""
+    return ts_ms - ts_ms % HOUR + GRACE
 
 
 class Phase:
     """A SYN, the ACK that followed it, and the second phase it was joined with."""
 
-    __slots__ = ("syn", "ack", "second")
+    __slots__ = ("syn", "ack", "second", "role", "order")
 
-    def __init__(self, syn):
-        self.syn, self.ack, self.second = syn, None, None
+    def __init__(self, syn: Packet, role: int, order: int):
+        self.syn, self.ack, self.second, self.role, self.order = syn, None, None, role, order
 
 
-def starts(first, syn, timeout: int) -> bool:
-    """Whether a regular SYN falls into the time that a first phase's confirmation opens."""
-    if first.syn.con_ms is None:
-        return False
-    gap = syn.ts_ms // 1000 - first.syn.con_ms // 1000
-    return gap < timeout if gap >= 0 else gap >= -1
+class Free:
+    """Irregular phases that regular SYNs may be joined with; the SYNs come in the order of time.
+
+    A phase can be joined from a second before its confirmation until ``timeout`` seconds after it.
+    It waits by its confirmation until that begins, then by its order, bare ones before acknowledged ones;
+    once it is over, or joined, it is passed over for good.
+    """
+
+    def __init__(self, timeout: int, phases: Iterable[Phase] = ()):
+        self.timeout, self.now = timeout, 0
+        self.later: list[tuple[int, int, Phase]] = []
+        self.begun: tuple[list[tuple[int, Phase]], list[tuple[int, Phase]]] = ([], [])
+        for p in phases:
+            self.add(p)
+
+    def add(self, p: Phase) -> None:
+        if p.syn.con_ms is not None:
+            heappush(self.later, (p.syn.con_ms // 1000, p.order, p))
+
+    def take(self, syn: Packet) -> Phase | None:
+        self.now = syn.ts_ms // 1000
+        while self.later and self.later[0][0] <= self.now + 1:
+            _, order, p = heappop(self.later)
+            heappush(self.begun[p.ack is not None], (order, p))
+        for acknowledged, heap in enumerate(self.begun):
+            while heap:
+                order, p = heappop(heap)
+                if p.role != IRREGULAR or self.now - p.syn.con_ms // 1000 >= self.timeout:
+                    continue
+                if p.ack is not None and not acknowledged:
+                    heappush(self.begun[1], (order, p))
+                    continue
+                return p
+        return None
 
 
 class Fold:
@@ -44,73 +88,133 @@ class Fold:
         self.irregular: list[Phase] = []
         self.regular: list[Phase] = []
         self.pairs: list[Phase] = []
-        self.waiting: list = []
-
-    def _pair(self, phase: Phase) -> bool:
-        """Join a regular phase with the first free irregular one, bare ones before acknowledged."""
-        free = [p for p in self.irregular if p.ack is None] + [p for p in self.irregular if p.ack is not None]
-        for first in free:
-            if starts(first, phase.syn, self.timeout):
-                self.irregular.remove(first)
-                first.second = phase
-                self.pairs.append(first)
-                return True
-        return False
+        self.waiting: deque[Packet] = deque()
+        self._count = 0
+        self._index()
+
+    def _index(self) -> None:
+        """Build what finds the open phases: for ACKs by role, for second phases, and the next closing time."""
+        self._expecting: tuple[dict, dict, dict] = ({}, {}, {})
+        for p in (*self.regular, *self.irregular, *[f.second for f in self.pairs]):
+            self._expect(p)
+        self._free = Free(self.timeout, self.irregular)
+        self._due = min((closing(p.syn.ts_ms) for p in (*self.regular, *self.irregular, *self.pairs)), default=None)
+
+    def _expect(self, p: Phase) -> None:
+        if p.ack is None and p.syn.con_ms is not None:
+            self._expecting[p.role].setdefault((p.syn.sport, p.syn.probe_anum), deque()).append(p)
 
-    def _acknowledge(self, ack) -> bool:
-        """Give an ACK to a regular SYN, else an irregular one, else a second phase."""
-        for phases in (self.regular, self.irregular, [p.second for p in self.pairs]):
-            for p in phases:
-                s = p.syn
-                if p.ack is None and s.con_ms is not None and s.sport == ack.sport and s.probe_anum == ack.snum and ack.ts_ms < s.ts_ms - s.ts_ms % HOUR + GRACE:
+    def _acknowledge(self, ack: Packet) -> bool:
+        """Give an ACK to the first regular SYN that expects it, else an irregular one, else a second phase."""
+        for role, expecting in enumerate(self._expecting):
+            queue = expecting.get((ack.sport, ack.snum), ())
+            while queue and (queue[0].ack is not None or queue[0].role != role):
+                queue.popleft()
+            for p in queue:
+                if p.ack is None and p.role == role and ack.ts_ms < closing(p.syn.ts_ms):
                     p.ack = ack
                     return True
         return False
 
-    def add(self, row) -> None:
-        if row.kind == "isyn":
-            self.irregular.append(Phase(row))
-        elif row.kind == "rsyn":
-            phase = Phase(row)
-            if not self._pair(phase):
-                self.regular.append(phase)
-        elif row.kind == "ack" and not self._acknowledge(row):
-            self.waiting.append(row)
+    def _join(self, first: Phase, second: Phase) -> None:
+        first.second, first.role, second.role = second, FIRST, SECOND
+        self.pairs.append(first)
+        self._expect(second)
+
+    def add(self, row: Packet) -> None:
+        if row.kind == "ack":
+            if not self._acknowledge(row):
+                self.waiting.append(row)
+            return
+        phase = Phase(row, IRREGULAR if row.kind == "isyn" else REGULAR, self._count)
+        self._count += 1
+        self._due = closing(row.ts_ms) if self._due is None else min(self._due, closing(row.ts_ms))
+        if phase.role == IRREGULAR:
+            self.irregular.append(phase)
+            self._free.add(phase)
+            self._expect(phase)
+            return
+        # A row that comes late, as in a stream, looks at all phases anew.
+        free = self._free if row.ts_ms // 1000 >= self._free.now else Free(self.timeout, [p for p in self.irregular if p.role == IRREGULAR])
+        if (first := free.take(row)) is not None:
+            self._join(first, phase)
+        else:
+            self.regular.append(phase)
+            self._expect(phase)
 
     def close(self, before: int | None) -> list[tuple]:
-        """Events whose first SYN's hour ended 90 minutes after its start, at ``before`` (None: all)."""
-        gone = lambda p: before is None or before >= p.syn.ts_ms - p.syn.ts_ms % HOUR + GRACE
-        if not any(map(gone, self.irregular + self.regular + self.pairs)):
+        """Events whose first SYN's hour is closed at ``before`` (None: all)."""
+        if self._due is None or (before is not None and before < self._due):
+            while self.waiting and before is not None and before >= closing(self.waiting[0].ts_ms):
+                self.waiting.popleft()
             return []
-        self.waiting = [a for a in self.waiting if not self._acknowledge(a)]
-        self.waiting = [a for a in self.waiting if before is not None and before < a.ts_ms - a.ts_ms % HOUR + GRACE]
-        for phase in list(self.regular):
-            if gone(phase) and self._pair(phase):
-                self.regular.remove(phase)
+        gone = lambda p: before is None or before >= closing(p.syn.ts_ms)
+        self.waiting = deque(a for a in self.waiting if not self._acknowledge(a) and before is not None and before < closing(a.ts_ms))
+        # SYNs of a second phase that came just before the first one.
+        free = Free(self.timeout, [p for p in self.irregular if p.role == IRREGULAR])
+        for phase in self.regular:
+            if gone(phase) and (first := free.take(phase.syn)) is not None:
+                self._join(first, phase)
+        begun = sorted(f.syn.con_ms // 1000 for f in self.pairs)
+
+        def repeats(p: Phase) -> bool:
+            now = p.syn.ts_ms // 1000
+            at = bisect_right(begun, now - self.timeout)
+            return p.ack is not None and at < len(begun) and begun[at] <= now + 1
+
         out = []
         for p in self.regular:
-            if gone(p):
-                acked = p.ack is not None
-                repeat = next((f for f in sorted(self.pairs, key=lambda f: f.second.ack is not None) if acked and starts(f, p.syn, self.timeout)), None)
-                out.append(self._row("rsyn (acked)" if acked else "rsyn", None, p, repeat is not None))
+            if p.role == REGULAR and gone(p):
+                out.append(_row("rsyn (acked)" if p.ack is not None else "rsyn", None, p, repeats(p)))
         for p in self.pairs:
             if gone(p):
-                out.append(self._row("two-phase" if p.second.ack is not None else "two-phase (no ack)", p, p.second, False))
+                out.append(_row("two-phase" if p.second.ack is not None else "two-phase (no ack)", p, p.second, False))
         for p in self.irregular:
-            if gone(p):
-                out.append(self._row("isyn (acked)" if p.ack is not None else "isyn", p, None, False))
-        self.regular = [p for p in self.regular if not gone(p)]
+            if p.role == IRREGULAR and gone(p):
+                out.append(_row("isyn (acked)" if p.ack is not None else "isyn", p, None, False))
+        self.regular = [p for p in self.regular if p.role == REGULAR and not gone(p)]
         self.pairs = [p for p in self.pairs if not gone(p)]
-        self.irregular = [p for p in self.irregular if not gone(p)]
+        self.irregular = [p for p in self.irregular if p.role == IRREGULAR and not gone(p)]
+        self._index()
         return out
 
-    @staticmethod
-    def _row(tag: str, first: Phase | None, second: Phase | None, repeated: bool) -> tuple:
-        s = (first or second).syn
-        one = lambda row, name: None if row is None else getattr(row, name)
-        isyn, iack = (first.syn, first.ack if second is None else None) if first else (None, None)
-        rsyn, rack = (second.syn, second.ack) if second else (None, None)
-        return (s.saddr, s.daddr, s.dport, s.ts_ms, tag, repeated, one(isyn, "userid"), one(iack, "userid"), one(rsyn, "userid"), one(rack, "userid"), one(isyn, "ipid"), one(isyn, "snum"), one(rack, "sport"), one(rack, "snum"), one(rack, "payload"), one(iack, "payload"))
+    @property
+    def due(self) -> int | None:
+        """When the next phase or waiting ACK is over; None if there is none."""
+        times = [t for t in (self._due, closing(self.waiting[0].ts_ms) if self.waiting else None) if t is not None]
+        return min(times, default=None)
+
+    def dump(self) -> dict:
+        """The state as plain lists; :meth:`load` reads it back."""
+        plain = lambda p: [p.syn, p.ack, p.order]
+        free = [p for p in self.irregular if p.role == IRREGULAR]
+        return {"version": 1, "count": self._count, "waiting": list(self.waiting), "irregular": [plain(p) for p in free], "regular": [plain(p) for p in self.regular], "pairs": [[plain(p), plain(p.second)] for p in self.pairs]}
+
+    @classmethod
+    def load(cls, state: dict, timeout: int = 600) -> Fold:
+        def phase(plain: list, role: int) -> Phase:
+            p = Phase(Packet(*plain[0]), role, plain[2])
+            p.ack = None if plain[1] is None else Packet(*plain[1])
+            return p
+
+        fold = cls(timeout)
+        fold._count, fold.waiting = state["count"], deque(Packet(*a) for a in state["waiting"])
+        fold.irregular = [phase(p, IRREGULAR) for p in state["irregular"]]
+        fold.regular = [phase(p, REGULAR) for p in state["regular"]]
+        for first, second in state["pairs"]:
+            p = phase(first, FIRST)
+            p.second = phase(second, SECOND)
+            fold.pairs.append(p)
+        fold._index()
+        return fold
+
+
+def _row(tag: str, first: Phase | None, second: Phase | None, repeated: bool) -> tuple:
+    s = (first or second).syn
+    one = lambda row, name: None if row is None else getattr(row, name)
+    isyn, iack = (first.syn, first.ack if second is None else None) if first else (None, None)
+    rsyn, rack = (second.syn, second.ack) if second else (None, None)
+    return (s.saddr, s.daddr, s.dport, s.ts_ms, tag, repeated, one(isyn, "userid"), one(iack, "userid"), one(rsyn, "userid"), one(rack, "userid"), one(isyn, "ipid"), one(isyn, "snum"), one(rack, "sport"), one(rack, "snum"), one(rack, "payload"), one(iack, "payload"))
 
 
 def frame(rows: list[tuple]) -> pd.DataFrame:
@@ -128,9 +232,9 @@ def events_of(packets: DataFrame, *more: str) -> DataFrame:
     return packets.withColumn("kind", kind).where("kind is not null").select(*NEEDED, *more)
 
 
-def rows_of(pdf: pd.DataFrame) -> Iterator:
+def rows_of(pdf: pd.DataFrame) -> Iterator[Packet]:
     """Rows with None for missing values and whole numbers as int."""
-    return pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name="Row")
+    return map(Packet._make, pdf[NEEDED].astype(object).where(pdf[NEEDED].notna(), None).itertuples(index=False, name=None))
 
 
 def assemble_handshakes(packets: DataFrame, phase_timeout: int = 600) -> DataFrame:
@@ -139,19 +243,33 @@ def assemble_handshakes(packets: DataFrame, phase_timeout: int = 600) -> DataFra
     Lone ACKs are dropped; a repeated connection after a two-phase event is flagged.
     """
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fold = None, Fold(phase_timeout)
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for row in rows_of(pdf):
-                if (row.saddr, row.daddr, row.dport) != key:
+            for row in map(Packet._make, zip(*[batch.column(c).to_pylist() for c in NEEDED])):
+                if row[:3] != key:
                     out += fold.close(None)
-                    key, fold = (row.saddr, row.daddr, row.dport), Fold(phase_timeout)
+                    key, fold = row[:3], Fold(phase_timeout)
                 out += fold.close(row.ts_ms)
                 fold.add(row)
-            yield frame(out)
-        yield frame(fold.close(None))
+            yield _batch(out)
+        yield _batch(fold.close(None))
 
-    keys = ["saddr", "daddr", "dport"]
     n = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return events_of(packets).repartition(n, *keys).sortWithinPartitions(*keys, "ts_ms", "step").mapInPandas(walk, RESULT)
+    own = Window.partitionBy(*KEYS).orderBy("ts_ms", "step").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dealt = events_of(packets).repartition(n, *KEYS).withColumn("_alike", F.min("kind").over(own) == F.max("kind").over(own))
+    is_first, none = F.col("kind") == "isyn", lambda kind: F.lit(None).cast(kind)
+    known = {
+        "tag": F.col("kind"), "repeated": F.lit(False), "isyn": F.when(is_first, F.col("userid")), "rsyn": F.when(~is_first, F.col("userid")),
+        "isyn_ipid": F.when(is_first, F.col("ipid")), "isyn_snum": F.when(is_first, F.col("snum")),
+    }
+    kinds = dict(c.split() for c in RESULT.split(", "))
+    alike = dealt.where("_alike and kind <> 'ack'").select(*[(F.col(c) if c in (*KEYS, "ts_ms") else known.get(c, none("string"))).cast(kinds[c]).alias(c) for c in COLUMNS])
+    mixed = dealt.where("not _alike").sortWithinPartitions(*KEYS, "ts_ms", "step").select(*NEEDED)
+    return alike.unionByName(mixed.mapInArrow(walk, RESULT))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(COLUMNS)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)

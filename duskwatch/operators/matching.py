@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duskwatch.functions.net import hour_ms
 
@@ -21,24 +26,31 @@ def flag_retransmits(packets: DataFrame, order: tuple[str, ...] = ("ts_ms",)) ->
     return marked.withColumn("retransmit", ~F.col("_rst") & F.coalesce(again, F.lit(False))).drop("_rst")
 
 
-def one_to_one(pairs: DataFrame, left: str, right: str, left_order: list[Column], right_order: list[Column]) -> DataFrame:
-    """Greedy matching of candidate pairs: left rows in order, each takes its first free right row.
+PAIR = ("userid", "method", "saddr", "daddr", "sport", "dport")
+
 
-    A pair in which each side is the other's first choice is settled; the rest is tried again
-    without the rows that are taken.  Rounds repeat until no pair is left, which gives the same
-    pairs as going through the left rows one by one, but a round is two window functions over keys
-    that only meet their own candidates.  Contention is rare, so there are one or two rounds.
+def first_free(timeout_ms: int):
+    """Greedy one-to-one matching of one key's packets and confirmations, given in the order of time.
+
+    Returns a function of (time, row) that takes a packet's row or, for a confirmation, None, and gives the
+    matched ``(row, confirmation's time)`` or None.  Packets in order each take the first free confirmation
+    at most ``timeout_ms`` away; since all reach equally far, the first packet waiting and the first free
+    confirmation always belong together, and only what is within reach is kept.
     """
-    done = None
-    while True:
-        first = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(left).orderBy(*right_order)))
-        first = first.withColumn("_l", F.row_number().over(Window.partitionBy(right).orderBy(*left_order)))
-        settled = first.where("_r = 1 and _l = 1").drop("_r", "_l")
-        done = settled if done is None else done.unionByName(settled)
-        rest = pairs.join(settled.select(left), left, "left_anti").join(settled.select(right), right, "left_anti")
-        if rest.isEmpty():
-            return done
-        pairs = rest.checkpoint() if rest.sparkSession.conf.get("spark.checkpoint.dir", None) else rest
+    waiting, free = deque(), deque()
+
+    def step(ts: int, row):
+        mine, others = (free, waiting) if row is None else (waiting, free)
+        for queue in (mine, others):
+            while queue and queue[0][0] < ts - timeout_ms:
+                queue.popleft()
+        if not others:
+            mine.append((ts, row))
+            return None
+        other_ts, other = others.popleft()
+        return (other, ts) if row is None else (row, other_ts)
+
+    return step
 
 
 def match_confirmations(packets: DataFrame, confs: DataFrame, timeout_ms: int = 300_000) -> DataFrame:
@@ -46,16 +58,44 @@ def match_confirmations(packets: DataFrame, confs: DataFrame, timeout_ms: int =
 
     A probed packet (non-null method) needs a confirmation of the swapped addresses and ports,
     same method and userid, at most ``timeout_ms`` away; each confirmation serves one packet, in
-    order of arrival.  Probed packets without one are left out.
+    order of arrival (``ts_ms``, ``step``).  Probed packets without one are left out, and those with a
+    null among these columns have none.
+
+    Packets and confirmations are shuffled once, by the six columns.  Where a key has one of each, a
+    window sees it; other keys are walked in the order of time, which keeps what is within reach.
     """
-    p = packets.withColumn("_p", F.struct("ts_ms", "userid", "step"))
-    c = confs.select(*[F.col(n).alias(f"c_{n}") for n in ("userid", "method", "saddr", "daddr", "sport", "dport", "ts_ms")])
-    same = (F.col("userid") == F.col("c_userid")) & (F.col("method") == F.col("c_method")) & (F.col("daddr") == F.col("c_saddr")) & (F.col("saddr") == F.col("c_daddr")) & (F.col("dport") == F.col("c_sport")) & (F.col("sport") == F.col("c_dport"))
-    near = F.abs(F.col("c_ts_ms") - F.col("ts_ms")) <= timeout_ms
-    pairs = p.join(c, same & near).select("_p", F.struct("c_userid", "c_ts_ms", "c_sport", "c_dport", "c_saddr", "c_daddr").alias("_c"))
-    found = one_to_one(pairs, "_p", "_c", [F.col("_p")], [F.col("_c.c_ts_ms")]).select("_p", F.col("_c.c_ts_ms").alias("con_ms"))
-    out = p.join(found, "_p", "left").drop("_p")
-    return out.where("method is null or con_ms is not null")
+    probed = packets.where(" and ".join(f"{c} is not null" for c in (*PAIR, "ts_ms")))
+    row = F.struct(*[F.col(c) for c in packets.columns])
+    p = probed.select(*PAIR, "ts_ms", "step", row.alias("packet"))
+    turned = {"saddr": "daddr", "daddr": "saddr", "sport": "dport", "dport": "sport"}
+    c = confs.where("ts_ms is not null").select(*[F.col(turned.get(n, n)).cast(packets.schema[n].dataType).alias(n) for n in PAIR], F.col("ts_ms").cast(packets.schema["ts_ms"].dataType).alias("ts_ms"), F.lit(-1).cast(packets.schema["step"].dataType).alias("step"), F.lit(None).cast(p.schema["packet"].dataType).alias("packet"))
+    n = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = Window.partitionBy(*PAIR).orderBy("ts_ms", "step").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_packet = F.col("packet").isNotNull()
+    rows = p.unionByName(c.where(" and ".join(f"{k} is not null" for k in PAIR))).repartition(n, *PAIR)
+    rows = rows.withColumns({"np": F.count_if(is_packet).over(own), "nc": F.count_if(~is_packet).over(own), "c_ts": F.min(F.when(~is_packet, F.col("ts_ms"))).over(own)})
+    single = rows.where((F.col("np") == 1) & (F.col("nc") == 1) & is_packet & (F.abs(F.col("c_ts") - F.col("ts_ms")) <= timeout_ms)).select("packet.*", F.col("c_ts").alias("con_ms"))
+    several = rows.where("np >= 1 and nc >= 1 and np + nc > 2").sortWithinPartitions(*PAIR, "ts_ms", "step").select(*PAIR, "ts_ms", "packet")
+    schema = T.StructType([*packets.schema.fields, T.StructField("con_ms", packets.schema["ts_ms"].dataType)])
+    names = [f.name for f in schema]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step = None, None
+        for batch in batches:
+            found = []
+            packet_type = batch.schema.field("packet").type
+            kinds = [packet_type.field(k).type for k in range(packet_type.num_fields)] + [batch.schema.field("ts_ms").type]
+            own_keys = zip(*[batch.column(k).to_pylist() for k in PAIR])
+            for k, ts, packet in zip(own_keys, batch.column("ts_ms").to_pylist(), batch.column("packet").to_pylist()):
+                if k != key:
+                    key, step = k, first_free(timeout_ms)
+                if (hit := step(ts, packet)) is not None:
+                    found.append((*[hit[0][name] for name in names[:-1]], hit[1]))
+            columns = zip(*found) if found else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], names)
+
+    unprobed = packets.where("method is null").withColumn("con_ms", F.lit(None).cast(packets.schema["ts_ms"].dataType))
+    return unprobed.unionByName(single).unionByName(several.mapInArrow(walk, schema))
 
 
 def unused_confirmations(packets: DataFrame, confs: DataFrame, timeout_ms: int = 300_000) -> DataFrame:

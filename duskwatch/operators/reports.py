@@ -47,28 +47,32 @@ def share_curve(counts: DataFrame, n: int = 25) -> DataFrame:
 def recover_payloads(handshakes: DataFrame, packets: DataFrame) -> DataFrame:
     """Two-phase events with ``rack_payload`` filled from raw ACKs of the same flow and sequence number.
 
-    The raw ACKs are the non-empty ones; the first of a flow and number counts and serves one event.
-    ``matched`` tells where that happened.
+    The raw ACKs are the non-empty ones; the first of a flow and number counts, and serves the first
+    event that lacks a payload.  ``matched`` tells where that happened.
     """
+    return _recovered(handshakes.where("tag = 'two-phase'"), packets)
+
+
+def _recovered(events: DataFrame, packets: DataFrame) -> DataFrame:
     flow = ["saddr", "daddr", "sport", "dport", "snum"]
     raw = packets.where("ack = 1 and syn = 0 and payload <> ''").groupBy(*flow).agg(F.min_by("payload", F.struct("ts_ms", "step")).alias("raw"))
     raw = raw.select(*[F.col(c).alias(f"r_{c}") for c in flow], "raw")
-    events = handshakes.where("tag = 'two-phase'")
-    first = F.row_number().over(Window.partitionBy("saddr", "daddr", "rack_sport", "dport", "rack_snum").orderBy("ts_ms", "rack"))
-    lacking = events.withColumn("_turn", F.when(F.col("rack_payload") == "", first))
+    lacks = (F.col("tag") == "two-phase") & (F.col("rack_payload") == "")
+    turn = F.row_number().over(Window.partitionBy("saddr", "daddr", "rack_sport", "dport", "rack_snum", "_lacks").orderBy("ts_ms", "rack"))
+    lacking = events.withColumn("_lacks", F.coalesce(lacks, F.lit(False))).withColumn("_turn", F.when(F.col("_lacks"), turn))
     same = (F.col("saddr") == F.col("r_saddr")) & (F.col("daddr") == F.col("r_daddr")) & (F.col("rack_sport") == F.col("r_sport")) & (F.col("dport") == F.col("r_dport")) & (F.col("rack_snum") == F.col("r_snum")) & (F.col("_turn") == 1)
-    out = lacking.join(raw, same, "left").drop("_turn", *[f"r_{c}" for c in flow])
+    out = lacking.join(raw, same, "left").drop("_turn", "_lacks", *[f"r_{c}" for c in flow])
     return out.withColumns({"matched": F.col("raw").isNotNull(), "rack_payload": F.coalesce("raw", "rack_payload")}).drop("raw")
 
 
 def contact_types(handshakes: DataFrame, packets: DataFrame) -> DataFrame:
     """Counters per hour over two-phase events: all, without ACK, without and with payload, by kind, matched."""
-    bare = handshakes.where("tag = 'two-phase (no ack)'").select("ts_ms", F.lit(None).cast("string").alias("kind"), F.lit(False).alias("matched"), F.lit(False).alias("acked"), F.lit(False).alias("loaded"))
-    full = recover_payloads(handshakes, packets)
-    loaded = F.col("rack_payload") != ""
-    full = full.select("ts_ms", F.when(loaded, pl.payload_kind("rack_payload")).alias("kind"), "matched", F.lit(True).alias("acked"), loaded.alias("loaded"))
+    acked = F.col("tag") == "two-phase"
+    loaded = acked & (F.col("rack_payload") != "")
+    events = _recovered(handshakes.where("tag in ('two-phase', 'two-phase (no ack)')"), packets)
+    events = events.select("ts_ms", F.when(loaded, pl.payload_kind("rack_payload")).alias("kind"), "matched", acked.alias("acked"), F.coalesce(loaded, F.lit(False)).alias("loaded"))
     n = lambda c, name: F.count_if(c).alias(name)
-    return bare.unionByName(full).groupBy(hour_ms("ts_ms").alias("hour_ms")).agg(
+    return events.groupBy(hour_ms("ts_ms").alias("hour_ms")).agg(
         F.count(F.lit(1)).alias("all"), n(~F.col("acked"), "without_ack"), n(F.col("acked") & ~F.col("loaded"), "without_payload"), n(F.col("loaded"), "with_payload"),
         n(F.col("kind") == "ascii", "ascii"), n(F.col("kind") == "hex", "hex"), n(F.col("kind") == "downloader", "downloader"), n(F.col("matched"), "matched"),
     )

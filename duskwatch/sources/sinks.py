@@ -35,15 +35,25 @@ def write_packet_log(packets: DataFrame, path: str, mode: str = "errorifexists")
     lines.sortWithinPartitions("date", "hour", "ts").write.partitionBy("date", "hour").mode(mode).option("sep", "|").option("header", True).option("emptyValue", "").option("compression", "gzip").csv(path)
 
 
-def split_late(rows: DataFrame, arrival: str, log: str | None = None) -> tuple[DataFrame, DataFrame]:
+def split_late(rows: DataFrame, arrival: str, log: str | None = None, since_ms: int | None = None, width: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Rows a two-hour log accepts, and those it rejects: older than the hour before the newest seen.
 
-    ``arrival`` orders rows as they came, within each ``log`` (a column; None: one log).
+    ``arrival`` (numbers) orders rows as they came, within each ``log`` (a column; None: one log);
+    ``since_ms`` is an hour seen before all of them.  The running maximum is taken within ranges of
+    ``width`` arrivals and over the ranges' maxima, so that no task gets a whole log.  A row without a
+    time is neither late nor newest.
     """
-    hour = net.hour_ms("ts_ms")
-    newest = F.max(hour).over(Window.partitionBy(*([log] if log else [F.lit(0)])).orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0))
-    marked = rows.withColumn("_late", hour < newest - 3_600_000)
-    return marked.where("not _late").drop("_late"), marked.where("_late").drop("_late")
+    own = [log] if log else []
+    marked = rows.withColumns({"_range": F.floor(F.col(arrival) / width), "_hour": net.hour_ms("ts_ms")})
+    tops = marked.groupBy(*own, "_range").agg(F.max("_hour").alias("_top"))
+    before = Window.partitionBy(*own).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*[F.col(c).alias("_log") for c in own], F.col("_range").alias("_r"), F.max("_top").over(before).alias("_before"))
+    same = marked["_range"].eqNullSafe(tops["_r"]) & (marked[log].eqNullSafe(tops["_log"]) if log else F.lit(True))
+    joined = marked.join(tops, same)
+    within = Window.partitionBy(*own, "_range").orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0)
+    newest = F.greatest(F.max("_hour").over(within), "_before", F.lit(since_ms).cast("long"))
+    joined = joined.withColumn("_late", F.coalesce(F.col("_hour") < newest - 3_600_000, F.lit(False)))
+    return joined.where("not _late").select(*rows.columns), joined.where("_late").select(*rows.columns)
 
 
 def with_events(handshakes: DataFrame, packets: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pickle
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,7 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from duskwatch.functions import payload as pl
 from duskwatch.functions.net import hour_ms
-from duskwatch.operators.handshakes import GRACE, RESULT, Fold, events_of, frame, rows_of
+from duskwatch.operators.handshakes import RESULT, Fold, events_of, frame, rows_of
+from duskwatch.sources.sinks import split_late
 
 
 def read_topics(spark: SparkSession, topics: list[str], servers: str, schema: str, **options) -> DataFrame:
@@ -39,47 +40,47 @@ def unique_packets(packets: DataFrame, delay: str = "30 minutes") -> DataFrame:
 
 
 def confirmed(packets: DataFrame, confs: DataFrame, delay: str = "30 minutes", timeout: str = "5 minutes") -> DataFrame:
-    """Stream-stream join of probed packets and their confirmations; adds ``con_ms``."""
-    p = packets.where("method is not null")
-    p = p if "ts" in p.columns else with_time(p, delay)
-    c = with_time(confs, delay).select(*[F.col(n).alias(f"c_{n}") for n in ("userid", "method", "saddr", "daddr", "sport", "dport", "ts_ms", "ts")])
+    """Packets with ``con_ms``: probed ones by a stream-stream join with their confirmations, unprobed ones with null.
+
+    A userid names one probe, so of repeated confirmations, and of repeated packets of one probe, the
+    first within the watermark's delay counts and the join is one to one.  Probed packets without a
+    confirmation are left out, as in the batch.
+    """
+    keys = ["userid", "method", "saddr", "daddr", "sport", "dport"]
+    packets = packets if "ts" in packets.columns else with_time(packets, delay)
+    p = packets.where("method is not null").dropDuplicatesWithinWatermark(keys)
+    c = with_time(confs, delay).dropDuplicatesWithinWatermark(keys).select(*[F.col(n).alias(f"c_{n}") for n in (*keys, "ts_ms", "ts")])
     near = F.expr(f"c_ts between ts - interval {timeout} and ts + interval {timeout}")
     same = F.expr("userid = c_userid and method = c_method and daddr = c_saddr and saddr = c_daddr and dport = c_sport and sport = c_dport")
-    return p.join(c, same & near).drop("c_userid", "c_method", "c_saddr", "c_daddr", "c_sport", "c_dport", "c_ts").withColumnRenamed("c_ts_ms", "con_ms")
+    joined = p.join(c, same & near).withColumn("con_ms", F.col("c_ts_ms")).select(*packets.columns, "con_ms")
+    return joined.unionByName(packets.where("method is null").withColumn("con_ms", F.lit(None).cast(packets.schema["ts_ms"].dataType)))
 
 
 def handshakes(packets: DataFrame, phase_timeout: int = 600) -> DataFrame:
     """The batch fold over a stream of confirmed packets: state per key, events when their hour closes.
 
-    ``packets`` carries the watermarked column ``ts``.  Rows of a micro-batch are sorted per key;
-    the state is the pickled fold, and the event-time timer is set to its earliest closing time.
+    ``packets`` carries the watermarked column ``ts``.  Rows of a micro-batch are sorted per key; the
+    state is the fold's open phases as JSON lists, so that it outlives changes of this library's classes,
+    and the event-time timer is set to its earliest closing time.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold = pickle.loads(state.get[0]) if state.exists else Fold(phase_timeout)
+        fold = Fold.load(json.loads(state.get[0]), phase_timeout) if state.exists else Fold(phase_timeout)
         out = []
         if state.hasTimedOut:
             out = fold.close(state.getCurrentWatermarkMs())
         else:
             for row in rows_of(pd.concat(list(frames)).sort_values(["ts_ms", "step"])):
                 out += fold.close(row.ts_ms)
-                fold.add(Row(**row._asdict()))
-        open_ = fold.irregular + fold.regular + fold.pairs
-        if open_:
-            state.update((pickle.dumps(fold),))
-            state.setTimeoutTimestamp(max(min(p.syn.ts_ms - p.syn.ts_ms % 3_600_000 + GRACE for p in open_), state.getCurrentWatermarkMs() + 1))
+                fold.add(row)
+        if (due := fold.due) is not None:
+            state.update((json.dumps(fold.dump()),))
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
         yield frame(out)
 
-    return events_of(packets, "ts").groupBy("saddr", "daddr", "dport").applyInPandasWithState(step, RESULT, "fold binary", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-class Row:
-    """A packet in state; unlike a named tuple it can be pickled by its class."""
-
-    def __init__(self, **values):
-        self.__dict__.update(values)
+    return events_of(packets, "ts").groupBy("saddr", "daddr", "dport").applyInPandasWithState(step, RESULT, "fold string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def throttled(df: DataFrame, key: str, every_ms: int = 3_600_000) -> DataFrame:
@@ -132,22 +133,28 @@ def chain(packets: DataFrame, sink: Callable[[DataFrame, DataFrame, int], None],
     return handshakes(packets).writeStream.foreachBatch(fan_out).option("checkpointLocation", checkpoint).start()
 
 
-def log_by_hour(packets: DataFrame, path: str, rejects: str, checkpoint: str):
+def log_by_hour(packets: DataFrame, path: str, rejects: str, checkpoint: str, arrival: str | None = None):
     """Write a packet stream by hour; rows older than the hour before the newest go to ``rejects``.
 
     The newest hour is that of all rows so far: of this run's, and of the folders already written,
-    so a restarted query goes on where the last one stopped.
+    so a restarted query goes on where the last one stopped.  Within a micro-batch rows count as they
+    came if ``arrival`` (a column of numbers) tells, else the batch's newest row counts for all of it.
+    A micro-batch writes folders of its own number, so one that is repeated replaces what it wrote.
     """
     spark = packets.sparkSession
     newest = {"ms": cached_newest(spark, path)}
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
-        top = batch.agg(F.max(hour_ms("ts_ms")).alias("t")).first()["t"] or 0
-        newest["ms"] = max(newest["ms"], top)
-        late = hour_ms("ts_ms") < newest["ms"] - 3_600_000
-        batch.where(~late).withColumn("hour_ms", hour_ms("ts_ms")).write.mode("append").partitionBy("hour_ms").parquet(path)
-        batch.where(late).write.mode("append").parquet(rejects)
+        before, top = newest["ms"], batch.agg(F.max(hour_ms("ts_ms")).alias("t")).first()["t"] or 0
+        if arrival is None:
+            late = batch.where(hour_ms("ts_ms") < max(before, top) - 3_600_000)
+            good = batch.where(hour_ms("ts_ms") >= max(before, top) - 3_600_000)
+        else:
+            good, late = split_late(batch, arrival, since_ms=before)
+        newest["ms"] = max(before, top)
+        good.withColumn("hour_ms", hour_ms("ts_ms")).write.mode("overwrite").partitionBy("hour_ms").parquet(f"{path}/batch={number}")
+        late.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
         batch.unpersist()
 
     return packets.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()

@@ -1,5 +1,7 @@
 """Worked examples: series, fits, stores, payloads, handshakes."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,10 +134,35 @@ def test_retransmits_at_the_hour_edge(spark):
     assert [r["retransmit"] for r in out.collect()] == [False, True, True, False, False]
 
 
+def greedy(packets, confs, reach):
+    """Each packet in order takes its first free confirmation within reach."""
+    free, got = sorted(confs), {}
+    for ts, step in sorted(packets):
+        hit = next((c for c in free if abs(c - ts) <= reach), None)
+        if hit is not None:
+            free.remove(hit)
+            got[ts, step] = hit
+    return got
+
+
 def test_greedy_matching_under_contention(spark):
-    pairs = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 11), (3, 10), (3, 11), (4, 12)], "l int, r int")
-    got = matching.one_to_one(pairs, "l", "r", [F.col("l")], [F.col("r")])
-    assert sorted((r["l"], r["r"]) for r in got.collect()) == [(1, 10), (2, 11), (4, 12)]
+    rng = random.Random(3)
+    packets, confs, want = [], [], {}
+    for u in range(60):
+        ps = [(rng.randint(0, 400), k) for k in range(rng.randint(1, 6))]
+        cs = [rng.randint(0, 400) for _ in range(rng.randint(0, 6))]
+        want |= {(u, *k): c for k, c in greedy(ps, cs, 50).items()}
+        packets += [(k, ts, 1, 2, 10, 20, "m", u, "x") for ts, k in ps]
+        confs += [(u, "m", 2, 1, 20, 10, c) for c in cs]
+    packets += [(0, 5, 1, 2, 10, 20, None, 7, "unprobed"), (1, 5, None, 2, 10, 20, "m", 7, "no address")]
+    p = spark.createDataFrame(packets, "step int, ts_ms long, saddr long, daddr long, sport int, dport int, method string, userid long, con_note string")
+    c = spark.createDataFrame(confs, "userid long, method string, saddr long, daddr long, sport int, dport int, ts_ms long")
+    out = matching.match_confirmations(p, c, 50)
+    assert out.columns == [*p.columns, "con_ms"]
+    rows = out.collect()
+    assert [r["con_ms"] for r in rows if r["con_note"] == "unprobed"] == [None]
+    assert {(r["userid"], r["ts_ms"], r["step"]): r["con_ms"] for r in rows if r["con_note"] == "x"} == want
+    assert matching.match_confirmations(p.limit(0), c).count() == 0 and matching.match_confirmations(p, c.limit(0)).count() == 1
 
 
 def test_throttle_counts_from_the_last_attempt(spark):
