@@ -11,21 +11,27 @@
 3. The smallest class of each posting list is its pivot.  Every member is held against its pivots
    (collisions, then the full sets), and confirmed links are contracted to components.  That is
    linear in the postings and settles almost every list.
-4. Lists that still hold several components are settled exactly: the classes that share a pivot
-   are a group, a group is cut into blocks of bounded size, and a task gets two blocks, counts the
-   shingles that each pair shares by a matrix product and returns at most one link per
-   component.  Pairs already known to be connected (both in the pivot's component) are skipped.
+4. Lists that still hold several components are settled exactly.  The classes of a list are a group.
+   In a group of over ``block`` classes, say of a million pages of one template, the classes are first
+   listed anew by their rarest shingles: two sets that are near enough share one of the first
+   ``n - ceil(percent * n) + 1`` shingles of either, in the order of their frequency, so pages that only
+   share the template are never compared.  A group is then cut into blocks of bounded size, and a task
+   gets two blocks, counts the shingles that each pair shares by a matrix product and returns at most one
+   link per component.  Pairs already known to be connected (both in the pivot's component) are skipped.
    Pairs are never rows of a table.
 
 Links need 100 * |A n B| >= percent * |A u B| on the full sets of 64-bit shingle hashes: 85 in the
 query, 80 in the pipeline.  A pair at exactly that limit is missed only if fewer than ``matches`` of
 its coordinates agree.  ``matches`` follows from the limit, so that at most 1 in 32,000 such pairs is
 missed, and far fewer above the limit: of 48 it is 30 at 85 (3 in 100,000) and 26 at 80 (1 in 100,000).
+With ``exact`` all classes are listed by their rarest shingles instead of coordinates, and none is missed.
 
 Defined cases: a null text is empty; texts without words have no shingles, link with nothing and
-are kept; rows of one id are one document, linked by any of their texts; rows with a null id are
-compared by exact set only and never represent a group (component_id is the smallest id with that set, null if none);
-other columns are not read; an empty table gives none.
+are kept; rows of one id are one document, linked by any of their texts; rows with a null id are linked
+like others but never represent a group: component_id is the smallest id of the component, null if it has
+none, and then ``kept`` is true for all its rows, which cannot be told apart (drop_near_duplicates keeps
+one of them); where ids reach 2^62, rows with a null id are compared by exact set only; other columns are
+not read; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -38,8 +44,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from duskwatch.llm.common import table, written
+from duskwatch.llm.common import fresh, table, written
 from duskwatch.llm.components import components
 from duskwatch.llm.shingles import minhash, mix, shingle_hashes
 
@@ -62,6 +69,12 @@ def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
+def _fingerprints(grams: np.ndarray, off: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Two hashes of each set."""
+    fp1, fp2 = (pa.array(_sums(mix(grams ^ np.uint64(k)), off).view(np.int64)) for k in (0x51, 0xA7))
+    return fp1, fp2
+
+
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, coordinates: int = COORDINATES) -> DataFrame:
     """``doc_id, n, fp1, fp2, signature``: set size, two hashes of the whole set, minima."""
 
@@ -71,29 +84,42 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
                 grams, off = shingle_hashes(part.column(1), size)
                 sig = minhash(grams, off, coordinates).view(np.int32).ravel()
                 ends = np.arange(len(part) + 1, dtype=np.int32) * coordinates
-                fp1, fp2 = (_sums(mix(grams ^ np.uint64(k)), off).view(np.int64) for k in (0x51, 0xA7))
+                fp1, fp2 = _fingerprints(grams, off)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(np.diff(off).astype(np.int64)), pa.array(fp1), pa.array(fp2), pa.ListArray.from_arrays(pa.array(ends), pa.array(sig))],
+                    [part.column(0).cast(pa.int64()), pa.array(np.diff(off).astype(np.int64)), fp1, fp2, pa.ListArray.from_arrays(pa.array(ends), pa.array(sig))],
                     ["doc_id", "n", "fp1", "fp2", "signature"],
                 )
 
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(sign, "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, signature array<int>")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
-    """``cls, n, grams``: the full shingle sets of the documents whose ids are given."""
+def _shingled(texts: DataFrame, size: int) -> DataFrame:
+    """``cls, n, fp1, fp2, grams`` of rows ``cls, text``."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _chunks(batch):
                 grams, off = shingle_hashes(part.column(1), size)
+                fp1, fp2 = _fingerprints(grams, off)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(np.diff(off).astype(np.int64)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(grams.view(np.int64)))],
-                    ["cls", "n", "grams"],
+                    [part.column(0).cast(pa.int64()), pa.array(np.diff(off).astype(np.int64)), fp1, fp2, pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(grams.view(np.int64)))],
+                    ["cls", "n", "fp1", "fp2", "grams"],
                 )
 
-    wanted = docs.select(F.col(doc_id).cast("bigint").alias("cls"), F.col(text).cast("string").alias("text")).join(ids.hint("merge"), "cls", "left_semi")
-    return wanted.mapInArrow(shingle, "cls bigint, n bigint, grams array<bigint>")
+    return texts.mapInArrow(shingle, "cls bigint, n bigint, fp1 bigint, fp2 bigint, grams array<bigint>")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, nameless: DataFrame | None, doc_id: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
+    """``cls, n, grams``: the full shingle sets of the wanted classes.
+
+    A class is known by one of its documents' ids; ``nameless`` (``cls, n, fp1, fp2``) has those without ids.
+    """
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("cls"), F.col(text).cast("string").alias("text"))
+    found = _shingled(rows.join(wanted.hint("merge"), "cls", "left_semi"), size).select("cls", "n", "grams")
+    if nameless is None:
+        return found
+    rest = _shingled(rows.where("cls is null"), size).drop("cls").join(nameless.join(wanted, "cls", "left_semi"), ["n", "fp1", "fp2"])
+    return found.unionByName(rest.select("cls", "n", "grams").dropDuplicates(["cls"]))
 
 
 def matches_for(percent: int, coordinates: int = COORDINATES) -> int:
@@ -117,6 +143,23 @@ def postings(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
     return shared.where(room > 0).select("cls", F.explode(F.slice("ts", F.lit(1), room)).alias("t")).select("t.token", "cls").distinct()
 
 
+def rare_postings(sets: DataFrame, percent: int) -> DataFrame:
+    """``token, cls``: each class under its rarest shingles, of which every set near enough shares one.
+
+    Sets that are near have at least ceil(percent * n / 100) of a set's n shingles.  Shingles of one set
+    only are skipped, and of lists with the same classes one is posted.
+    """
+    tokens = sets.select("cls", "n", F.xxhash64("grams").alias("own"), F.explode("grams").alias("token"))
+    frequent = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    shared = tokens.join(frequent, "token").groupBy("cls", "own", "n").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("ts"))
+    room = F.size("ts") - F.expr(f"cast(({percent} * n + 99) div 100 as int)") + 1
+    posted = shared.where(room > 0).select("cls", F.explode(F.slice("ts", F.lit(1), room)).alias("t")).select("t.token", "cls").distinct()
+    posted = written(posted, "rare")
+    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("cls")).alias("h1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("h2")).where("c > 1")
+    one = lists.groupBy("c", "h1", "h2").agg(F.min("token").alias("token")).select("token")
+    return written(posted.join(one, "token"), "rare")
+
+
 def shared_counts(rows: list[np.ndarray]) -> np.ndarray:
     """How many elements each pair of sorted sets has in common."""
     out = np.zeros((len(rows), len(rows)), np.int64)
@@ -201,21 +244,47 @@ def _tasks(groups: DataFrame, members: DataFrame, block: int, bundles: int) -> D
     return small.unionByName(own).unionByName(rest_own).unionByName(pairs).unionByName(single)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85, coordinates: int = COORDINATES, matches: int | None = None, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row; see the module."""
+def _grouped(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members ``p, cls, label, pivot_label`` marked by whether they are connected with the pivot, and the groups with others."""
+    members = written(members.select("p", "cls", "label", (F.col("label") == F.col("pivot_label")).alias("is_same")), "members")
+    groups = members.groupBy("p").agg(F.count_if("is_same").alias("same"), F.count_if(~F.col("is_same")).alias("other")).where("other > 0")
+    return members, written(groups, "groups")
+
+
+def _sized(groups: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    small = groups.where(F.col("same") + F.col("other") <= block).agg(F.sum(F.col("same") + F.col("other"))).first()[0] or 0
+    return _tasks(groups, members, block, max(1, small // (2 * block)))
+
+
+def _components(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, coordinates: int, matches: int | None, block: int, exact: bool) -> tuple[DataFrame, DataFrame, bool]:
+    """The signed rows, ``n, fp1, fp2, root, component`` of each class, and whether rows with words lack an id."""
     matches = matches_for(percent, coordinates) if matches is None else matches
     signed = written(signatures(docs, doc_id, text, size, coordinates), "signatures")
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("cls"), F.min_by("signature", "doc_id").alias("signature"))
-    classes = written(classes, "classes")
-    posted = written(postings(classes, coordinates, matches), "postings")
+    classes = written(signed.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("cls"), F.first("signature").alias("signature"), F.count_if(F.col("doc_id").isNull()).alias("without")), "classes")
+    ids = classes.agg(F.max("cls").alias("top"), F.count_if(F.col("cls").isNull()).alias("nameless"), F.coalesce(F.sum("without"), F.lit(0)).alias("without")).first()
+    top, nameless = ids["top"] or 0, None
+    if ids["nameless"] and top < 1 << 62:
+        # Classes without ids get numbers above all ids, so that any id of a component is smaller.
+        classes = written(classes.withColumn("cls", F.coalesce("cls", F.lit(top + 1) + F.monotonically_increasing_id())), "classes")
+        nameless = classes.where(F.col("cls") > top).select("cls", "n", "fp1", "fp2")
+    alone = classes.where("cls is null").select("n", "fp1", "fp2", F.lit(None).cast("bigint").alias("root"))
+    classes = classes.where("cls is not null")
+
+    if exact:
+        sets = written(shingle_sets(docs, classes.select("cls").distinct(), nameless, doc_id, text, size), "sets")
+        posted = rare_postings(sets, percent)
+    else:
+        posted = written(postings(classes, coordinates, matches), "postings")
     pivots = posted.groupBy("token").agg(F.min("cls").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "p")
     star = written(posted.join(pivots, "token").where("cls <> p").select("p", "cls").distinct(), "stars")
-    sets = written(shingle_sets(docs, star.select("cls").unionByName(star.select(F.col("p").alias("cls"))).distinct(), doc_id, text, size), "sets")
+    if not exact:
+        sets = written(shingle_sets(docs, star.select("cls").unionByName(star.select(F.col("p").alias("cls"))).distinct(), nameless, doc_id, text, size), "sets")
 
     sigs = classes.select("cls", "n", "signature")
     side = sigs.select(F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("signature").alias("ps"))
     collisions = F.size(F.filter(F.zip_with("signature", "ps", lambda x, y: x == y), lambda same: same))
-    likely = star.join(sigs, "cls").join(side, "p").where((100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (collisions >= matches)).select("p", "cls")
+    enough = F.lit(True) if exact else collisions >= matches
+    likely = star.join(sigs, "cls").join(side, "p").where((100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & enough).select("p", "cls").distinct()
     common = F.size(F.array_intersect("grams", "pg"))
     held = likely.join(sets, "cls").join(sets.select(F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("grams").alias("pg")), "p").withColumn("common", common)
     links = held.where(100 * F.col("common") >= percent * (F.col("n") + F.col("pn") - F.col("common"))).select(F.col("p").alias("a"), F.col("cls").alias("b"))
@@ -223,27 +292,62 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     members = star.unionByName(star.select("p", F.col("p").alias("cls")).distinct())
     members = members.join(first.withColumnRenamed("node", "cls"), "cls", "left").select("p", "cls", F.coalesce("label", "cls").alias("label"))
-    own = members.where("p = cls").select("p", F.col("label").alias("pivot_label"))
-    members = written(members.join(own, "p").select("p", "cls", "label", (F.col("label") == F.col("pivot_label")).alias("is_same")), "members")
-    groups = members.groupBy("p").agg(F.count_if("is_same").alias("same"), F.count_if(~F.col("is_same")).alias("other")).where("other > 0")
-    groups = written(groups, "groups")
-    small = groups.where(F.col("same") + F.col("other") <= block).agg(F.sum(F.col("same") + F.col("other"))).first()[0] or 0
-    tasks = _tasks(groups, members, block, max(1, small // (2 * block)))
+    members, groups = _grouped(members.join(members.where("p = cls").select("p", F.col("label").alias("pivot_label")), "p"))
+    large = groups.where(F.col("same") + F.col("other") > block).select("p")
+    if large.isEmpty():
+        tasks = _sized(groups, members, block)
+    else:
+        left = written(members.join(large, "p").select("cls", "label").distinct(), "unsettled")
+        again = rare_postings(sets.join(left, "cls", "left_semi"), percent).withColumnRenamed("token", "p").join(left, "cls")
+        again = again.join(again.groupBy("p").agg(F.min("label").alias("pivot_label")), "p")
+        tasks = _sized(groups.join(large, "p", "left_anti"), members, block)
+        tasks = tasks.unionByName(_sized(*reversed(_grouped(again)), block).withColumn("kind", F.concat(F.lit("rare "), "kind")))
     more = tasks.join(sets.select("cls", "grams"), "cls").groupBy("kind", "i", "j", "k").applyInArrow(_settle(percent), "a bigint, b bigint")
     second = components(more)
 
     final = classes.select("n", "fp1", "fp2", "cls").join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    final = final.join(second.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("n", "fp1", "fp2", F.coalesce("root", "label").alias("component"))
+    final = final.join(second.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("n", "fp1", "fp2", F.coalesce("to", "label").alias("root"))
+    final = final.unionByName(alone)
+    component = F.col("root") if nameless is None else F.when(F.col("root") <= top, F.col("root"))
+    return signed, final.withColumn("component", component), ids["without"] > 0
+
+
+def _decided(signed: DataFrame, final: DataFrame) -> DataFrame:
     out = signed.select("doc_id", "n", "fp1", "fp2").join(final, ["n", "fp1", "fp2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that stay: of each component, the one with the smallest id."""
-    found = near_duplicates(docs, doc_id, text, **options)
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[doc_id].cast("bigint") == gone["gone_id"], "left_anti")
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85, coordinates: int = COORDINATES, matches: int | None = None, block: int = BLOCK, exact: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row; see the module."""
+    signed, final, _ = _components(docs, doc_id, text, size, percent, coordinates, matches, block, exact)
+    return _decided(signed, final)
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85, coordinates: int = COORDINATES, matches: int | None = None, block: int = BLOCK, exact: bool = False) -> DataFrame:
+    """The documents that stay: of each component, the one with the smallest id; of a component without ids, one."""
+    signed, final, without = _components(docs, doc_id, text, size, percent, coordinates, matches, block, exact)
+    gone = _decided(signed, final).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    named = docs.join(gone, docs[doc_id].cast("bigint") == gone["gone_id"], "left_anti")
+    if not without:
+        return named
+    n, fp1, fp2, *keys = fresh(docs.columns, "set_n", "set_fp1", "set_fp2", "class_n", "class_fp1", "class_fp2", "class_root", "class_component")
+    at, kinds = docs.columns.index(text), T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in (n, fp1, fp2)]])
+
+    def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _chunks(batch, at):
+                grams, off = shingle_hashes(part.column(at).cast(pa.string()), size)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(off).astype(np.int64)), *_fingerprints(grams, off)], kinds.names)
+
+    nulls = docs.where(F.col(doc_id).cast("bigint").isNull()).mapInArrow(fingerprinted, kinds)
+    cls = final.toDF(*keys)
+    nulls = nulls.join(cls, (nulls[n] == cls[keys[0]]) & (nulls[fp1] == cls[keys[1]]) & (nulls[fp2] == cls[keys[2]]), "left")
+    # One row of a component: its root tells which, or its set where there is none.
+    sets = {c: F.when(F.col(keys[3]).isNull(), F.col(c)) for c in (n, fp1, fp2)}
+    single = nulls.where((F.col(n) > 0) & F.col(keys[4]).isNull()).withColumns(sets).dropDuplicates([keys[3], n, fp1, fp2])
+    empty = nulls.where(F.col(n) == 0)
+    return named.where(F.col(doc_id).cast("bigint").isNotNull()).unionByName(empty.select(*docs.columns)).unionByName(single.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
