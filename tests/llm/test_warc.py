@@ -4,6 +4,7 @@ import base64
 import glob
 import gzip
 import hashlib
+import io
 import uuid
 
 import pytest
@@ -66,6 +67,23 @@ def test_empty_table(spark, pages_of):
 
 def test_damage_is_an_error():
     with pytest.raises(ValueError, match="truncated"):
-        list(warc._inflated(memoryview(gzip.compress(b"a" * 1000)[:-9])))
+        list(warc._inflated(io.BytesIO(gzip.compress(b"a" * 1000)[:-9])))
     with pytest.raises(ValueError, match="cut off"):
         list(warc._records(iter([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"])))
+
+
+def test_several_members_and_padding_are_one_stream():
+    for step in (1, 7, 1 << 16):
+        data = gzip.compress(b"a" * 100) + bytes(9) + gzip.compress(b"") + gzip.compress(b"b" * 50) + bytes(3)
+        assert b"".join(warc._inflated(io.BytesIO(data), step)) == b"a" * 100 + b"b" * 50
+    assert list(warc._inflated(io.BytesIO(b""))) == []
+
+
+def test_archives_are_rolled_by_bytes_and_read_by_ranges(spark, pages_of, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "RANGE_BYTES", 700)
+    rows = [(i, f"http://a/{i}", f"{i} " + "".join(chr(97 + (i * j) % 26) for j in range(2000))) for i in range(100)]
+    base, index, read = through(spark, pages_of(rows).coalesce(1))
+    assert index.select("archive").distinct().count() >= 10
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in read.collect()}
+    assert got == {i: (len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, _, h in rows}
