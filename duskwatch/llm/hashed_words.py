@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from duskwatch.llm.shingles import _BASE, _BYTE, _SPACE, _U, mix, text_bytes
 
@@ -30,6 +31,7 @@ class Words:
 
     def __init__(self, texts: pa.Array, inner: np.ndarray = NON_SPACE):
         data, rows = text_bytes(texts)
+        self.data = data
         word = inner[data]
         first = word.copy()
         first[1:] &= ~word[:-1]
@@ -76,6 +78,17 @@ class Words:
         return np.repeat(np.arange(len(self.off) - 1), np.diff(self.off))
 
 
+def bounded_sample(rows: DataFrame, total: int, sample_rows: int) -> DataFrame:
+    """``text`` of about ``sample_rows`` of ``total`` rows ``doc_id, text``, by a hash of both.
+
+    Equal rows are taken once, so that neither null ids nor a document that fills a third of the table
+    can lengthen the sample; they meet after each task has reduced its own.
+    """
+    span = 1 << 31
+    keyed = rows.select("text", F.xxhash64("doc_id", "text").alias("key"))
+    return keyed.where(F.pmod("key", F.lit(span)) < int(span * min(1.0, sample_rows / max(total, 1)))).dropDuplicates(["key"]).select("text")
+
+
 def train_linear(sample: DataFrame, size: int, parts: int = 4, rounds: int = 150, rate: float = 0.2, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on rows ``ids array<int>, x array<float>, target double``.
 

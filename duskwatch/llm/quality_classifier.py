@@ -1,17 +1,20 @@
 """Quality classifier: a weak-label model and the linear scorer it trains.
 
-1. Eight heuristic labellers look at each whole text and vote good, bad or nothing.
-2. Documents are counted by their vote pattern (at most 3^8 patterns, whatever the corpus), and
-   expectation-maximisation over these counts estimates the share of good documents and, for each
-   labeller, how often it votes bad on good and on bad ones.  No label is read.
+1. Nine heuristic labellers look at each whole text and vote good, bad or nothing.  They overlap: each
+   fault is seen by several of them.
+2. Documents are counted by their vote pattern (at most 3^9 patterns, whatever the corpus), and
+   expectation-maximisation over these counts fits a latent-class model: good documents, and as many
+   kinds of bad ones as there are labellers, since a document mostly has one fault.  It estimates the
+   shares of the classes and, in each, every labeller's rate of bad votes among those it casts; so a
+   labeller that often calls good documents bad is found out and loses its say.  No label is read.
 3. The posterior of a document's pattern is its label for training a linear scorer on hashed words,
    hashed word shapes and repeated neighbours, fitted on a sample of about ``SAMPLE_ROWS``
-   documents (chosen by a hash of the id; the bound is a parameter).
+   documents (chosen by a hash of id and text, equal rows once; the bound is a parameter).
 4. Every document is scored; one is kept if its score is at least ``MIN_SCORE``.
 
-Defined cases: a text that is null or has no words gets no votes and the scorer's bias; null and
-repeated ids are rows like others (null ids hash alike); other columns are not read; an empty table
-gives none.
+Defined cases: a text that is null or has no words gets no votes and the scorer's bias; very long texts
+are looked at whole; null and repeated ids are rows like others; a score equal to the limit is kept;
+other columns are not read; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -24,14 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskwatch.llm.common import table
-from duskwatch.llm.hashed_words import Words, mix, sigmoid, train_linear
+from duskwatch.llm.hashed_words import Words, bounded_sample, mix, sigmoid, train_linear
 from duskwatch.llm.near_dup import _chunks
 
 SAMPLE_ROWS = 10_000
 BUCKETS = 1 << 14
 MIN_SCORE = 0.5
-#: Labellers are set so that at most this share of good documents gets a bad vote from one of them.
-MAX_FALSE = 0.001
 #: A labeller votes bad above the first limit and good up to the second, on texts of at least so
 #: many words: (name, bad above, good up to, least words).
 LABELLERS = (
@@ -43,8 +44,10 @@ LABELLERS = (
     ("repeated words", 0.85, 0.60, 60),
     ("words of over 25 bytes", 0.20, 0.05, 12),
     ("words without a letter", 0.20, 0.03, 12),
+    ("words ending in a symbol", 0.08, 0.02, 12),
 )
 GOOD, BAD, NONE = 0, 1, 2
+LENIENT = 50.0
 _U = np.uint64
 
 
@@ -62,6 +65,7 @@ def measures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     bang = (b == 33).astype(np.int8)
     bangs = bang[last] & bang[np.maximum(last - 1, 0)] & (w.lengths() > 1) if len(w) else np.zeros(0)
     symbol = np.isin(b, np.frombuffer(b"#*$%&|<>", np.uint8))
+    ends = symbol[last] if len(w) else np.zeros(0)
     letter = np.add.reduceat((lower | upper | high).astype(np.int64), w._first) > 0 if len(w) else np.zeros(0, bool)
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (rows[1:] == rows[:-1])
@@ -87,6 +91,7 @@ def measures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             1 - again / per,
             count(rows[w.lengths() > 25]) / per,
             count(rows[~letter]) / per,
+            count(rows, ends) / per,
         ],
         axis=1,
     )
@@ -119,29 +124,34 @@ def features(texts: pa.Array, n: int = BUCKETS) -> tuple[np.ndarray, np.ndarray,
     return row, ids, 4 * counts / np.diff(w.off)[row]
 
 
-def estimate(patterns: dict[int, int], rounds: int = 100) -> dict[int, float]:
+def label_model(patterns: dict[int, int], rounds: int = 300) -> tuple[dict[int, float], np.ndarray, np.ndarray]:
     """Posterior probability of good for each vote pattern, by expectation-maximisation.
 
-    A labeller has two rates, of bad votes on good and on bad documents among those it votes on;
-    that it abstains says nothing.  Each labeller looks for one fault and most bad documents have
-    one, so good votes are weak evidence and bad votes strong: estimation starts from labellers
-    that call a quarter of the bad documents bad, and the rate on good documents never exceeds
-    ``MAX_FALSE``.  Rates are smoothed by one vote each way.
+    Also returns the share of each class (good documents first, then one kind of bad ones for each
+    labeller) and the rates (class x labeller) of bad votes among all votes; that a labeller abstains says
+    nothing.  Estimation starts from kinds that one labeller mostly sees and the others now and then.
+    Rates are smoothed by a vote each way, and on good documents by ``LENIENT`` good votes to one bad.
     """
-    codes = np.array(sorted(patterns))
-    n = np.array([patterns[c] for c in codes], np.float64)
-    votes = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
+    k = len(LABELLERS)
+    codes = np.array(sorted(patterns), np.int64)
+    n = np.array([patterns[c] for c in codes.tolist()], np.float64)
+    votes = codes[:, None] // 3 ** np.arange(k) % 3
     bad, good = (votes == BAD).astype(float), (votes == GOOD).astype(float)
-    share, rates = 0.8, np.array([[MAX_FALSE], [0.25]]) * np.ones(len(LABELLERS))
-    posterior = np.zeros(len(codes))
+    rates = np.vstack([np.full(k, 0.02), np.full((k, k), 0.1) + 0.6 * np.eye(k)])
+    shares = start = np.r_[1 - 0.02 * k, np.full(k, 0.02)]
+    bads, goods = np.ones((k + 1, 1)), np.ones((k + 1, 1))
+    goods[0] = LENIENT
+    posterior = np.zeros((len(codes), k + 1))
     for _ in range(rounds):
-        on_good, on_bad = (bad @ np.log(r) + good @ np.log(1 - r) for r in rates)
-        posterior = sigmoid(on_good - on_bad + np.log(share / (1 - share)))
-        for c, p in ((0, n * posterior), (1, n * (1 - posterior))):
-            rates[c] = (p @ bad + 1) / (p @ (bad + good) + 2)
-        rates[0] = np.minimum(rates[0], MAX_FALSE)
-        share = float(np.clip((n @ posterior + 1) / (n.sum() + 2), 1e-3, 1 - 1e-3))
-    return dict(zip(codes.tolist(), posterior.tolist()))
+        log = bad @ np.log(rates).T + good @ np.log(1 - rates).T + np.log(shares)
+        posterior = np.exp(log - log.max(1, keepdims=True))
+        posterior /= posterior.sum(1, keepdims=True)
+        weight = posterior * n[:, None]
+        before, rates = rates, (weight.T @ bad + bads) / (weight.T @ (bad + good) + bads + goods)
+        shares = (weight.sum(0) + start) / (n.sum() + 1)
+        if np.abs(rates - before).max() < 1e-9:
+            break
+    return dict(zip(codes.tolist(), posterior[:, 0].tolist())), shares, rates
 
 
 class Model:
@@ -165,7 +175,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32())], ["votes"])
 
     counts = rows.select("text").mapInArrow(vote, "votes int").groupBy("votes").count().collect()
-    posterior = estimate({r["votes"]: r["count"] for r in counts}) if counts else {}
+    posterior, _, _ = label_model({r["votes"]: r["count"] for r in counts})
     total = sum(r["count"] for r in counts)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +187,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows
                 target = [posterior[c] for c in vote_codes(texts).tolist()]
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(off), pa.array(ids.astype(np.int32))), pa.ListArray.from_arrays(pa.array(off), pa.array(x.astype(np.float32))), pa.array(target, pa.float64())], ["ids", "x", "target"])
 
-    span = 1 << 31
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < int(span * min(1.0, sample_rows / max(total, 1))))
-    return Model(posterior, *train_linear(some.select("text").mapInArrow(sampled, "ids array<int>, x array<float>, target double"), buckets + 2), buckets)
+    some = bounded_sample(rows, total, sample_rows)
+    return Model(posterior, *train_linear(some.mapInArrow(sampled, "ids array<int>, x array<float>, target double"), buckets + 2), buckets)
 
 
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_score: float = MIN_SCORE, **options) -> DataFrame:
