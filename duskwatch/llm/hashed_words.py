@@ -24,6 +24,11 @@ LETTERS[48:58] = LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 NON_SPACE = ~_SPACE
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[128:] = 48, 65, 97, 200
+_MEANT = np.arange(256, dtype=np.uint8)
+_MEANT[65:91] = _MEANT[97:123]
+#: Digits that stand for letters.
+for _digit, _letter in zip(b"013457", b"oieast"):
+    _MEANT[_digit] = _letter
 
 
 class Words:
@@ -74,6 +79,25 @@ class Words:
         value = np.where(new, (kind.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + _U(77)) * self._powers[place], _U(0))
         return self._sum(value)
 
+    def meant(self) -> np.ndarray:
+        """Hash of each word as it is meant: digits that look like letters read as such, repeated letters once."""
+        letter = _MEANT[self._bytes]
+        new = np.ones(len(letter), bool)
+        new[1:] = (letter[1:] != letter[:-1]) | (self._place[1:] == 0)
+        place = np.cumsum(new) - 1
+        place = place - np.repeat(place[self._first], self.lengths()) if len(self) else place
+        return mix(self._sum(np.where(new, _BYTE[letter] * self._powers[place], _U(0))) + _U(101))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words that have another after them in their text, and the hash of both."""
+        h, rows = self.hashes(), self.rows()
+        at = np.flatnonzero(rows[1:] == rows[:-1])
+        return at, mix(h[at] * _U(3) + h[at + 1] + _U(202))
+
+    def any(self, flags: np.ndarray) -> np.ndarray:
+        """Which words have a flagged byte; ``flags`` is over the words' bytes."""
+        return np.add.reduceat(flags.astype(np.int64), self._first) > 0 if len(self) else np.zeros(0, bool)
+
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.off) - 1), np.diff(self.off))
 
