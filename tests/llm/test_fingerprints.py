@@ -1,6 +1,7 @@
 """Fingerprints against a walk over all rows in one list."""
 
 import hashlib
+import random
 import unicodedata
 
 from duskwatch.llm import fingerprints as fp
@@ -49,6 +50,16 @@ def test_null_and_repeated_ids(docs_of):
     assert fp.fingerprint_documents(docs_of([])).count() == 0
 
 
+def test_crowded_ids_and_frequent_digests(docs_of, monkeypatch):
+    monkeypatch.setattr(fp, "_OFTEN", 3)
+    monkeypatch.setattr(fp, "_PIECE", 4)
+    rng = random.Random(1)
+    texts = ["same", "Same ", "other", "", None, "x" * 70 + "a", "x" * 70 + "b", "z", *[f"t{i}" for i in range(12)]]
+    rows = [(rng.choice((None, None, 7, 7, 7, rng.randint(0, 60))), rng.choice(texts)) for _ in range(300)] + [(9, "same")] * 40
+    for parts in (1, 5):
+        assert found(fp.fingerprint_documents(docs_of(rows).repartition(parts))) == brute(rows)
+
+
 def test_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert found(fp.fingerprint_documents(docs)) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
