@@ -112,7 +112,8 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
 
     ``n_base`` counts the places where a phrase's words stand consecutively; ``first_word`` and
     ``last_word`` are the smallest and largest start among them.  ``labels`` adds the templates
-    that match a block; ``score`` is the best containment, 1 where a phrase stands.
+    that match a block; ``score`` is the best containment, 1 where a phrase stands.  A phrase of several
+    words must not overlap itself (such as "a b a"), since its places are counted one after the other.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), normal_words(text).alias("normal"))
     words = F.when(F.col("normal") == "", 0).otherwise(F.length("normal") - F.length(F.replace("normal", F.lit(" "), F.lit(""))) + 1)

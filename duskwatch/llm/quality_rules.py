@@ -20,6 +20,7 @@ trusted and raw multinomials differ by smoothing only.
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,9 +69,11 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def tokens(text: Column | str) -> Column:
-    """The tokens of a text as described above."""
+def tokens(text: Column | str, fold: bool = True) -> Column:
+    """The tokens of a text as described above; without ``fold`` its white-space separated words."""
     t = F.coalesce(text, F.lit(""))
+    if not fold:
+        return words(text)
     t = F.regexp_replace(t, r"\p{Lu}{2,}", _CAPITALS)
     t = F.regexp_replace(t, rf"[{SYMBOLS}]+|!{{2,}}", f" {_MARK} ")
     return F.array_remove(F.split(t, SPACE), "")
@@ -93,27 +96,29 @@ def _but_first(tokens: Column | str) -> Column:
 
 
 def trusted_ids(labels: DataFrame, rows: int | None = None) -> DataFrame:
-    """``doc_id`` of the documents labelled good; of at most ``rows``, by hash order, if given."""
+    """``doc_id`` of the documents labelled good; of about ``rows`` of them, by a hash of the id, if given."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good if rows is None else good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    if rows is None:
+        return good
+    span = 1 << 31
+    return good.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < int(span * min(1.0, rows / max(good.count(), 1))))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = BUCKETS) -> list[float]:
+def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = BUCKETS, fold: bool = True) -> list[float]:
     """The log ratio trusted : raw of every bucket; n numbers, whatever the corpus."""
     marked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # Rows without an id are dealt by their text, so that they do not meet in one task.
     marked = marked.withColumn("_deal", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0))
     marked = marked.join(trusted.select("doc_id", F.lit(0).cast("long").alias("_deal"), F.lit(1).alias("good")).hint("merge"), ["doc_id", "_deal"], "left")
-    marked = marked.select("good", tokens("text").alias("t"))
+    marked = marked.select("good", tokens("text", fold).alias("t"))
     neighbours = marked.select("good", F.inline(F.arrays_zip(F.col("t").alias("x"), _but_first("t").alias("y"))))
     grams = neighbours.select("good", F.explode(F.array(_single(F.col("x"), n), F.when(F.col("y").isNotNull(), _pair(F.col("x"), F.col("y"), n)))).alias("bucket"))
     counts = grams.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good"))
-    spark = docs.sparkSession
-    full = spark.range(n).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
-    totals = full.agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"))
-    ratio = F.log((F.col("good") + 1) / (F.col("all_good") + n)) - F.log((F.col("raw") + 1) / (F.col("all_raw") + n))
-    got = full.join(F.broadcast(totals)).select("bucket", ratio.alias("r")).collect()
-    return [r["r"] for r in sorted(got)]
+    raw, good = [0] * n, [0] * n
+    for r in counts.collect():  # one row for each bucket
+        raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]
+    all_raw, all_good = sum(raw), sum(good)
+    return [math.log((g + 1) / (all_good + n)) - math.log((r + 1) / (all_raw + n)) for r, g in zip(raw, good)]
 
 
 def ratio_score(tokens: Column | str, ratios: list[float]) -> Column:
@@ -126,10 +131,10 @@ def ratio_score(tokens: Column | str, ratios: list[float]) -> Column:
     return F.when(F.size(tokens) > 0, total / F.greatest(2 * F.size(tokens) - 1, F.lit(1))).otherwise(0.0)
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", min_score: float = MIN_SCORE, n: int = BUCKETS, trusted_rows: int | None = None) -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", min_score: float = MIN_SCORE, n: int = BUCKETS, trusted_rows: int | None = None, fold: bool = True) -> DataFrame:
     """One row per document: ``doc_id``, the counts, ``base_failed``, ``score`` and ``kept``."""
-    ratios = log_ratios(docs, trusted_ids(labels, trusted_rows), doc_id, text, n)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), tokens(text).alias("_t"))
+    ratios = log_ratios(docs, trusted_ids(labels, trusted_rows), doc_id, text, n, fold)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), tokens(text, fold).alias("_t"))
     scored = rows.select("doc_id", "_text", ratio_score("_t", ratios).alias("score"))
     counted = surface_counts(scored, "_text", ["doc_id", "score"])
     failed = base_failed()
