@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,9 +38,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (paths := _paths.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_paths: ContextVar[list[str] | None] = ContextVar("paths", default=None)
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of the tables written inside, in order, so that they can be deleted once nothing needs them."""
+    token = _paths.set(paths := [])
+    try:
+        yield paths
+    finally:
+        _paths.reset(token)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables from the shared folder."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(df: DataFrame) -> int:
     """A partition count for a shuffle of ``df``'s rows: the session's, at least the scan's."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
