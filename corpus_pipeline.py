@@ -2,8 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept; all but the
 last return the columns of ``documents``.  Between stages the documents are written to the shared
-folder, so a lost executor repeats part of one stage only.  The classifiers' and near-duplicate
-stages have no SQL form, so there is no SQL for the whole; tests hold it against brute force.
+folder, so a lost executor repeats part of one stage only; tables that nothing needs any more are
+deleted after each stage.  The classifiers' and near-duplicate stages have no SQL form, so there is no
+SQL for the whole; tests hold it against brute force.
+
+Defined cases: null and empty texts pass the classifiers (nothing speaks against them), are duplicates
+of nothing, and are not sampled by the mixing stage; rows with null ids go through like others, one of
+each group of near-duplicates staying; repeated rows of one id stay or go together; labels may be empty;
+further columns stay whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from duskwatch.llm import mixing, near_dup, packing, quality_classifier, toxicity
-from duskwatch.llm.common import table, written
+from duskwatch.llm.common import collected, delete, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with collected() as paths:
+            docs = written(stage(spark, docs, sf_dir), name)
+        delete(spark, before + paths[:-1])
+        before = paths[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
