@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Order of TCP flags wherever a list of flags is written; fixed.
@@ -161,10 +161,12 @@ def hour_ms(ts_ms: Column | str) -> Column:
     return _c(ts_ms) - F.pmod(_c(ts_ms), F.lit(3_600_000))
 
 
-def sane(saddr, daddr, network: str) -> Column:
-    """Packet sanity: source outside and destination inside our network, no multicast or loopback."""
+def sane(saddr, daddr, network: str, drop: tuple[str, ...] = ()) -> Column:
+    """Packet sanity: source outside and destination inside our network, no multicast or loopback, and no
+    source in a network of the drop list."""
     inside = lambda c: _c(c).between(*bounds(network))
-    return ~inside(saddr) & inside(daddr) & ~in_prefixes(daddr, ("224.0.0.0/4", "127.0.0.0/8"))
+    good = ~inside(saddr) & inside(daddr) & ~in_prefixes(daddr, ("224.0.0.0/4", "127.0.0.0/8"))
+    return good & ~in_prefixes(saddr, drop) if drop else good
 
 
 #: Flag sets that ordinary TCP packets have.
@@ -195,3 +197,9 @@ def quality_tags(proto, flags, ttl, saddr, daddr, sport, dport, fragment=None) -
     for c in rules.values():
         clean = clean & F.coalesce(c, F.lit(True))
     return F.array_compact(F.array(F.lit("all-pkts"), *[F.when(c, F.lit(n)) for n, c in rules.items()], F.when(clean, F.lit("clean"))))
+
+
+def clean_packets(packets: DataFrame) -> DataFrame:
+    """The packets (with ``flags``, an array) that pass every quality rule."""
+    tags = quality_tags("proto", "flags", "ttl", "saddr", "daddr", "sport", "dport", "fragment" if "fragment" in packets.columns else None)
+    return packets.where(F.array_contains(tags, "clean"))

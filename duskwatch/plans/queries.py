@@ -498,3 +498,6 @@ def unanswered_addresses(spark, d):
 @query("phase_states", _HANDSHAKES + " SELECT ts_ms - ts_ms % 3600000 AS hour_ms, tag, count(*) AS n, count_if(rack IS NULL AND iack IS NULL) AS no_ack FROM h GROUP BY ALL")
 def phase_states(spark, d):
     return shakes(spark, d).groupBy(net.hour_ms("ts_ms").alias("hour_ms"), "tag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rack").isNull() & F.col("iack").isNull()).alias("no_ack"))
+
+
+from duskwatch.plans import busy  # noqa: E402, F401  (registers its queries)
