@@ -17,6 +17,8 @@ ICMP = {
     11: "time_exceeded", 12: "bad_ip_header", 13: "timestamp", 14: "timestamp_reply", 15: "information_request", 16: "information_reply",
     17: "addr_mark_request", 18: "addr_mark_reply", 42: "extended_echo_request", 43: "extended_echo_reply",
 }
+#: What a reputation source says about an address, by code.
+REPUTATION = {0: "never seen", 1: "seen", 2: "seen, may be spoofed", 3: "next to a seen one", 4: "reserved", 5: "often spoofed", 6: "seen, of a cloud", 7: "invalid", 8: "seen long ago"}
 #: Source networks that must not appear on the Internet (RFC 5735).
 RFC5735 = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")
 
@@ -150,6 +152,11 @@ def five_tuple(proto, saddr, daddr, sport, dport) -> Column:
     return F.struct(_c(proto).alias("proto"), _c(saddr).alias("saddr"), _c(daddr).alias("daddr"), F.coalesce(_c(sport), zero).alias("sport"), F.coalesce(_c(dport), zero).alias("dport"))
 
 
+def flow(proto, saddr, daddr, sport, dport) -> Column:
+    """Addresses and ports of a TCP or UDP packet, null for others."""
+    return F.when(_c(proto).isin("tcp", "udp"), F.struct(_c(saddr).alias("saddr"), _c(daddr).alias("daddr"), _c(sport).alias("sport"), _c(dport).alias("dport")))
+
+
 def named(code: Column | str, names: dict[int, str], other: str) -> Column:
     """The name of a code, ``other`` for unknown ones."""
     lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
@@ -203,3 +210,8 @@ def clean_packets(packets: DataFrame) -> DataFrame:
     """The packets (with ``flags``, an array) that pass every quality rule."""
     tags = quality_tags("proto", "flags", "ttl", "saddr", "daddr", "sport", "dport", "fragment" if "fragment" in packets.columns else None)
     return packets.where(F.array_contains(tags, "clean"))
+
+
+def clean_sources(packets: DataFrame) -> DataFrame:
+    """``saddr, ts_ms, ipid`` of the clean packets."""
+    return clean_packets(packets).select("saddr", "ts_ms", "ipid")

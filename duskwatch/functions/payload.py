@@ -7,6 +7,8 @@ word that is neither.  All of it is string and array functions, so it runs next
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +66,7 @@ def neutral_text(text: Column | str) -> Column:
 
 def segments(text: Column | str, tool: str) -> Column:
     """The parts of a text that begin with the tool's name, without the name."""
-    parts = F.split(_c(text), tool)
+    parts = F.split(_c(text), rf"\Q{tool}\E")
     return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
 
 
@@ -129,14 +131,26 @@ def tool_of(text: Column | str) -> Column:
     return F.when(_c(text).contains("wget"), "wget").when(_c(text).contains("curl"), "curl")
 
 
-def _tool_urls(text: Column, tool: str) -> Column:
-    made = F.filter(F.transform(segments(text, tool), lambda s: command_url(s, tool)), lambda u: u.isNotNull())
+#: How the arguments of each tool's command give a URL.  Other tools can be passed in, by name.
+PARSERS: dict[str, Callable[[Column], Column]] = {"wget": lambda segment: command_url(segment, "wget"), "curl": lambda segment: command_url(segment, "curl")}
+
+
+def _tool_urls(text: Column, tool: str, parse: Callable[[Column], Column]) -> Column:
+    made = F.filter(F.transform(segments(text, tool), parse), lambda u: u.isNotNull())
     return F.transform(made, lambda u: F.struct(F.lit(tool).alias("tool"), u.alias("url"), url_parts(u).alias("parts")))
 
 
+def _parsers(tools) -> dict[str, Callable[[Column], Column]]:
+    return dict(tools) if isinstance(tools, Mapping) else {tool: PARSERS[tool] for tool in tools}
+
+
 def urls(text: Column | str, tools=("wget", "curl")) -> Column:
-    """array<struct(tool, url, parts)> of all commands, tools in the given order."""
-    return _let(neutral_text(clean_text(text)), lambda t: F.concat(*[_tool_urls(t, tool) for tool in tools]))
+    """array<struct(tool, url, parts)> of all commands, tools in the given order.
+
+    ``tools``: names with a parser in PARSERS, or a mapping of names to parsers (a command's
+    arguments as a column -> its URL as a column, null if it has none).
+    """
+    return _let(neutral_text(clean_text(text)), lambda t: F.concat(*[_tool_urls(t, tool, parse) for tool, parse in _parsers(tools).items()]))
 
 
 def extract_urls(df: DataFrame, text: str, tools=("wget", "curl")) -> DataFrame:
@@ -144,6 +158,12 @@ def extract_urls(df: DataFrame, text: str, tools=("wget", "curl")) -> DataFrame:
     return df.select("*", F.explode(urls(text, tools)).alias("_u")).select("*", "_u.tool", "_u.url", "_u.parts.*").drop("_u")
 
 
+def first_url_with_path(text: Column | str, tools=("wget", "curl")) -> Column:
+    """struct(tool, url, server, port, name, path) of the first command with a URL; null if there is none."""
+    first = F.get(urls(text, tools), F.lit(0))
+    return F.when(first.isNotNull(), F.struct(first["tool"].alias("tool"), first["url"].alias("url"), first["parts"]["server"].alias("server"), first["parts"]["port"].alias("port"), first["parts"]["name"].alias("name"), url_path(first["url"]).alias("path")))
+
+
 def first_url(text: Column | str) -> Column:
     return F.get(urls(text), F.lit(0))["url"]
 

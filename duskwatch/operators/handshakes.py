@@ -9,7 +9,6 @@ the open phases, and emits them when their hour has closed.  The same fold serve
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections import deque, namedtuple
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR, GRACE = 3_600_000, 90 * 60_000
-RESULT = "saddr long, daddr long, dport int, ts_ms long, tag string, repeated boolean, isyn long, iack long, rsyn long, rack long, isyn_ipid int, isyn_snum long, rack_sport int, rack_snum long, rack_payload string, iack_payload string"
+RESULT = "saddr long, daddr long, dport int, ts_ms long, tag string, repeated boolean, isyn long, iack long, rsyn long, rack long, isyn_ipid int, isyn_snum long, rack_sport int, rack_snum long, rack_payload string, iack_payload string, repeat_of long"
 COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
 NEEDED = ["saddr", "daddr", "dport", "ts_ms", "step", "sport", "snum", "anum", "ipid", "userid", "kind", "probe_anum", "con_ms", "payload"]
 KEYS = ["saddr", "daddr", "dport"]
@@ -45,15 +44,16 @@ class Phase:
 
 
 class Free:
-    """Irregular phases that regular SYNs may be joined with; the SYNs come in the order of time.
+    """First phases that regular SYNs may belong to; the SYNs come in the order of time.
 
-    A phase can be joined from a second before its confirmation until ``timeout`` seconds after it.
-    It waits by its confirmation until that begins, then by its order, bare ones before acknowledged ones;
-    once it is over, or joined, it is passed over for good.
+    A phase is open from a second before its confirmation until ``timeout`` seconds after it.
+    It waits by its confirmation until that begins, then by its order, bare ones before acknowledged ones
+    (of a pair, the second phase's ACK counts); once it is over, or has another ``role``, it is passed over
+    for good.
     """
 
-    def __init__(self, timeout: int, phases: Iterable[Phase] = ()):
-        self.timeout, self.now = timeout, 0
+    def __init__(self, timeout: int, phases: Iterable[Phase] = (), role: int = IRREGULAR):
+        self.timeout, self.now, self.role = timeout, 0, role
         self.later: list[tuple[int, int, Phase]] = []
         self.begun: tuple[list[tuple[int, Phase]], list[tuple[int, Phase]]] = ([], [])
         for p in phases:
@@ -63,20 +63,21 @@ class Free:
         if p.syn.con_ms is not None:
             heappush(self.later, (p.syn.con_ms // 1000, p.order, p))
 
-    def take(self, syn: Packet) -> Phase | None:
+    def first(self, syn: Packet) -> Phase | None:
+        """The phase whose turn it is; it stays until its role changes."""
         self.now = syn.ts_ms // 1000
+        acked = lambda p: (p.second or p).ack is not None
         while self.later and self.later[0][0] <= self.now + 1:
             _, order, p = heappop(self.later)
-            heappush(self.begun[p.ack is not None], (order, p))
+            heappush(self.begun[acked(p)], (order, p))
         for acknowledged, heap in enumerate(self.begun):
             while heap:
-                order, p = heappop(heap)
-                if p.role != IRREGULAR or self.now - p.syn.con_ms // 1000 >= self.timeout:
-                    continue
-                if p.ack is not None and not acknowledged:
+                order, p = heap[0]
+                if p.role == self.role and self.now - p.syn.con_ms // 1000 < self.timeout:
+                    if acknowledged or not acked(p):
+                        return p
                     heappush(self.begun[1], (order, p))
-                    continue
-                return p
+                heappop(heap)
         return None
 
 
@@ -136,7 +137,7 @@ class Fold:
             return
         # A row that comes late, as in a stream, looks at all phases anew.
         free = self._free if row.ts_ms // 1000 >= self._free.now else Free(self.timeout, [p for p in self.irregular if p.role == IRREGULAR])
-        if (first := free.take(row)) is not None:
+        if (first := free.first(row)) is not None:
             self._join(first, phase)
         else:
             self.regular.append(phase)
@@ -153,25 +154,21 @@ class Fold:
         # SYNs of a second phase that came just before the first one.
         free = Free(self.timeout, [p for p in self.irregular if p.role == IRREGULAR])
         for phase in self.regular:
-            if gone(phase) and (first := free.take(phase.syn)) is not None:
+            if gone(phase) and (first := free.first(phase.syn)) is not None:
                 self._join(first, phase)
-        begun = sorted(f.syn.con_ms // 1000 for f in self.pairs)
-
-        def repeats(p: Phase) -> bool:
-            now = p.syn.ts_ms // 1000
-            at = bisect_right(begun, now - self.timeout)
-            return p.ack is not None and at < len(begun) and begun[at] <= now + 1
+        pairs = Free(self.timeout, self.pairs, FIRST)
 
         out = []
         for p in self.regular:
             if p.role == REGULAR and gone(p):
-                out.append(_row("rsyn (acked)" if p.ack is not None else "rsyn", None, p, repeats(p)))
+                first = pairs.first(p.syn) if p.ack is not None else None
+                out.append(_row("rsyn (acked)" if p.ack is not None else "rsyn", None, p, first))
         for p in self.pairs:
             if gone(p):
-                out.append(_row("two-phase" if p.second.ack is not None else "two-phase (no ack)", p, p.second, False))
+                out.append(_row("two-phase" if p.second.ack is not None else "two-phase (no ack)", p, p.second))
         for p in self.irregular:
             if p.role == IRREGULAR and gone(p):
-                out.append(_row("isyn (acked)" if p.ack is not None else "isyn", p, None, False))
+                out.append(_row("isyn (acked)" if p.ack is not None else "isyn", p, None))
         self.regular = [p for p in self.regular if p.role == REGULAR and not gone(p)]
         self.pairs = [p for p in self.pairs if not gone(p)]
         self.irregular = [p for p in self.irregular if p.role == IRREGULAR and not gone(p)]
@@ -209,12 +206,12 @@ class Fold:
         return fold
 
 
-def _row(tag: str, first: Phase | None, second: Phase | None, repeated: bool) -> tuple:
+def _row(tag: str, first: Phase | None, second: Phase | None, repeats: Phase | None = None) -> tuple:
     s = (first or second).syn
     one = lambda row, name: None if row is None else getattr(row, name)
     isyn, iack = (first.syn, first.ack if second is None else None) if first else (None, None)
     rsyn, rack = (second.syn, second.ack) if second else (None, None)
-    return (s.saddr, s.daddr, s.dport, s.ts_ms, tag, repeated, one(isyn, "userid"), one(iack, "userid"), one(rsyn, "userid"), one(rack, "userid"), one(isyn, "ipid"), one(isyn, "snum"), one(rack, "sport"), one(rack, "snum"), one(rack, "payload"), one(iack, "payload"))
+    return (s.saddr, s.daddr, s.dport, s.ts_ms, tag, repeats is not None, one(isyn, "userid"), one(iack, "userid"), one(rsyn, "userid"), one(rack, "userid"), one(isyn, "ipid"), one(isyn, "snum"), one(rack, "sport"), one(rack, "snum"), one(rack, "payload"), one(iack, "payload"), None if repeats is None else repeats.syn.userid)
 
 
 def frame(rows: list[tuple]) -> pd.DataFrame:
@@ -240,7 +237,8 @@ def rows_of(pdf: pd.DataFrame) -> Iterator[Packet]:
 def assemble_handshakes(packets: DataFrame, phase_timeout: int = 600) -> DataFrame:
     """Handshakes of confirmed packets without retransmits; see RESULT for the columns.
 
-    Lone ACKs are dropped; a repeated connection after a two-phase event is flagged.
+    Lone ACKs are dropped; a repeated connection after a two-phase event is flagged, and ``repeat_of`` is
+    the userid of that event's first SYN.
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,3 +271,13 @@ def assemble_handshakes(packets: DataFrame, phase_timeout: int = 600) -> DataFra
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = zip(*rows) if rows else [()] * len(COLUMNS)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+
+
+def repeat_identities(handshakes: DataFrame, packets: DataFrame) -> DataFrame:
+    """Repeated connections with what names the event they repeat: ``rsyn, first_s, sport, ipid, anum, ident``.
+
+    The first four are of the event's first SYN, ``ident`` is their hash.
+    """
+    first = packets.select(F.col("userid").alias("repeat_of"), F.floor(F.col("ts_ms") / 1000).alias("first_s"), "sport", "ipid", "anum")
+    named = handshakes.where("repeated").select("rsyn", "repeat_of").join(first, "repeat_of")
+    return named.select("rsyn", "first_s", "sport", "ipid", "anum", F.xxhash64("first_s", "sport", "ipid", "anum").alias("ident"))

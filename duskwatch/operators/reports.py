@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from duskwatch.functions import payload as pl
@@ -37,6 +37,25 @@ def top_ports(counts: DataFrame, n: int = 25) -> DataFrame:
     return counts.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+def ports_in_order(counts: DataFrame) -> DataFrame:
+    """The port table ordered by category and port."""
+    return counts.orderBy("category", "port")
+
+
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in a defined order."""
+    return df.orderBy(*order).limit(n)
+
+
+def progress(df: DataFrame, name: str, **counters) -> tuple[DataFrame, Observation]:
+    """The rows, and counters that are filled while they are consumed: ``rows`` and one for each condition given.
+
+    The counters are read from ``observation.get`` after an action; a stream reports them with each batch.
+    """
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in counters.items()]), seen
+
+
 def share_curve(counts: DataFrame, n: int = 25) -> DataFrame:
     """``category, rank, share`` for ranks 1..n, 0 beyond the last port."""
     top = top_ports(counts, n).select("category", "rank", "share")
@@ -44,24 +63,29 @@ def share_curve(counts: DataFrame, n: int = 25) -> DataFrame:
     return ranks.join(top, ["category", "rank"], "left").select("category", "rank", F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
-def recover_payloads(handshakes: DataFrame, packets: DataFrame) -> DataFrame:
+def recover_payloads(handshakes: DataFrame, packets: DataFrame, same_hour: bool = False) -> DataFrame:
     """Two-phase events with ``rack_payload`` filled from raw ACKs of the same flow and sequence number.
 
     The raw ACKs are the non-empty ones; the first of a flow and number counts, and serves the first
-    event that lacks a payload.  ``matched`` tells where that happened.
+    event that lacks a payload.  ``matched`` tells where that happened.  With ``same_hour`` an event
+    takes raw ACKs of its own hour's log only.
     """
-    return _recovered(handshakes.where("tag = 'two-phase'"), packets)
+    return _recovered(handshakes.where("tag = 'two-phase'"), packets, same_hour)
 
 
-def _recovered(events: DataFrame, packets: DataFrame) -> DataFrame:
+def _recovered(events: DataFrame, packets: DataFrame, same_hour: bool = False) -> DataFrame:
     flow = ["saddr", "daddr", "sport", "dport", "snum"]
+    if same_hour:
+        flow.append("_hour")
+        packets, events = packets.withColumn("_hour", hour_ms("ts_ms")), events.withColumn("_hour", hour_ms("ts_ms"))
     raw = packets.where("ack = 1 and syn = 0 and payload <> ''").groupBy(*flow).agg(F.min_by("payload", F.struct("ts_ms", "step")).alias("raw"))
     raw = raw.select(*[F.col(c).alias(f"r_{c}") for c in flow], "raw")
     lacks = (F.col("tag") == "two-phase") & (F.col("rack_payload") == "")
-    turn = F.row_number().over(Window.partitionBy("saddr", "daddr", "rack_sport", "dport", "rack_snum", "_lacks").orderBy("ts_ms", "rack"))
+    turn = F.row_number().over(Window.partitionBy("saddr", "daddr", "rack_sport", "dport", "rack_snum", "_lacks", *flow[5:]).orderBy("ts_ms", "rack"))
     lacking = events.withColumn("_lacks", F.coalesce(lacks, F.lit(False))).withColumn("_turn", F.when(F.col("_lacks"), turn))
     same = (F.col("saddr") == F.col("r_saddr")) & (F.col("daddr") == F.col("r_daddr")) & (F.col("rack_sport") == F.col("r_sport")) & (F.col("dport") == F.col("r_dport")) & (F.col("rack_snum") == F.col("r_snum")) & (F.col("_turn") == 1)
-    out = lacking.join(raw, same, "left").drop("_turn", "_lacks", *[f"r_{c}" for c in flow])
+    same = same & (F.col("_hour") == F.col("r__hour")) if same_hour else same
+    out = lacking.join(raw, same, "left").drop("_turn", "_lacks", "_hour", *[f"r_{c}" for c in flow])
     return out.withColumns({"matched": F.col("raw").isNotNull(), "rack_payload": F.coalesce("raw", "rack_payload")}).drop("raw")
 
 
@@ -110,6 +134,29 @@ def hash_catalogue(downloads: DataFrame, content: str = "content") -> DataFrame:
     return downloads.withColumn("hash", F.sha2(F.col(content).cast("binary"), 256)).groupBy("hash").agg(F.min("ts_ms").alias("first_seen"), F.max("ts_ms").alias("last_seen"), F.count(F.lit(1)).alias("downloads"))
 
 
+def hash_contents(downloads: DataFrame, content: str = "content") -> DataFrame:
+    """``hash, content``: every distinct content once."""
+    hashed = downloads.select(F.sha2(F.col(content).cast("binary"), 256).alias("hash"), F.col(content).alias("content"))
+    return hashed.dropDuplicates(["hash"])
+
+
+def hash_downloads(downloads: DataFrame, content: str = "content") -> DataFrame:
+    """``hash, name, url, ts_ms, server, tag`` of every download: the list that belongs to each hash, as rows,
+    since a frequent hash may have any number of them."""
+    wanted = ("name", "url", "ts_ms", "server", "tag")
+    return downloads.select(F.sha2(F.col(content).cast("binary"), 256).alias("hash"), *[F.col(c) if c in downloads.columns else F.lit(None).cast("string").alias(c) for c in wanted])
+
+
+def download_events(events: DataFrame, downloads: DataFrame, content: str = "content") -> DataFrame:
+    """Events (``url, ts_ms, attempted``) with ``status, hash`` of their download (``url, ts_ms, status, content``).
+
+    Both are null for events that were not attempted; the hash is null where a download brought nothing.
+    """
+    d = downloads.select(F.col("url").alias("_url"), F.col("ts_ms").alias("_ts"), F.col("status"), F.when(F.col(content).isNotNull(), F.sha2(F.col(content).cast("binary"), 256)).alias("hash"))
+    same = (F.col("url") == F.col("_url")) & (F.col("ts_ms") == F.col("_ts")) & F.col("attempted")
+    return events.join(d, same, "left").drop("_url", "_ts")
+
+
 def activity(downloads: DataFrame) -> DataFrame:
     """Downloads per malware name (server where the name is empty) and month."""
     name = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("server")).alias("name_key")

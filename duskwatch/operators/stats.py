@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,30 @@ def fit_by(df: DataFrame, keys: list[str], x: str, y: str, x0: float = 0.0, t: f
     )
 
 
+def student_t(degrees: int, tail: float = 0.025) -> float:
+    """The value that Student's t exceeds with a chance of ``tail``, for whole degrees of freedom."""
+
+    def inside(t: float) -> float:
+        """Chance of a value between -t and t."""
+        angle = math.atan(t / math.sqrt(degrees))
+        cos2, odd = math.cos(angle) ** 2, degrees % 2
+        term, total = (math.cos(angle) if odd else 1.0), 0.0
+        for k in range(3 if odd else 2, degrees + 1, 2):
+            total += term
+            term *= cos2 * (k - 1) / k
+        if not odd:
+            return math.sin(angle) * total
+        return 2 / math.pi * (angle + math.sin(angle) * total)
+
+    low, high = 0.0, 1.0
+    while inside(high) < 1 - 2 * tail:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if inside(middle) < 1 - 2 * tail else (low, middle)
+    return high
+
+
 def products(xs: Column | str, ys: Column | str) -> Column:
     """Element by element product of two arrays."""
     return F.zip_with(xs, ys, lambda a, b: a * b)

@@ -59,6 +59,12 @@ def repeats(spark, d):
     return shakes(spark, d).where("repeated").select("rsyn", "rack")
 
 
+@query("repeat_identity", _CONTENDED + """ SELECT r.rsyn, x.id[3] AS first_s, x.id[4] AS sport, x.id[5] AS ipid, x.id[6] AS anum FROM (SELECT rsyn FROM h WHERE repeated) r JOIN (
+    SELECT s.userid, min([CAST(b.ack_id IS NOT NULL AS BIGINT), i.ord, i.ts_ms // 1000, i.sport, i.ipid, i.anum]) AS id FROM s JOIN pairs p ON true JOIN s i ON i.userid = p.i JOIN s b ON b.userid = p.r WHERE s.k = 'r' AND i.saddr = s.saddr AND i.daddr = s.daddr AND i.dport = s.dport AND i.con // 1000 > s.ts_ms // 1000 - 600 AND i.con // 1000 <= s.ts_ms // 1000 + 1 GROUP BY s.userid) x ON x.userid = r.rsyn""")
+def repeat_identity(spark, d):
+    return handshakes.repeat_identities(shakes(spark, d), busy(spark, d)).drop("ident")
+
+
 @query("confirmed_contended", _CONTENDED + " SELECT userid, con AS con_ms, again AS retransmit FROM rt LEFT JOIN c USING (userid) WHERE method IS NULL OR con IS NOT NULL")
 def confirmed_contended(spark, d):
     p = busy(spark, d)

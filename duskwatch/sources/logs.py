@@ -1,12 +1,14 @@
 """Reading packet, confirmation and lookup files.
 
-Every reader returns typed rows; what cannot be typed goes to ``quarantine`` with the line and the
-reason instead of stopping the job.  File names are read from ``_metadata``, so hour, tag and
+Readers of logs, prefix tables, lists and targets return typed rows and the quarantine: the lines that
+cannot be typed, with the reason where there are several, instead of stopping the job or vanishing.  File names are read from ``_metadata``, so hour, tag and
 protocol are columns that a filter can use.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,6 +112,41 @@ def read_confirmations(spark: SparkSession, path: str, stream: bool = False, **o
     return typed.where("not bad").select("row.*"), typed.where("bad").select("value", "file")
 
 
+def read_json_confirmations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Confirmations (S.CONFIRMATIONS) of a JSON-lines log, and the quarantine.
+
+    The time is ``start`` (sec, usec), or ``timestamp`` in seconds where that is missing.
+    """
+    schema = T.StructType.fromDDL(S.JSON_CONFIRMATIONS + ", broken string")
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(path).withColumn("file", F.col("_metadata.file_name"))
+    ts = F.coalesce(F.col("start.sec") * 1000 + F.floor(F.col("start.usec") / 1000), F.col("timestamp") * 1000)
+    good = rows.select(
+        "broken", "file", F.to_json(F.struct("start", "timestamp", "userid", "src", "dst")).alias("value"),
+        F.struct(ts.alias("ts_ms"), "method", F.when(F.col("userid").between(0, U32), F.col("userid")).alias("userid"), F.lit(1).alias("num_probes"), net.ip_to_long("src").alias("saddr"), net.ip_to_long("dst").alias("daddr"), "sport", "dport").alias("row"),
+    ).withColumn("bad", F.col("broken").isNotNull() | F.col("row.ts_ms").isNull() | F.col("row.userid").isNull() | F.col("row.saddr").isNull() | F.col("row.daddr").isNull())
+    return good.where("not bad").select("row.*"), good.where("bad").select(F.coalesce("broken", "value").alias("value"), "file")
+
+
+def read_rows(spark: SparkSession, path: str, columns: tuple[str, ...], row: Callable[[Column], dict[str, Column]], required: tuple[str, ...] = (), stream: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """Rows of any pipe-separated log, and the quarantine.
+
+    ``row`` makes named columns of a line's fields (an array), so that a new kind of row needs no reader of
+    its own; lines with another number of fields, or without a ``required`` column, go to the quarantine.
+    """
+    lines = _lines(spark, path, columns, stream, **options)
+    made = lines.withColumn("row", F.struct(*[c.alias(n) for n, c in row(F.col("f")).items()]))
+    bad = F.size("f") != len(columns)
+    for n in required:
+        bad = bad | F.col(f"row.{n}").isNull()
+    typed = made.withColumn("bad", bad)
+    return typed.where("not bad").select("row.*"), typed.where("bad").select("value", "file")
+
+
+def count_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``file, n``: number of lines of each file, headers included."""
+    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+
+
 def read_legacy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Packets of the older JSON-lines log (one trigger and reaction a line), and the quarantine."""
     schema = T.StructType.fromDDL(S.LEGACY + ", broken string")
@@ -126,8 +163,8 @@ def read_legacy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good, rows.where(F.col("broken").isNotNull() | t.isNull()).select(F.col("broken").alias("value"))
 
 
-def read_partitioned(spark: SparkSession, root: str, **where) -> DataFrame:
-    """Packets of an object store laid out as datasource=/protocol=/type=/year=/month=/day=.
+def read_partitioned(spark: SparkSession, root: str, **where) -> tuple[DataFrame, DataFrame]:
+    """Packets of an object store laid out as datasource=/protocol=/type=/year=/month=/day=, and the quarantine.
 
     Values in ``where`` prune folders before any file is opened.
     """
@@ -135,7 +172,8 @@ def read_partitioned(spark: SparkSession, root: str, **where) -> DataFrame:
     for column, value in where.items():
         text = text.where(F.col(column) == value)
     keep = [c for c in ("datasource", "protocol", "type", "year", "month", "day") if c in text.columns]
-    return typed_packets(text.withColumn("f", F.split("value", r"\|"))).where("problem is null").select("packet.*", *keep)
+    typed = typed_packets(text.withColumn("f", F.split("value", r"\|")))
+    return typed.where("problem is null").select("packet.*", *keep), typed.where("problem is not null").select("value", "problem", *keep)
 
 
 def read_handshakes(spark: SparkSession, path: str, days: int | None = None) -> DataFrame:
@@ -147,22 +185,32 @@ def read_handshakes(spark: SparkSession, path: str, days: int | None = None) ->
     return rows.where(F.col("ts") < first - first % 3600 + days * 86_400)
 
 
-def read_scanner_lists(spark: SparkSession, path: str) -> DataFrame:
-    """``tag, prio, ip`` from files ips.<tag>.txt; the order of tags is alphabetical."""
-    rows = spark.read.text(path).select(F.regexp_extract("_metadata.file_name", r"ips\.(.+)\.txt", 1).alias("tag"), net.ip_to_long(F.trim("value")).alias("ip")).where("ip is not null").distinct()
-    return rows.select("tag", F.col("tag").alias("prio"), "ip")
+def _sorted_out(text: DataFrame, good: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that fit, with the given columns, and the lines of the others."""
+    fits = F.coalesce(F.expr(good), F.lit(False))
+    return text.where(fits).select(*columns), text.where(~fits).select("value")
 
 
-def read_prefixes(spark: SparkSession, path: str) -> DataFrame:
-    """``lo, len, prefix, asn`` of a tab-separated prefix table with ; comments."""
-    rows = spark.read.schema("prefix string, asn long").option("sep", "\t").option("comment", ";").csv(path)
-    return rows.withColumn("c", net.cidr("prefix")).where("c is not null").select("c.lo", "c.len", "prefix", "asn")
+def read_scanner_lists(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``tag, prio, ip`` from files ips.<tag>.txt, the order of tags being alphabetical, and the quarantine."""
+    rows = spark.read.text(path).where("trim(value) <> ''").select("value", F.regexp_extract("_metadata.file_name", r"ips\.(.+)\.txt", 1).alias("tag"), net.ip_to_long(F.trim("value")).alias("ip"))
+    good, bad = _sorted_out(rows.withColumn("prio", F.col("tag")), "ip is not null", "tag", "prio", "ip")
+    return good.distinct(), bad
 
 
-def read_geo(spark: SparkSession, path: str) -> DataFrame:
-    """``lo, hi, country_code, region_code, continent_code, city`` of a prefix table."""
-    rows = spark.read.schema("prefix string, country_code string, region_code string, continent_code string, city string").option("sep", "|").option("header", True).csv(path)
-    return rows.withColumn("c", net.cidr("prefix")).where("c is not null").select("c.lo", "c.hi", "country_code", "region_code", "continent_code", "city")
+def read_prefixes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``lo, len, prefix, asn`` of a tab-separated prefix table with ; comments, and the quarantine."""
+    f = F.split("value", "\t")
+    rows = spark.read.text(path).where("trim(value) <> '' and not startswith(value, ';')").select("value", F.get(f, F.lit(0)).alias("prefix"), F.get(f, F.lit(1)).try_cast("bigint").alias("asn"))
+    return _sorted_out(rows.withColumn("c", net.cidr("prefix")), "c is not null and asn is not null", "c.lo", "c.len", "prefix", "asn")
+
+
+def read_geo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``lo, hi, country_code, region_code, continent_code, city`` of a prefix table, and the quarantine."""
+    names = ("country_code", "region_code", "continent_code", "city")
+    f = F.split("value", r"\|")
+    rows = spark.read.text(path).where(F.col("value") != "|".join(("prefix", *names))).select("value", F.size(f).alias("n"), net.cidr(F.get(f, F.lit(0))).alias("c"), *[F.nullif(F.get(f, F.lit(k + 1)), F.lit("")).alias(n) for k, n in enumerate(names)])
+    return _sorted_out(rows, "c is not null and n = 5", "c.lo", "c.hi", *names)
 
 
 def read_downloads(spark: SparkSession, path: str) -> DataFrame:
@@ -190,13 +238,21 @@ def read_annotatable(spark: SparkSession, path: str, sep: str = "|") -> DataFram
     return spark.read.option("sep", sep).option("header", True).csv(path)
 
 
-def read_targets(spark: SparkSession, path: str) -> DataFrame:
-    """Probe targets: five comma fields, # comments; lines that do not fit are left out."""
-    rows = spark.read.schema(S.TARGETS).option("comment", "#").option("mode", "DROPMALFORMED").csv(path)
-    return rows.where(net.is_ipv4("saddr") & net.is_ipv4("daddr") & F.col("sport").between(0, U16) & F.col("dport").between(0, U16))
+def read_targets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Probe targets: five comma fields, # comments; and the quarantine."""
+    f = F.split("value", ",", 5)
+    port = lambda at: _number(f, at, 0, U16).cast("int")
+    rows = spark.read.text(path).where("trim(value) <> '' and not startswith(value, '#')").select("value", F.size(f).alias("n"), F.get(f, F.lit(0)).alias("saddr"), F.get(f, F.lit(1)).alias("daddr"), port(2).alias("sport"), port(3).alias("dport"), F.get(f, F.lit(4)).alias("payload"))
+    rows = rows.withColumn("fits", net.is_ipv4("saddr") & net.is_ipv4("daddr"))
+    return _sorted_out(rows, "n = 5 and fits and sport is not null and dport is not null", "saddr", "daddr", "sport", "dport", "payload")
 
 
 def read_contact_types(spark: SparkSession, path) -> DataFrame:
     """Union of counter files."""
     rows = spark.read.schema(S.CONTACT_TYPES).option("sep", "|").option("header", True).csv(path)
     return rows.toDF(*[c.replace("-", "_") for c in rows.columns])
+
+
+def read_hashes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What ``sinks.write_hashes`` wrote: the known hashes' rows, and those not found."""
+    return spark.read.json(f"{path}/known"), spark.read.schema("hash string").json(f"{path}/missing")

@@ -21,6 +21,8 @@ CONFIRMATION_TEXT = strings(*CONFIRMATION_COLUMNS)
 PACKETS = "ts_ms long, saddr long, daddr long, ipid int, ttl int, proto string, sport int, dport int, anum long, snum long, options string, payload string, syn int, ack int, rst int, fin int, window_size int, probed boolean, method string, userid long, probe_anum long, probe_snum long, num_probes int"
 CONFIRMATIONS = "ts_ms long, method string, userid long, num_probes int, saddr long, daddr long, sport int, dport int"
 
+JSON_CONFIRMATIONS = "sport int, dport int, src string, dst string, userid bigint, method string, payload string, ping_sent int, probe_size int, start struct<sec:bigint,usec:bigint>, timestamp bigint, ttl int, version int"
+
 _TCP = "struct<sport:int,dport:int,snum:bigint,anum:bigint,window_size:int,flags:array<string>,options:array<string>,payload:string>"
 _TRIGGER = f"struct<timestamp:bigint,saddr:string,daddr:string,ipid:int,ttl:int,proto:string,payload:{_TCP}>"
 _REACTION = "struct<method:string,userid:bigint,num_probes:int,saddr:string,daddr:string,sport:int,dport:int,snum:bigint,anum:bigint>"

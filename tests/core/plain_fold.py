@@ -51,6 +51,10 @@ class Fold:
                     return True
         return False
 
+    def place(self, first) -> int:
+        """First phases count in the order in which they came."""
+        return first.syn.step
+
     def add(self, row) -> None:
         if row.kind == "isyn":
             self.irregular.append(Phase(row))
@@ -77,23 +81,23 @@ class Fold:
         for p in self.regular:
             if gone(p):
                 acked = p.ack is not None
-                repeat = next((f for f in sorted(self.pairs, key=lambda f: f.second.ack is not None) if acked and starts(f, p.syn, self.timeout)), None)
-                out.append(self._row("rsyn (acked)" if acked else "rsyn", None, p, repeat is not None))
+                repeat = next((f for f in sorted(self.pairs, key=lambda f: (f.second.ack is not None, self.place(f))) if acked and starts(f, p.syn, self.timeout)), None)
+                out.append(self._row("rsyn (acked)" if acked else "rsyn", None, p, repeat))
         for p in self.pairs:
             if gone(p):
-                out.append(self._row("two-phase" if p.second.ack is not None else "two-phase (no ack)", p, p.second, False))
+                out.append(self._row("two-phase" if p.second.ack is not None else "two-phase (no ack)", p, p.second, None))
         for p in self.irregular:
             if gone(p):
-                out.append(self._row("isyn (acked)" if p.ack is not None else "isyn", p, None, False))
+                out.append(self._row("isyn (acked)" if p.ack is not None else "isyn", p, None, None))
         self.regular = [p for p in self.regular if not gone(p)]
         self.pairs = [p for p in self.pairs if not gone(p)]
         self.irregular = [p for p in self.irregular if not gone(p)]
         return out
 
     @staticmethod
-    def _row(tag: str, first: Phase | None, second: Phase | None, repeated: bool) -> tuple:
+    def _row(tag: str, first: Phase | None, second: Phase | None, repeat) -> tuple:
         s = (first or second).syn
         one = lambda row, name: None if row is None else getattr(row, name)
         isyn, iack = (first.syn, first.ack if second is None else None) if first else (None, None)
         rsyn, rack = (second.syn, second.ack) if second else (None, None)
-        return (s.saddr, s.daddr, s.dport, s.ts_ms, tag, repeated, one(isyn, "userid"), one(iack, "userid"), one(rsyn, "userid"), one(rack, "userid"), one(isyn, "ipid"), one(isyn, "snum"), one(rack, "sport"), one(rack, "snum"), one(rack, "payload"), one(iack, "payload"))
+        return (s.saddr, s.daddr, s.dport, s.ts_ms, tag, repeat is not None, one(isyn, "userid"), one(iack, "userid"), one(rsyn, "userid"), one(rack, "userid"), one(isyn, "ipid"), one(isyn, "snum"), one(rack, "sport"), one(rack, "snum"), one(rack, "payload"), one(iack, "payload"), None if repeat is None else repeat.syn.userid)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.plans import derived, queries
 from duskwatch.sources import logs, sinks
+from duskwatch.sources import schemas as S
 from duskwatch.sources.schemas import PACKET_COLUMNS
 
 HEADER = "|".join(PACKET_COLUMNS)
@@ -45,6 +46,12 @@ def test_confirmations_and_legacy(spark, tmp_path):
     (tmp_path / "c.csv").write_text("start sec|start usec|method|userid|num probes|saddr|daddr|sport|dport\n1700000000|123456|tcp-synack|9|1|44.0.0.1|1.2.3.4|23|1000\nx|1|a|b|c|d|e|f|g\n")
     good, bad = logs.read_confirmations(spark, str(tmp_path / "c.csv"))
     assert good.first()["ts_ms"] == 1700000000123 and bad.count() == 1
+    (tmp_path / "c.json").write_text(json.dumps({"sport": 23, "dport": 1000, "src": "44.0.0.1", "dst": "1.2.3.4", "userid": 9, "method": "tcp-synack", "start": {"sec": 1700000000, "usec": 123456}}) + "\n" + json.dumps({"sport": 1, "dport": 2, "src": "1.1.1.1", "dst": "2.2.2.2", "userid": 3, "method": "udp", "timestamp": 7}) + '\n{"src": "x"}\nbroken\n')
+    good, bad = logs.read_json_confirmations(spark, str(tmp_path / "c.json"))
+    assert sorted(r["ts_ms"] for r in good.collect()) == [7000, 1700000000123] and bad.count() == 2
+    good, bad = logs.read_rows(spark, str(tmp_path / "c.csv"), S.CONFIRMATION_COLUMNS, lambda f: {"sec": F.get(f, F.lit(0)).try_cast("bigint"), "kind": F.get(f, F.lit(2))}, ("sec",))
+    assert [tuple(r) for r in good.collect()] == [(1700000000, "tcp-synack")] and bad.count() == 1
+    assert [(r["file"], r["n"]) for r in logs.count_rows(spark, str(tmp_path / "c.csv")).collect()] == [("c.csv", 3)]
     line = {"trigger": {"saddr": "1.2.3.4", "daddr": "44.0.0.1", "ipid": 1, "ttl": 64, "observed": 5, "protocol": "tcp", "tcp": {"sport": 1, "dport": 2, "snum": 3, "anum": 0, "window_size": 1, "flags": {"syn": True}, "options": {"mss": None}, "payload": ""}}, "reaction": None}
     (tmp_path / "l.json").write_text(json.dumps(line) + "\n{broken\n")
     good, bad = logs.read_legacy(spark, str(tmp_path / "l.json"))
@@ -53,11 +60,14 @@ def test_confirmations_and_legacy(spark, tmp_path):
 
 def test_lookup_files(spark, tmp_path):
     (tmp_path / "ips.alpha.txt").write_text("1.2.3.4\n1.2.3.4\nbad\n")
-    assert [(r["tag"], r["ip"]) for r in logs.read_scanner_lists(spark, f"{tmp_path}/ips.*.txt").collect()] == [("alpha", 16909060)]
-    (tmp_path / "p.tsv").write_text("; comment\n1.2.0.0/16\t7\n")
-    assert logs.read_prefixes(spark, f"{tmp_path}/p.tsv").first()["asn"] == 7
-    (tmp_path / "g.csv").write_text("prefix|country_code|region_code|continent_code|city\n1.2.0.0/16|DE|HH|EU|H\n")
-    assert logs.read_geo(spark, f"{tmp_path}/g.csv").first()["city"] == "H"
+    assert [(r["tag"], r["ip"]) for r in logs.read_scanner_lists(spark, f"{tmp_path}/ips.*.txt")[0].collect()] == [("alpha", 16909060)]
+    assert [r["value"] for r in logs.read_scanner_lists(spark, f"{tmp_path}/ips.*.txt")[1].collect()] == ["bad"]
+    (tmp_path / "p.tsv").write_text("; comment\n1.2.0.0/16\t7\n1.2.0.0/99\t7\nx\n")
+    good, bad = logs.read_prefixes(spark, f"{tmp_path}/p.tsv")
+    assert [r["asn"] for r in good.collect()] == [7] and sorted(r["value"] for r in bad.collect()) == ["1.2.0.0/99\t7", "x"]
+    (tmp_path / "g.csv").write_text("prefix|country_code|region_code|continent_code|city\n1.2.0.0/16|DE|HH|EU|H\n1.2|DE|HH|EU|H\n")
+    good, bad = logs.read_geo(spark, f"{tmp_path}/g.csv")
+    assert [r["city"] for r in good.collect()] == ["H"] and bad.first()["value"].startswith("1.2|")
     (tmp_path / "abc").mkdir()
     with gzip.open(tmp_path / "abc/downloads.csv.gz", "wt") as f:
         f.write("name|url|timestamp|server|tag\nn|u|1|s|t\n")
@@ -68,14 +78,16 @@ def test_lookup_files(spark, tmp_path):
     (tmp_path / "db.json").write_text(json.dumps({"h": {"first": {"own": 1, "vt": 2}, "last": {"own": 3}}}))
     assert logs.read_hash_database(spark, f"{tmp_path}/db.json").first()["first"]["vt"] == 2
     (tmp_path / "t.txt").write_text("# c\n1.2.3.4,5.6.7.8,1,2,aa\nbad\n1.2.3.4,5.6.7.8,1,99999,aa\n")
-    assert logs.read_targets(spark, f"{tmp_path}/t.txt").count() == 1
+    good, bad = logs.read_targets(spark, f"{tmp_path}/t.txt")
+    assert good.count() == 1 and sorted(r["value"] for r in bad.collect()) == ["1.2.3.4,5.6.7.8,1,99999,aa", "bad"]
 
 
 def test_object_store_layout(spark, tmp_path):
     d = tmp_path / "datasource=a/protocol=tcp/type=raw/year=2023/month=11/day=14"
     d.mkdir(parents=True)
-    (d / "x.csv").write_text(HEADER + "\n" + GOOD + "\n")
-    got = logs.read_partitioned(spark, str(tmp_path), protocol="tcp", day=14)
+    (d / "x.csv").write_text(HEADER + "\n" + GOOD + "\n" + BAD[2] + "\n")
+    got, bad = logs.read_partitioned(spark, str(tmp_path), protocol="tcp", day=14)
+    assert [r["problem"] for r in bad.collect()] == ["ttl"]
     assert got.count() == 1 and "PartitionFilters: [isnotnull(protocol" in got._jdf.queryExecution().toString()
 
 

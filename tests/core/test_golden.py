@@ -182,3 +182,58 @@ def test_addresses(spark):
     df = spark.createDataFrame([("1.2.3.4",), ("256.1.1.1",), ("1.2.3",), (None,), ("255.255.255.255",)], "t string")
     assert [r[0] for r in df.select(net.ip_to_long("t")).collect()] == [16909060, None, None, None, 4294967295]
     assert df.select(net.cidr(F.lit("198.108.67.9/23"))).first()[0]["lo"] == net.bounds("198.108.66.0/23")[0]
+
+
+def test_payloads_are_recovered_for_events_that_lack_one(spark):
+    """Two events of one flow: the first has its payload, so the raw ACK serves the second."""
+    events = spark.createDataFrame([("two-phase", 1, 2, 80, 7, 5, 1000, "aa", 10), ("two-phase", 1, 2, 80, 7, 5, 2000, "", 11), ("two-phase", 1, 2, 80, 7, 5, 3000, "", 12)], "tag string, saddr long, daddr long, dport int, rack_sport int, rack_snum long, ts_ms long, rack_payload string, rack long")
+    raw = spark.createDataFrame([(1, 2, 7, 80, 5, 1, 0, "bb", 3_700_000, 1), (1, 2, 7, 80, 5, 1, 0, "cc", 3_700_001, 2)], "saddr long, daddr long, sport int, dport int, snum long, ack int, syn int, payload string, ts_ms long, step int")
+    got = {r["rack"]: (r["rack_payload"], r["matched"]) for r in reports.recover_payloads(events, raw).collect()}
+    assert got == {10: ("aa", False), 11: ("bb", True), 12: ("", False)}
+    assert not any(r["matched"] for r in reports.recover_payloads(events, raw, same_hour=True).collect())
+
+
+def test_downloads_and_their_events(spark):
+    events = spark.createDataFrame([("u", 1, True), ("u", 2, False), ("v", 3, True), ("w", 4, True)], "url string, ts_ms long, attempted boolean")
+    downloads = spark.createDataFrame([("u", 1, "ok", "x"), ("u", 2, "ok", "x"), ("v", 3, "404", None)], "url string, ts_ms long, status string, content string")
+    got = {(r["url"], r["ts_ms"]): (r["status"], r["hash"] and r["hash"][:4]) for r in reports.download_events(events, downloads).collect()}
+    assert got == {("u", 1): ("ok", "2d71"), ("u", 2): (None, None), ("v", 3): ("404", None), ("w", 4): (None, None)}
+    assert [r["content"] for r in reports.hash_contents(downloads.where("content is not null")).collect()] == ["x"]
+    assert reports.hash_downloads(downloads.where("content is not null")).count() == 2
+
+
+def test_progress_counts_while_rows_are_consumed(spark):
+    df, seen = reports.progress(spark.range(10), "walk", even=F.col("id") % 2 == 0)
+    df.count()
+    assert seen.get == {"rows": 10, "even": 5}
+    assert [r["id"] for r in reports.first_rows(spark.range(10), 3, "id").collect()] == [0, 1, 2]
+
+
+def test_a_parser_for_another_tool(spark):
+    df = spark.createDataFrame([("tftp -g host;wget http://a/b",)], "t string")
+    parse = lambda segment: F.concat(F.lit("tftp://"), F.regexp_extract(segment, r"-g (\S+)", 1))
+    got = pl.extract_urls(df, "t", {"wget": pl.PARSERS["wget"], "tftp": parse}).collect()
+    assert [(r["tool"], r["url"]) for r in got] == [("wget", "http://a/b"), ("tftp", "tftp://host")]
+    first = df.select(pl.first_url_with_path("t").alias("u")).first()["u"]
+    assert (first["tool"], first["path"], first["server"]) == ("wget", "/b", "a")
+
+
+def test_student_t():
+    for degrees, value in ((1, 12.7062), (2, 4.30265), (3, 3.18245), (12, 2.17881), (30, 2.04227)):
+        assert stats.student_t(degrees) == pytest.approx(value, abs=1e-4)
+    assert stats.student_t(5, 0.005) == pytest.approx(4.03214, abs=1e-4)
+
+
+def test_products_and_flat_fits(spark):
+    df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0])], "a array<double>, b array<double>")
+    assert df.select(stats.products("a", "b")).first()[0] == [3.0, 8.0]
+    flat = spark.createDataFrame([(0, 1.0, 2.0), (0, 1.0, 3.0)], "k int, x double, y double")
+    r = stats.fit_by(flat, ["k"], "x", "y").first()
+    assert (r["best_m"], r["best_b"]) == (0.0, 0.0)
+
+
+def test_exact_line(spark):
+    xs = [1.0, 2.0, 3.0, 4.0]
+    rows = [(0, x, 2 * x + 1) for x in xs]
+    r = stats.fit_by(spark.createDataFrame(rows, "k int, x double, y double"), ["k"], "x", "y").first()
+    assert r["m"] == pytest.approx(2) and r["b"] == pytest.approx(1) and r["sigma"] == pytest.approx(0, abs=1e-9)
