@@ -237,3 +237,17 @@ def test_exact_line(spark):
     rows = [(0, x, 2 * x + 1) for x in xs]
     r = stats.fit_by(spark.createDataFrame(rows, "k int, x double, y double"), ["k"], "x", "y").first()
     assert r["m"] == pytest.approx(2) and r["b"] == pytest.approx(1) and r["sigma"] == pytest.approx(0, abs=1e-9)
+
+
+def test_textbook_regression(spark):
+    """Minutes of computer repairs by units, a public textbook set."""
+    xs = [1, 2, 3, 4, 4, 5, 6, 6, 7, 8, 9, 9, 10, 10]
+    ys = [23, 29, 49, 64, 74, 87, 96, 97, 109, 119, 149, 145, 154, 166]
+    df = spark.createDataFrame([(0, float(x), float(y)) for x, y in zip(xs, ys)], "k int, x double, y double")
+    s = stats.series_stats(df, ["k"], "x", "y").first()
+    assert s["covariance"] == pytest.approx(136.0) and round(s["correlation"], 3) == 0.994
+    r = stats.fit_by(df, ["k"], "x", "y").first()
+    assert (round(r["m"], 3), round(r["b"], 3), round(r["best_m"], 3)) == (15.509, 4.162, 15.509)
+    assert r["sigma"] == pytest.approx(5.39172491669192) and (round(r["se_m"], 3), round(r["se_b"], 3)) == (0.505, 3.355)
+    t = stats.student_t(12)
+    assert (round(r["m"] - 2.18 * r["se_m"], 3), round(r["m"] + 2.18 * r["se_m"], 3)) == (14.408, 16.610) and round(t, 2) == 2.18

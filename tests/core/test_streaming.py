@@ -52,6 +52,12 @@ def test_confirmations_unique_packets_and_rates(spark, tmp_path):
     ps, cs = as_stream(spark, p, f"{tmp_path}/p", files=2), as_stream(spark, c, f"{tmp_path}/c", files=2)
     got = run(spark, flows.confirmed(ps, cs, delay="60 days").select("userid", "con_ms"))
     assert sorted((r["userid"], r["con_ms"]) for r in got) == sorted((r["userid"], r["con_ms"]) for r in queries.matching.match_confirmations(p, c).collect())
+    # Unprobed packets stay, and a confirmation that is repeated does not double its packet.
+    some = p.withColumn("method", F.when(F.col("event_id") % 3 > 0, F.col("method")))
+    twice = c.unionByName(c.withColumn("ts_ms", F.col("ts_ms") + 7))
+    got = run(spark, flows.confirmed(as_stream(spark, some, f"{tmp_path}/p2", files=2), as_stream(spark, twice, f"{tmp_path}/c2", files=2), delay="60 days").select("userid", "method", "con_ms"))
+    want = queries.matching.match_confirmations(some, twice).collect()
+    assert sorted((r["userid"], r["method"] is None, r["con_ms"] or 0) for r in got) == sorted((r["userid"], r["method"] is None, r["con_ms"] or 0) for r in want)
     unique = run(spark, flows.unique_packets(as_stream(spark, p, f"{tmp_path}/u", files=1), "60 days").select("saddr"))
     assert len(unique) == p.select("saddr", "daddr", "sport", "dport", "snum").distinct().count()
     counted = p.withColumn("num_probes", F.lit(1))
@@ -75,3 +81,16 @@ def test_messages_and_hour_log(spark, tmp_path):
     q.stop()
     assert sorted(r["ts_ms"] for r in spark.read.parquet(f"{tmp_path}/late").collect()) == [8 * h]
     assert spark.read.parquet(f"{tmp_path}/log").count() == 3
+
+
+def test_hour_log_by_arrival_and_repeated_batches(spark, tmp_path):
+    h = 3_600_000
+    rows = [(1, 10 * h), (2, 12 * h), (3, 10 * h + 5), (4, 11 * h), (5, 14 * h), (6, 12 * h)]
+    spark.createDataFrame(rows, "seq long, ts_ms long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("seq long, ts_ms long").parquet(f"{tmp_path}/in")
+    for checkpoint in ("a", "b"):  # a lost checkpoint repeats the batch, which replaces what it wrote
+        q = flows.log_by_hour(stream, f"{tmp_path}/log", f"{tmp_path}/late", f"{tmp_path}/{checkpoint}", arrival="seq")
+        q.processAllAvailable()
+        q.stop()
+        kept, late = (sorted(r["seq"] for r in spark.read.parquet(f"{tmp_path}/{x}").collect()) for x in ("log", "late"))
+        assert (kept, late) == ([1, 2, 4, 5], [3, 6]) if checkpoint == "a" else set(kept) | set(late) == {1, 2, 3, 4, 5, 6}
