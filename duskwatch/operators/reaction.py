@@ -81,6 +81,58 @@ def dedupe_rst(requests: DataFrame, pause_ms: int = 5000) -> DataFrame:
     return throttle(keyed, "_key", "ts_ms", pause_ms).withColumnRenamed("attempted", "logged").drop("_key")
 
 
+class Probes:
+    """The probe in flight to one address, and those that wait for it to be done.
+
+    ``flying`` is (probe, port, start) or None, ``waiting`` holds (probe, port, time).  Methods are called
+    in the order of time and return what is settled, as (probe, outcome).
+    """
+
+    def __init__(self, timeout_ms: int, flying=None, waiting=()):
+        self.timeout_ms, self.flying, self.waiting = timeout_ms, flying, deque(waiting)
+
+    def _follow(self, free: int) -> None:
+        self.flying = None
+        if self.waiting:
+            probe, port, ts = self.waiting.popleft()
+            self.flying = (probe, port, max(ts, free))
+
+    def advance(self, now: int | None) -> list[tuple]:
+        """Time out what has been in flight for too long before ``now`` (None: all), and start what waits."""
+        out = []
+        while self.flying is not None and (now is None or now - self.flying[2] > self.timeout_ms):
+            out.append((self.flying[0], "timeout"))
+            self._follow(self.flying[2] + self.timeout_ms)
+        return out
+
+    def row(self, ts: int | None, proto: str | None, probe, port) -> list[tuple]:
+        """A probe (``proto`` null) or a packet; a probe without a time is never sent."""
+        if ts is None:
+            return [(probe, "timeout")]
+        out = self.advance(ts)
+        if proto is None and self.flying is None:
+            self.flying = (probe, port, ts)
+        elif proto is None:
+            self.waiting.append((probe, port, ts))
+        elif self.flying is not None and self.flying[1] == port and ts >= self.flying[2]:
+            out.append((self.flying[0], "answered" if proto == "udp" else "unreachable"))
+            self._follow(ts)
+        return out
+
+    @property
+    def due(self) -> int | None:
+        """When the probe in flight has had its time."""
+        return None if self.flying is None else self.flying[2] + self.timeout_ms + 1
+
+
+def probe_events(probes: DataFrame, packets: DataFrame, *more: str) -> DataFrame:
+    """Probes and the packets that can settle them as ``addr, ts_ms, proto, probe_id, port`` (proto null for
+    probes) and ``more`` columns of both."""
+    sent = probes.select("addr", "ts_ms", F.lit(None).cast("string").alias("proto"), "probe_id", "port", *more)
+    got = packets.where(F.col("proto").isin("udp", "icmp") & F.col("ts_ms").isNotNull() & F.col("saddr").isNotNull() & F.col("sport").isNotNull())
+    return sent.unionByName(got.select(F.col("saddr").alias("addr"), "ts_ms", "proto", F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"), F.col("sport").alias("port"), *more))
+
+
 def udp_outcomes(probes: DataFrame, packets: DataFrame, timeout_ms: int = 20_000) -> DataFrame:
     """``probe_id, outcome``: answered, unreachable or timeout.
 
@@ -90,57 +142,26 @@ def udp_outcomes(probes: DataFrame, packets: DataFrame, timeout_ms: int = 20_000
     A packet of its port settles the probe in flight and no other.  One pass over an address's
     probes and packets in order keeps the probe in flight and those waiting.
     """
-    sent = probes.select("addr", "ts_ms", F.lit(0).alias("_packet"), F.lit(None).cast("string").alias("proto"), "probe_id", "port")
-    got = packets.where(F.col("proto").isin("udp", "icmp") & F.col("ts_ms").isNotNull() & F.col("saddr").isNotNull() & F.col("sport").isNotNull())
-    got = got.select(F.col("saddr").alias("addr"), "ts_ms", F.lit(1).alias("_packet"), "proto", F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"), F.col("sport").alias("port"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, waiting, flying, out = None, deque(), None, []
-
-        def advance(now: int | None) -> None:
-            """Time out what has been in flight for too long before ``now`` (None: all), and start what waits."""
-            nonlocal flying
-            while flying is not None and (now is None or now - flying[2] > timeout_ms):
-                out.append((flying[0], "timeout"))
-                follow(flying[2] + timeout_ms)
-
-        def follow(free: int) -> None:
-            nonlocal flying
-            flying = None
-            if waiting:
-                probe, port, ts = waiting.popleft()
-                flying = (probe, port, max(ts, free))
-
-        def flush() -> pa.RecordBatch:
-            done = pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], kind), pa.array([y for _, y in out], pa.string())], ["probe_id", "outcome"])
-            out.clear()
-            return done
-
-        kind = None
+        key, state, kind = None, Probes(timeout_ms), None
+
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], kind), pa.array([y for _, y in out], pa.string())], ["probe_id", "outcome"])
+
         for batch in batches:
-            kind = batch.schema.field("probe_id").type
-            for addr, ts, packet, proto, probe, port in zip(*[batch.column(c).to_pylist() for c in ("addr", "ts_ms", "_packet", "proto", "probe_id", "port")]):
+            kind, out = batch.schema.field("probe_id").type, []
+            for addr, ts, proto, probe, port in zip(*[batch.column(c).to_pylist() for c in ("addr", "ts_ms", "proto", "probe_id", "port")]):
                 if addr != key:
-                    advance(None)
+                    out += state.advance(None)
                     key = addr
-                if ts is None:
-                    out.append((probe, "timeout"))
-                    continue
-                advance(ts)
-                if not packet and flying is None:
-                    flying = (probe, port, ts)
-                elif not packet:
-                    waiting.append((probe, port, ts))
-                elif flying is not None and flying[1] == port and ts >= flying[2]:
-                    out.append((flying[0], "answered" if proto == "udp" else "unreachable"))
-                    follow(ts)
-            yield flush()
+                out += state.row(ts, proto, probe, port)
+            yield made(out)
         if kind is not None:
-            advance(None)
-            yield flush()
+            yield made(state.advance(None))
 
     schema = T.StructType([probes.schema["probe_id"], T.StructField("outcome", T.StringType())])
-    return dealt(sent.unionByName(got), ["addr"], ["ts_ms", "_packet", "proto", "probe_id"]).mapInArrow(settle, schema)
+    return dealt(probe_events(probes, packets), ["addr"], ["ts_ms", "proto", "probe_id"]).mapInArrow(settle, schema)
 
 
 def reply_loss(requests: DataFrame, replies: DataFrame) -> DataFrame:

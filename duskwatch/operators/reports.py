@@ -47,13 +47,14 @@ def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def progress(df: DataFrame, name: str, **counters) -> tuple[DataFrame, Observation]:
+def progress(df: DataFrame, name: str, **counters) -> tuple[DataFrame, Observation | None]:
     """The rows, and counters that are filled while they are consumed: ``rows`` and one for each condition given.
 
-    The counters are read from ``observation.get`` after an action; a stream reports them with each batch.
+    The counters are read from ``observation.get`` after an action; a stream has no observation but reports
+    them with each batch (``flows.progress_of``).
     """
-    seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in counters.items()]), seen
+    seen = None if df.isStreaming else Observation(name)
+    return df.observe(seen or name, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in counters.items()]), seen
 
 
 def share_curve(counts: DataFrame, n: int = 25) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from duskwatch.functions import payload as pl
 from duskwatch.functions.net import hour_ms
 from duskwatch.operators.handshakes import RESULT, Fold, events_of, frame, rows_of
+from duskwatch.operators.reaction import Probes
 from duskwatch.sources.sinks import split_late
 
 
@@ -110,6 +111,94 @@ def throttled(df: DataFrame, key: str, every_ms: int = 3_600_000) -> DataFrame:
     return df.groupBy(key).applyInPandasWithState(step, f"{kinds}, attempted boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def dedupe_rst(requests: DataFrame, pause_ms: int = 5000) -> DataFrame:
+    """Adds ``logged`` to RST requests, as the batch does; ``requests`` has the watermarked ``ts``."""
+    keyed = requests.withColumn("_key", F.concat_ws(":", F.col("saddr").cast("string"), F.col("sport").cast("string")))
+    return throttled(keyed, "_key", pause_ms).withColumnRenamed("attempted", "logged").drop("_key")
+
+
+def in_flight(events: DataFrame, forget_ms: int = 3_600_000) -> DataFrame:
+    """``userid, suppressed`` of each request: whether a probe to its (daddr, irregular) is unanswered.
+
+    ``events`` are requests and replies, ``userid, daddr, irregular, ts_ms, is_reply`` and the watermarked
+    ``ts``.  State is the userid in flight; a reply to it frees the target, and so do ``forget_ms``
+    without one.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        flying, since = state.get if state.exists else (None, None)
+        out = []
+        rows = pd.concat(list(frames)).sort_values(["ts_ms", "is_reply", "userid"], ascending=[True, False, True])
+        for user, ts, is_reply in zip(rows["userid"].tolist(), rows["ts_ms"].tolist(), rows["is_reply"].tolist()):
+            if is_reply:
+                flying = None if user == flying else flying
+                continue
+            out.append((user, flying is not None))
+            if flying is None:
+                flying, since = user, ts
+        if flying is not None:
+            state.update((int(flying), int(since)))
+            state.setTimeoutTimestamp(max(int(since) + forget_ms, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["userid", "suppressed"]).astype({"userid": "int64", "suppressed": "bool"})
+
+    return events.groupBy("daddr", "irregular").applyInPandasWithState(step, "userid long, suppressed boolean", "userid long, since long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def udp_outcomes(events: DataFrame, timeout_ms: int = 20_000) -> DataFrame:
+    """``probe_id, outcome`` of probes (whole numbers), as the batch gives them.
+
+    ``events`` are probes and packets as :func:`duskwatch.operators.reaction.probe_events` unites them,
+    with the watermarked ``ts``.  State is the probe in flight and those waiting, as JSON lists.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        probes = Probes(timeout_ms, **json.loads(state.get[0])) if state.exists else Probes(timeout_ms)
+        if state.hasTimedOut:
+            out = probes.advance(state.getCurrentWatermarkMs())
+        else:
+            rows = pd.concat(list(frames))
+            rows = rows.assign(_packet=rows["proto"].notna()).sort_values(["ts_ms", "_packet", "proto", "probe_id"])
+            out = []
+            for ts, proto, packet, probe, port in zip(rows["ts_ms"].tolist(), rows["proto"], rows["_packet"], rows["probe_id"], rows["port"].tolist()):
+                out += probes.row(int(ts), proto if packet else None, None if packet else int(probe), int(port))
+        if probes.due is not None:
+            state.update((json.dumps({"flying": probes.flying, "waiting": list(probes.waiting)}),))
+            state.setTimeoutTimestamp(max(probes.due, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["probe_id", "outcome"]).astype({"probe_id": "int64", "outcome": "object"})
+
+    return events.groupBy("addr").applyInPandasWithState(step, "probe_id long, outcome string", "probes string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def aged(store: DataFrame, max_age_ms: int) -> DataFrame:
+    """``addr, ts_ms``: entries (``addr, ts_ms`` and the watermarked ``ts``) that are dropped once their newest
+    sighting is older than ``max_age_ms``; until then the state keeps that sighting."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last = state.get[0]
+            state.remove()
+            yield pd.DataFrame({"addr": [key[0]], "ts_ms": [last]})
+            return
+        last = max([int(t) for pdf in frames for t in pdf["ts_ms"]] + ([state.get[0]] if state.exists else []))
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last + max_age_ms, state.getCurrentWatermarkMs() + 1))
+
+    return store.groupBy("addr").applyInPandasWithState(step, f"addr {dict(store.dtypes)['addr']}, ts_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def progress_of(query) -> dict[str, dict]:
+    """The counters that the batches of a query observed last, by name (see ``reports.progress``)."""
+    last = query.lastProgress
+    return {} if last is None else {name: row.asDict() if hasattr(row, "asDict") else dict(row) for name, row in (last.observedMetrics or {}).items()}
+
+
 def rates(packets: DataFrame, width: str = "1 second") -> DataFrame:
     """Requests and probes per tumbling window of the watermarked ``ts``."""
     return packets.groupBy(F.window("ts", width).alias("w")).agg(F.count(F.lit(1)).alias("requests"), F.sum("num_probes").alias("probes")).select(F.unix_millis("w.start").alias("start_ms"), "requests", "probes")

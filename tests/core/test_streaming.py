@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from duskwatch.operators import reports
+from duskwatch.operators import reaction, reports
 from duskwatch.plans import derived, queries
 from duskwatch.streaming import flows
 
@@ -94,3 +94,65 @@ def test_hour_log_by_arrival_and_repeated_batches(spark, tmp_path):
         q.stop()
         kept, late = (sorted(r["seq"] for r in spark.read.parquet(f"{tmp_path}/{x}").collect()) for x in ("log", "late"))
         assert (kept, late) == ([1, 2, 4, 5], [3, 6]) if checkpoint == "a" else set(kept) | set(late) == {1, 2, 3, 4, 5, 6}
+
+
+def pushed(spark, df, path, **other):
+    """A stream of the rows, with a last one far in the future, on keys of its own."""
+
+    def later(top):
+        return df.limit(1).withColumns({"ts_ms": F.lit(top + 40 * 3_600_000).cast("long"), **other})
+
+    return flows.with_time(as_stream(spark, df, path, last=later))
+
+
+def test_probes_in_flight_and_pauses(spark, tmp_path):
+    p = derived.busy_packets(spark, D)
+    syn = F.col("kind").isin("isyn", "rsyn")
+    probes = p.where(syn).select(F.col("userid").alias("probe_id"), F.col("saddr").alias("addr"), F.lit(53).alias("port"), "ts_ms")
+    got = p.where(~syn).select(F.when(F.col("event_id") % 5 == 0, "icmp").otherwise("udp").alias("proto"), "saddr", F.lit(53).alias("sport"), "ts_ms")
+    want = sorted(tuple(r) for r in reaction.udp_outcomes(probes, got).collect())
+    events = reaction.probe_events(probes, got)
+    out = run(spark, flows.udp_outcomes(pushed(spark, events, f"{tmp_path}/o", addr=F.lit(-1).cast("long"), proto=F.lit("udp"))))
+    assert sorted((r["probe_id"], r["outcome"]) for r in out) == want and len({o for _, o in want}) == 3
+
+    asked = p.where(syn).select("userid", F.col("saddr").alias("daddr"), (F.col("kind") == "isyn").alias("irregular"), "ts_ms")
+    replies = p.where(syn & (F.col("event_id") % 7 > 0)).select("userid", (F.col("ts_ms") + 5000).alias("ts_ms"))
+    want = sorted((r["userid"], r["suppressed"]) for r in reaction.suppress_in_flight(asked, replies).collect())
+    events = asked.withColumn("is_reply", F.lit(False)).unionByName(asked.drop("ts_ms").join(replies, "userid").withColumn("is_reply", F.lit(True)).select("userid", "daddr", "irregular", "ts_ms", "is_reply"))
+    out = run(spark, flows.in_flight(pushed(spark, events, f"{tmp_path}/f", daddr=F.lit(-1).cast("long"), is_reply=F.lit(True)), forget_ms=10**9))
+    assert sorted((r["userid"], r["suppressed"]) for r in out) == want and len({s for _, s in want}) == 2
+
+    rst = p.where("method = 'tcp-rst'").select("userid", "saddr", "sport", "ts_ms")
+    want = sorted((r["userid"], r["logged"]) for r in reaction.dedupe_rst(rst).collect())
+    out = run(spark, flows.dedupe_rst(flows.with_time(as_stream(spark, rst, f"{tmp_path}/r"), "1 day")))
+    assert sorted((r["userid"], r["logged"]) for r in out) == want
+
+
+def test_entries_age(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0), ("b", 50), ("a", 1000), ("c", 900_000)], "addr string, ts_ms long")
+    out = run(spark, flows.aged(flows.with_time(as_stream(spark, rows, f"{tmp_path}/s", files=4), "1 second"), 10_000))
+    assert sorted((r["addr"], r["ts_ms"]) for r in out) == [("a", 1000), ("b", 50)]
+
+
+def test_chained_query_and_its_counters(spark, tmp_path):
+    rows = queries.confirmed(spark, D).where("not retransmit").where("event_id < 80")
+
+    def later(top):
+        return rows.limit(1).withColumns({"ts_ms": F.lit(top + 40 * 3_600_000).cast("long"), "saddr": F.lit(99).cast(dict(rows.dtypes)["saddr"])})
+
+    seen = {"events": [], "urls": []}
+
+    def sink(events, urls, number):
+        seen["events"] += [(r["tag"], r["isyn"], r["rsyn"]) for r in events.collect()]
+        seen["urls"] += [r["url"] for r in urls.collect()]
+
+    q = flows.chain(flows.with_time(as_stream(spark, rows, f"{tmp_path}/c", last=later)), sink, f"{tmp_path}/ck")
+    q.processAllAvailable()
+    q.stop()
+    batch = queries.handshakes.assemble_handshakes(rows)
+    assert sorted(seen["events"], key=str) == sorted(((r["tag"], r["isyn"], r["rsyn"]) for r in batch.collect()), key=str)
+    assert sorted(seen["urls"]) == sorted(r["url"] for r in flows.downloader_urls(batch).collect()) != []
+    counted, _ = reports.progress(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/c"), "packets", syns=F.col("syn") == 1)
+    q = counted.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/ck2").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert flows.progress_of(q)["packets"]["rows"] == rows.count() + 1
