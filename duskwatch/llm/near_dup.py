@@ -46,12 +46,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duskwatch.llm.common import fresh, table, written
+from duskwatch.llm.common import fresh, spread, table, written
 from duskwatch.llm.components import components
 from duskwatch.llm.shingles import minhash, mix, shingle_hashes
 
 COORDINATES, MISSED = 48, 1 / 32_000
 BLOCK = 512
+_LONG_LIST = 1000
 _CHUNK_BYTES = 2_000_000
 
 
@@ -275,8 +276,12 @@ def _components(docs: DataFrame, doc_id: str, text: str, size: int, percent: int
         posted = rare_postings(sets, percent)
     else:
         posted = written(postings(classes, coordinates, matches), "postings")
-    pivots = posted.groupBy("token").agg(F.min("cls").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "p")
-    star = written(posted.join(pivots, "token").where("cls <> p").select("p", "cls").distinct(), "stars")
+    pivots = written(posted.groupBy("token").agg(F.min("cls").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1"), "pivots")
+    # Lists that hold a large share of all postings are at most 4 * partitions, so their pivots are broadcast.
+    long = max(_LONG_LIST, posted.count() // (4 * spread(docs)))
+    longest = F.broadcast(pivots.where(F.col("c") > long).select("token", "p"))
+    star = posted.join(longest, "token").unionByName(posted.join(longest.select("token"), "token", "left_anti").join(pivots.where(F.col("c") <= long).select("token", "p"), "token").select("token", "cls", "p"))
+    star = written(star.where("cls <> p").select("p", "cls").distinct(), "stars")
     if not exact:
         sets = written(shingle_sets(docs, star.select("cls").unionByName(star.select(F.col("p").alias("cls"))).distinct(), nameless, doc_id, text, size), "sets")
 

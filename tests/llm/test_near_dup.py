@@ -3,6 +3,7 @@
 import random
 import re
 
+from duskwatch.llm import near_dup
 from duskwatch.llm.near_dup import drop_near_duplicates, near_duplicates
 from duskwatch.llm.components import components
 
@@ -58,7 +59,8 @@ def test_agrees_with_brute_force(docs_of):
     assert found(near_duplicates(docs_of(rows))) == brute(rows)
 
 
-def test_large_groups_are_cut_into_blocks(docs_of):
+def test_large_groups_are_cut_into_blocks(docs_of, monkeypatch):
+    monkeypatch.setattr(near_dup, "_LONG_LIST", 5)
     rows = corpus(2, bases=2, copies=120, words=90)
     assert found(near_duplicates(docs_of(rows), block=16)) == brute(rows)
 
