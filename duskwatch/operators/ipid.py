@@ -31,11 +31,16 @@ def with_steps(replies: DataFrame) -> DataFrame:
 
 
 def series(replies: DataFrame) -> DataFrame:
-    """One row per task with everything the classes and tests need."""
+    """One row per task with everything the classes and tests need.
+
+    The fit (``m, b``) and its residuals come from windows over the task that the steps need anyway, so
+    that replies are shuffled once.
+    """
     first, last = F.min_by("ipid", "ts_ms"), F.max_by("ipid", "ts_ms")
     times = F.when(F.count(F.lit(1)) > 1, F.try_divide(distance(first, last).cast("double"), F.max("ts_ms") - F.min("ts_ms")))
-    x = F.col("ts_ms") - F.col("trigger_ms")
-    per = with_steps(replies).groupBy("task", "proto", "trigger_ms", "trigger_ipid", "num_probes").agg(
+    x, task = F.col("ts_ms") - F.col("trigger_ms"), Window.partitionBy("task").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    fitted = with_steps(replies).withColumns({"m": F.regr_slope("ipid", x).over(task), "b": F.regr_intercept("ipid", x).over(task)})
+    per = fitted.groupBy("task", "proto", "trigger_ms", "trigger_ipid", "num_probes").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("step").alias("max_step"),
         F.coalesce(F.avg("velocity"), F.lit(0.0)).alias("mean_velocity"),
@@ -43,8 +48,9 @@ def series(replies: DataFrame) -> DataFrame:
         first.alias("first_ipid"),
         last.alias("last_ipid"),
         F.max("ts_ms").alias("last_ms"),
-        F.regr_slope("ipid", x).alias("m"),
-        F.regr_intercept("ipid", x).alias("b"),
+        F.first("m").alias("m"),
+        F.first("b").alias("b"),
+        F.sum(F.pow(F.col("ipid") - (F.col("m") * x.cast("double") + F.col("b")), 2)).alias("sse"),
         F.avg(x).alias("x_mean"),
         F.regr_sxx("ipid", x).alias("sxx"),
     )
@@ -102,8 +108,6 @@ def consistency(replies: DataFrame, method: str = "regression", mode: str = "as_
     s = classify_ipid(replies, classifier)
     if method == "thesis":
         return s.select("task", "class", F.coalesce(thesis_test(), F.lit(False)).alias("consistent"))
-    x = (F.col("ts_ms") - F.col("trigger_ms")).cast("double")
-    residual = replies.join(s.select("task", "m", "b"), "task").groupBy("task").agg(F.sum(F.pow(F.col("ipid") - (F.col("m") * x + F.col("b")), 2)).alias("sse"))
     sigma = F.when(F.col("n") > 2, F.sqrt(F.try_divide("sse", F.col("n") - 2)))
     error = sigma * F.sqrt(1 + F.try_divide(F.lit(1.0), "n") + F.try_divide(F.pow("x_mean", F.lit(2.0)), "sxx"))
     interval = F.greatest(F.lit(10.0), t * error)
@@ -112,4 +116,4 @@ def consistency(replies: DataFrame, method: str = "regression", mode: str = "as_
     upper, lower = F.pmod(at + wide, F.lit(WRAP + 1)), F.pmod(at - wide, F.lit(WRAP + 1))
     near = F.col("trigger_ipid") <= upper if mode == "as_written" else F.pmod(F.col("trigger_ipid") - lower, F.lit(WRAP + 1)) <= F.pmod(upper - lower, F.lit(WRAP + 1))
     fits = (F.col("class") == "monotonic") & threshold_test() & (F.col("interval") <= WRAP // 4) & near
-    return s.join(residual, "task").withColumn("interval", interval).select("task", "class", F.coalesce(fits, F.lit(False)).alias("consistent"))
+    return s.withColumn("interval", interval).select("task", "class", F.coalesce(fits, F.lit(False)).alias("consistent"))

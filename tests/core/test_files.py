@@ -126,3 +126,13 @@ def test_small_sinks(spark, tmp_path):
     sinks.append_contact_types(counts, f"{tmp_path}/ct")
     sinks.append_contact_types(counts, f"{tmp_path}/ct")
     assert logs.read_contact_types(spark, f"{tmp_path}/ct").agg(F.sum("all")).first()[0] == 2
+
+
+def test_two_hour_log(spark):
+    """Rows in the order of arrival, by hour: what is older than the hour before the newest is late."""
+    h = 3_600_000
+    for hours, late in (([5, 5, 5], []), ([5, 6, 6], []), ([6, 5, 6, 5], []), ([5, 8, 7, 8], []), ([5, 8, 5], [2]), ([5, 7, 5, 6], [2]), ([3, 9, 8, 2, 9, 7], [3, 5]), ([9, 1, 9, 8], [1])):
+        rows = spark.createDataFrame([(k, x * h + k) for k, x in enumerate(hours)] + [(len(hours), None)], "seq int, ts_ms long")
+        for width in (1, 2, 1000):
+            good, bad = sinks.split_late(rows, "seq", width=width)
+            assert sorted(r["seq"] for r in bad.collect()) == late and good.count() == len(hours) + 1 - len(late)
