@@ -7,7 +7,7 @@
 2. Voters (``VOTERS``).  Five lexicon voters: one for each kind, and one with a fixed list of insults.
    Eight pattern voters read the text itself: stretched letters, words spelled out with separators, words
    with letters masked, words shouted amid small letters, a lexicon's word near a second-person word, a
-   lexicon's word before an exclamation mark, several lexicon entries, one of them repeated.  Each votes
+   lexicon's word before an exclamation mark, several different words of lexicons, one of them repeated.  Each votes
    toxic or not on every whole text.
 3. Label model.  All documents are counted by vote pattern (at most 2^13).  Expectation-
    maximisation over these counts estimates each voter's accuracy on either class, starting from
@@ -51,7 +51,7 @@ SECOND_PERSON = ("you", "your", "yours", "yourself", "du", "dich", "dir", "dein"
 NEAR = 3
 #: A lexicon has at most LEXICON entries of its kind; an entry is in at least this share of toxic training documents, and that many
 #: times as frequent (smoothed) in them as in others.
-LEAST_SHARE, LEAST_LIFT = 0.01, 30.0
+LEAST_SHARE, LEAST_DOCS, LEAST_LIFT = 0.01, 8.0, 30.0
 _U = np.uint64
 
 
@@ -155,7 +155,7 @@ def lexicons(labelled: DataFrame, size: int = LEXICON) -> Lexicons:
     if not t or t == n:
         return Lexicons(np.zeros(0, np.int64), np.zeros(0, np.uint64))
     lift = ((F.col("toxic") + 0.5) / (t + 1)) / ((F.col("clean") + 0.5) / (n - t + 1))
-    best = _term_counts(labelled, "toxic", tuple(KINDS)).where((F.col("toxic") >= max(3.0, LEAST_SHARE * t)) & (lift >= LEAST_LIFT))
+    best = _term_counts(labelled, "toxic", tuple(KINDS)).where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * t)) & (lift >= LEAST_LIFT))
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("toxic"), "term"))
     rows = best.withColumn("rank", rank).where(F.col("rank") <= size).select("kind", "term").collect()
     return Lexicons(np.array([r["kind"] for r in rows], np.int64), np.array([r["term"] for r in rows], np.int64).view(np.uint64))
@@ -177,14 +177,14 @@ def votes(texts: pa.Array, known: Lexicons) -> np.ndarray:
     rows, size, n_rows = w.rows(), w.lengths(), len(texts)
     own = np.zeros((n_rows, len(VOTERS)), bool)
     vote = lambda name, words: own.__setitem__((rows[words], VOTERS.index(name)), True)
-    named, entries = np.zeros(len(w), bool), [np.zeros(0, np.int64)]
+    named = np.zeros(len(w), bool)
     for kind, at, h in _kinds(w):
         found, place = _places(known.term, h)
         right = known.kind[place] == kind
-        found, place = at[found[right]], place[right]
+        found = at[found[right]]
         vote(VOTERS[kind], found)
-        entries.append(rows[found] * max(len(known.term), 1) + place)
-        named[found] = named[found] | (kind != PAIR)
+        if kind != PAIR:
+            named[found] = True
     plain = w.hashes()
     insult, _ = _places(_hashes(INSULTS), plain)
     vote("insult", insult)
@@ -215,10 +215,12 @@ def votes(texts: pa.Array, known: Lexicons) -> np.ndarray:
     low, high = np.maximum(at - NEAR, w.off[rows[at]]), np.minimum(at + NEAR + 1, w.off[rows[at] + 1])
     vote("addressed", at[you[high] > you[low]])
     vote("exclaimed", at[after[at] == 33])
-    entry, often = np.unique(np.concatenate(entries), return_counts=True)
-    entry_row = entry // max(len(known.term), 1)
-    own[:, VOTERS.index("several")] = np.bincount(entry_row, minlength=n_rows) >= 2
-    own[entry_row[often >= 2], VOTERS.index("repeated")] = True
+    # Words of a lexicon, each once, and how often each occurs.
+    order = at[np.lexsort((plain[at], rows[at]))]
+    new = np.ones(len(order), bool)
+    new[1:] = (rows[order][1:] != rows[order][:-1]) | (plain[order][1:] != plain[order][:-1])
+    own[:, VOTERS.index("several")] = np.bincount(rows[order[new]], minlength=n_rows) >= 2
+    vote("repeated", order[~new])
     return own @ (1 << np.arange(len(VOTERS)))
 
 

@@ -54,6 +54,7 @@ def plain_votes(text):
             entry[i].append("pair")
     named = [i for i, w in enumerate(words) if set(entry[i]) - {"pair"} or w in x.INSULTS]
     all_entries = [e for own in entry.values() for e in own]  # one entry of each kind
+    all_named = [words[i] for i in named]
     ups, downs = len(re.findall("[A-Z]", text)), len(re.findall("[a-z]", text))
     vote = {k: k in all_entries for k in ("word", "stem", "meant", "pair")}
     vote["insult"] = any(w in x.INSULTS for w in words)
@@ -65,7 +66,7 @@ def plain_votes(text):
     vote["shouted"] = 2 * ups < downs and any(re.fullmatch("[A-Z]{4,}", w) for w, _, _ in found)
     vote["addressed"] = any(w in x.SECOND_PERSON for i in named for w in words[max(0, i - 3) : i + 4])
     vote["exclaimed"] = any(text[found[i][2] : found[i][2] + 1] == "!" for i in named)
-    vote["several"], vote["repeated"] = len(set(all_entries)) >= 2, len(all_entries) > len(set(all_entries))
+    vote["several"], vote["repeated"] = len(set(all_named)) >= 2, len(all_named) > len(set(all_named))
     return vote
 
 
