@@ -8,10 +8,11 @@ counted with add-one smoothing: one over trusted documents, one over the whole r
 document's score is the mean log ratio of its n-grams, so length does not matter; a document is
 kept if the score reaches a fixed threshold.
 
-Trusted documents are all those labelled good, found by a shuffle join of ids (``trusted_rows`` can
-bound them, by a hash of the id); corpus counts cover every document.  The table of log ratios has one number per bucket.
+Trusted documents are all those labelled good (``trusted_rows`` can bound them, by a hash of the id): their
+ids are broadcast if there are at most ``BROADCAST_IDS``, and joined by a shuffle beyond; corpus counts
+cover every document.  The table of log ratios has one number per bucket.
 
-Everything is built from DataFrame functions, with one shuffle of texts.  Defined cases:
+Everything is built from DataFrame functions, with at most one shuffle of texts.  Defined cases:
 null and empty texts have no words, all counts 0, score 0 and fail the base rules; null or repeated
 ids are rows like others; extra columns are not read; an empty table gives none; without labels the
 trusted and raw multinomials differ by smoothing only.
@@ -29,6 +30,8 @@ from duskwatch.llm.common import table
 
 BUCKETS = 1 << 14
 MIN_SCORE = -0.5
+#: So many trusted ids at most are broadcast (8 MB); more are joined by a shuffle of texts.
+BROADCAST_IDS = 1_000_000
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 _CAPITALS, _MARK = "\x01", "\x02"
@@ -107,9 +110,12 @@ def trusted_ids(labels: DataFrame, rows: int | None = None) -> DataFrame:
 def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = BUCKETS, fold: bool = True) -> list[float]:
     """The log ratio trusted : raw of every bucket; n numbers, whatever the corpus."""
     marked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    # Rows without an id are dealt by their text, so that they do not meet in one task.
-    marked = marked.withColumn("_deal", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0))
-    marked = marked.join(trusted.select("doc_id", F.lit(0).cast("long").alias("_deal"), F.lit(1).alias("good")).hint("merge"), ["doc_id", "_deal"], "left")
+    if trusted.count() <= BROADCAST_IDS:
+        marked = marked.join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
+    else:
+        # Rows without an id are dealt by their text, so that they do not meet in one task.
+        marked = marked.withColumn("_deal", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0))
+        marked = marked.join(trusted.select("doc_id", F.lit(0).cast("long").alias("_deal"), F.lit(1).alias("good")).hint("merge"), ["doc_id", "_deal"], "left")
     marked = marked.select("good", tokens("text", fold).alias("t"))
     neighbours = marked.select("good", F.inline(F.arrays_zip(F.col("t").alias("x"), _but_first("t").alias("y"))))
     grams = neighbours.select("good", F.explode(F.array(_single(F.col("x"), n), F.when(F.col("y").isNotNull(), _pair(F.col("x"), F.col("y"), n)))).alias("bucket"))

@@ -79,3 +79,11 @@ def test_every_good_label_is_trusted(spark):
     ratios = q.log_ratios(docs, q.trusted_ids(labels))
     want = math.log(20_101 / (20_100 + q.BUCKETS)) - math.log(20_101 / (21_000 + q.BUCKETS))
     assert any(math.isclose(r, want, abs_tol=1e-9) for r in ratios)
+
+
+def test_both_ways_of_finding_trusted_documents_agree(spark, docs_of, monkeypatch):
+    docs = docs_of([*((i, f"word {i % 7} and more") for i in range(60)), *((None, f"none {i}") for i in range(9)), (5, "twice")])
+    trusted = spark.createDataFrame([(i,) for i in range(0, 60, 3)], "doc_id long")
+    few = q.log_ratios(docs, trusted)
+    monkeypatch.setattr(q, "BROADCAST_IDS", 3)
+    assert q.log_ratios(docs, trusted) == few
