@@ -24,7 +24,7 @@ def folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir; a local run has its own)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="spark-logs-"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
