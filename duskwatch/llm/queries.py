@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duskwatch.llm import fingerprints, licenses, mixing, near_dup, packing, quality_classifier, quality_rules, token_counts, toxicity, warc
+from duskwatch.llm import fingerprints, licenses, mixing, near_dup, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.query,
         "op9_fingerprints": fingerprints.query,
         "op10_near_duplicates": near_dup.query,
+        "op11_url_filters": url_filters.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scans": licenses.SQL, "op5_warc": warc.SQL, "op8_mixing": mixing.SQL}
+    return {"op3_license_scans": licenses.SQL, "op5_warc": warc.SQL, "op8_mixing": mixing.SQL, "op11_url_filters": url_filters.SQL}
