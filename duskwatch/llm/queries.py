@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duskwatch.llm import filter_audit, fingerprints, licenses, mixing, near_dup, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filters, warc
+from duskwatch.llm import filter_audit, fingerprints, licenses, mixing, near_dup, packing, prefix_trie, quality_classifier, quality_rules, token_counts, toxicity, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_fingerprints": fingerprints.query,
         "op10_near_duplicates": near_dup.query,
         "op11_url_filters": url_filters.query,
+        "op12_prefix_trie": prefix_trie.query,
         "op13_filter_audit": filter_audit.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scans": licenses.SQL, "op5_warc": warc.SQL, "op8_mixing": mixing.SQL, "op11_url_filters": url_filters.SQL, "op13_filter_audit": filter_audit.SQL}
+    return {"op3_license_scans": licenses.SQL, "op5_warc": warc.SQL, "op8_mixing": mixing.SQL, "op11_url_filters": url_filters.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_filter_audit": filter_audit.SQL}
