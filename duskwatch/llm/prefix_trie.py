@@ -121,7 +121,7 @@ def burst(seqs: DataFrame, container: int = CONTAINER, most_rounds: int = ROUNDS
     the sequences; where ``head`` is null, the sequence ends at the head ``above``.  The others are ``head, depth,
     above, shared`` (turns that all under the head begin with) ``, first`` (one of the sequences).
     """
-    held = seqs.withColumns({"head": F.lit(hashlib.sha256(b"").digest()), "depth": F.lit(0), "above": F.lit(None).cast("binary")})
+    held = written(seqs.withColumns({"head": F.lit(hashlib.sha256(b"").digest()), "depth": F.lit(0), "above": F.lit(None).cast("binary")}), "sequences")
     settled, rounds = [], []
     while len(rounds) < most_rounds:
         sizes = held.groupBy("head").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > container)
@@ -237,7 +237,7 @@ def trie(convs: DataFrame, container: int = CONTAINER, piece: int = PIECE, most_
 
     ``conv_id`` is the smallest member's and names the node together with ``depth``.
     """
-    held, rounds = burst(written(sequences(convs, piece), "sequences"), container, most_rounds)
+    held, rounds = burst(sequences(convs, piece), container, most_rounds)
     nodes = written(sweep(held.where("head is not null")), "trie-nodes")
     ended = held.where("head is null").select("above", F.col("low").alias("conv_id"), F.col("n").alias("n_convs"), F.lit(0).alias("children"), F.lit(0).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved_tokens"), F.col("ends_sha256").alias("ends"))
     tops, inner, linked = nodes.where("top"), nodes.where("not top").select(*COLUMNS), None

@@ -79,7 +79,7 @@ def test_copies_and_chains(spark):
     """A third are copies; of the others each goes on where the one before ended."""
     convs = spark.range(90).selectExpr("id as conv_id", "if(id % 3 = 0, array(repeat('A', 32) || lpad('2', 16, '0'), lpad('2', 48, '0')), transform(sequence(1, int(id div 3) + 1), k -> repeat('B', 32) || lpad(hex(k), 16, '0'))) as turns")
     want = nodes(convs)
-    assert want == nodes(convs, container=4) == nodes(convs, container=4, most_rounds=3, piece=2)
+    assert want == nodes(convs, container=27) == nodes(convs, container=4, most_rounds=2, piece=2)
     root = next(n for n in want if n[1] == 0)
     assert (root[0], root[3], root[4], root[5]) == (0, 90, 2, 2)
     copies = next(n for n in want if n[1] == 2 and n[0] == 0)
