@@ -49,6 +49,21 @@ def packet_log(spark, d):
     return good.select(*LOG)
 
 
+#: Two days of packets, from an hour's start; the query reads three hours from their tenth.
+_TWO_DAYS = 1_700_006_400_000
+_RANGE = (_TWO_DAYS + 10 * 3_600_000 + 1, _TWO_DAYS + 13 * 3_600_000)
+
+
+@query("packet_range", derived.WITH + f", p AS (SELECT {_TWO_DAYS} + ts_ms % 172800000 AS ts_ms, saddr, userid, method FROM packets) SELECT ts_ms - ts_ms % 3600000 AS log_hour_ms, ts_ms, saddr, userid, method, CASE WHEN userid % 2 = 0 THEN 'even' ELSE 'odd' END AS log_tag FROM p WHERE ts_ms >= {_RANGE[0] - 1} AND ts_ms < {_RANGE[1]}")
+def packet_range(spark, d):
+    """Three hours of a log of two days."""
+    p = derived.packets(spark, d)
+    p = p.withColumns({"ts_ms": F.lit(_TWO_DAYS) + F.col("ts_ms") % 172_800_000, "window_size": F.lit(1), "probed": F.col("method").isNotNull(), "num_probes": F.lit(1)})
+    path = folder(spark, "packets")
+    sinks.write_packet_log(p, path, tag=F.when(F.col("userid") % 2 == 0, "even").otherwise("odd"))
+    return logs.read_packets(spark, path, *_RANGE)[0].select("log_hour_ms", "ts_ms", "saddr", "userid", "method", "log_tag")
+
+
 def _text(packets):
     """Packets as lines of the log."""
     return F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in S.PACKET_COLUMNS])

@@ -8,6 +8,8 @@ protocol are columns that a filter can use.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,23 +81,81 @@ def typed_packets(lines: DataFrame) -> DataFrame:
     return lines.withColumn("packet", packet).withColumn("problem", problem)
 
 
+def _under(spark: SparkSession, path: str, pattern: str = "") -> list[str]:
+    """Paths that match a pattern, hidden ones left out; one listing of a folder, none of what is below."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path + pattern)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or ()
+    return [str(f.getPath()) for f in found if not f.getPath().getName().startswith(("_", "."))]
+
+
+def _between(date: Column, hour: Column, start_ms: int | None, end_ms: int | None) -> Column:
+    """Whether an hour folder is in a range, in terms of the folders' columns only."""
+    inside = F.lit(True)
+    if start_ms is not None:
+        at = datetime.fromtimestamp(start_ms // 1000, UTC)
+        inside = inside & (date >= F.lit(at.date())) & ((date > F.lit(at.date())) | (hour >= at.hour))
+    if end_ms is not None:
+        at = datetime.fromtimestamp(-(-end_ms // 3_600_000) * 3600, UTC)  # the first hour that is left out
+        inside = inside & (date <= F.lit(at.date())) & ((date < F.lit(at.date())) | (hour < at.hour))
+    return inside
+
+
+def _hour_folders(spark: SparkSession, days: list[str], start_ms: int | None, end_ms: int | None, **options) -> list[DataFrame]:
+    """``value, file, hour_ms, tag`` of folders date=/hour=[/tag=]: only the days of the range are listed, and only its hours read."""
+    first, last = (None if t is None else str(datetime.fromtimestamp(t // 1000, UTC).date()) for t in (start_ms, end_ms))
+    bases: dict[str, list[str]] = {}
+    for day in days:
+        base, _, name = day.rpartition("/date=")
+        if (first is None or name >= first) and (last is None or name <= last):
+            bases.setdefault(base, []).append(day)
+    out = []
+    for base, chosen in bases.items():
+        text = spark.read.options(**options).option("basePath", base).text(chosen)
+        date, hour = F.col("date").cast("date"), F.col("hour").cast("int")
+        at = F.unix_millis(date.cast("timestamp")) + hour.cast("long") * 3_600_000
+        tag = F.col("tag").cast("string") if "tag" in text.columns else F.lit(None).cast("string")
+        out.append(text.where(_between(date, hour, start_ms, end_ms)).select("value", F.col("_metadata.file_name").alias("file"), at.alias("hour_ms"), tag.alias("tag"), F.lit(None).cast("string").alias("proto")))
+    return out
+
+
 def read_packets(spark: SparkSession, path: str, start_ms: int | None = None, end_ms: int | None = None, tag: str | None = None, proto: str | None = None, stream: bool = False, **options) -> tuple[DataFrame, DataFrame]:
     """Packets of a CSV log and the quarantine: ``value, file, problem``.
 
-    The range and names are compared with the file name (files of other names pass only without
-    them).  With ``stream`` both are streaming tables that follow completed files.
+    The log may hold the hour folders that ``sinks.write_packet_log`` makes, files named by hour, tag and protocol
+    (FILE_NAME), and others, side by side.  A range takes whole hours from that of ``start_ms`` to the last that
+    begins before ``end_ms``: folders and named files outside it are not opened, and other files are read and their
+    rows compared.  Where ``tag`` is asked for, lines of files that tell none go to the quarantine; a protocol
+    is compared with the name, else with the row.  With ``stream`` both are streaming tables that follow completed files.
     """
-    lines = _lines(spark, path, S.PACKET_COLUMNS, stream, **options).withColumn("name", parse_file_name("file"))
-    if start_ms is not None:
-        lines = lines.where(F.col("name.hour_ms") >= net.hour_ms(F.lit(start_ms)))
-    if end_ms is not None:
-        lines = lines.where(F.col("name.hour_ms") < end_ms)
-    for column, value in (("tag", tag), ("proto", proto)):
-        if value is not None:
-            lines = lines.where(F.col(f"name.{column}") == value)
-    typed = typed_packets(lines)
-    good = typed.where("problem is null").select("packet.*", F.col("name.tag").alias("log_tag"), F.col("name.hour_ms").alias("log_hour_ms"))
-    return good, typed.where("problem is not null").select("value", "file", "problem")
+    if stream:
+        text = spark.readStream.options(**options).text(path).select("value", F.col("_metadata.file_name").alias("file"))
+        parts = []
+    else:
+        days = [] if options.get("recursiveFileLookup") else _under(spark, path, "/date=*")
+        parts = _hour_folders(spark, days, start_ms, end_ms, **options)
+        files = [f for f in _under(spark, path, "/*") or _under(spark, path) if "/date=" not in f] if days else [path]
+        text = spark.read.options(**options).text(files).select("value", F.col("_metadata.file_name").alias("file")) if files else None
+    if text is not None:
+        name = parse_file_name("file")
+        parts.append(text.select("value", "file", name["hour_ms"].alias("hour_ms"), name["tag"].alias("tag"), name["proto"].alias("proto")))
+    own_hour, own_proto, first = net.hour_ms(F.get("f", F.lit(0)).try_cast("bigint")), F.get("f", F.lit(5)), None if start_ms is None else start_ms - start_ms % 3_600_000
+    in_range = lambda hour: (F.lit(True) if first is None else hour >= first) & (F.lit(True) if end_ms is None else hour < end_ms)
+    typed = []
+    for lines in parts or [spark.createDataFrame([], "value string, file string, hour_ms long, tag string, proto string")]:
+        lines = lines.where(F.col("hour_ms").isNull() | in_range(F.col("hour_ms")))
+        for column, value in (("tag", tag), ("proto", proto)):
+            if value is not None:
+                lines = lines.where(F.col(column).isNull() | (F.col(column) == value))
+        rows = typed_packets(lines.where(F.col("value") != "|".join(S.PACKET_COLUMNS)).withColumn("f", F.split("value", r"\|")))
+        rows = rows.where(F.col("problem").isNotNull() | F.col("hour_ms").isNotNull() | in_range(own_hour))
+        if proto is not None:
+            rows = rows.where(F.col("problem").isNotNull() | F.col("proto").isNotNull() | (own_proto == proto))
+        if tag is not None:
+            rows = rows.withColumn("problem", F.coalesce("problem", F.when(F.col("tag").isNull(), "no tag")))
+        typed.append(rows)
+    rows = reduce(DataFrame.unionByName, typed)
+    good = rows.where("problem is null").select("packet.*", F.col("tag").alias("log_tag"), F.col("hour_ms").alias("log_hour_ms"))
+    return good, rows.where("problem is not null").select("value", "file", "problem")
 
 
 def read_confirmations(spark: SparkSession, path: str, stream: bool = False, **options) -> tuple[DataFrame, DataFrame]:

@@ -13,14 +13,16 @@ from duskwatch.functions import payload as pl
 from duskwatch.sources import schemas as S
 
 
-def packet_lines(packets: DataFrame) -> DataFrame:
-    """The packet log's columns in header order, as text; an unprobed packet has empty probe fields."""
+def packet_lines(packets: DataFrame, **more: Column) -> DataFrame:
+    """The packet log's columns in header order, as text; an unprobed packet has empty probe fields.
+
+    ``more`` adds columns of the packets' own."""
     probe = lambda c: F.when(F.col("probed"), F.col(c).cast("string")).otherwise("")
     columns = {
         "ts": F.col("ts_ms"), "saddr": net.long_to_ip("saddr"), "daddr": net.long_to_ip("daddr"), "window size": F.col("window_size"), "probed": F.when(F.col("probed"), "true").otherwise("false"),
         "method": probe("method"), "userid": probe("userid"), "probe anum": probe("probe_anum"), "probe snum": probe("probe_snum"), "num probes": probe("num_probes"),
     }
-    return packets.select(*[columns.get(c, F.col(c) if c in packets.columns else F.lit(None)).cast("string").alias(c) for c in S.PACKET_COLUMNS])
+    return packets.select(*[columns.get(c, F.col(c) if c in packets.columns else F.lit(None)).cast("string").alias(c) for c in S.PACKET_COLUMNS], *[c.alias(n) for n, c in more.items()])
 
 
 def confirmation_lines(confs: DataFrame) -> DataFrame:
@@ -28,11 +30,18 @@ def confirmation_lines(confs: DataFrame) -> DataFrame:
     return confs.select(*[columns.get(c, F.col(c) if c in confs.columns else F.lit(None)).cast("string").alias(c) for c in S.CONFIRMATION_COLUMNS])
 
 
-def write_packet_log(packets: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Packet log in folders date=/hour=, one header a file, pipes between fields, gzip."""
+def write_packet_log(packets: DataFrame, path: str, mode: str = "errorifexists", tag: Column | None = None) -> None:
+    """Packet log in folders date=/hour=, and tag= if given, one header a file, pipes between fields, gzip.
+
+    Rows meet by hour before they are written, so an hour is one file or, where it is large, as many as its size
+    asks for; small hours share a task.
+    """
     ts = F.timestamp_millis(F.col("ts").cast("bigint"))
-    lines = packet_lines(packets).withColumns({"date": F.date_format(ts, "yyyy-MM-dd"), "hour": F.date_format(ts, "HH")})
-    lines.sortWithinPartitions("date", "hour", "ts").write.partitionBy("date", "hour").mode(mode).option("sep", "|").option("header", True).option("emptyValue", "").option("compression", "gzip").csv(path)
+    folders = ["date", "hour"] + ([] if tag is None else ["tag"])
+    lines = packet_lines(packets) if tag is None else packet_lines(packets, tag=tag)
+    lines = lines.withColumns({"date": F.date_format(ts, "yyyy-MM-dd"), "hour": F.date_format(ts, "HH")})
+    met = lines.hint("rebalance", *folders)
+    met.sortWithinPartitions(*folders, "ts").write.partitionBy(*folders).mode(mode).option("sep", "|").option("header", True).option("emptyValue", "").option("compression", "gzip").csv(path)
 
 
 def split_late(rows: DataFrame, arrival: str, log: str | None = None, since_ms: int | None = None, width: int = 1_000_000) -> tuple[DataFrame, DataFrame]:

@@ -42,6 +42,64 @@ def test_packet_log_round_trip(spark, tmp_path):
     assert bad.count() == 0 and sorted(map(tuple, good.drop(*drop).collect())) == sorted(map(tuple, again.drop(*drop).collect()))
 
 
+def scans(df):
+    """Files that each scan opens, and the plan."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    opened, waiting = [], [plan]
+    while waiting:
+        node = waiting.pop()
+        if "FileSourceScanExec" in node.getClass().getName():
+            opened.append(node.metrics().apply("numFiles").value())
+        if hasattr(node, "children"):
+            nodes = node.children()
+            waiting += [nodes.apply(k) for k in range(nodes.size())]
+        if "AdaptiveSparkPlanExec" in node.getClass().getName():
+            waiting.append(node.executedPlan())
+    return opened, text
+
+
+H0 = 1_700_006_400_000
+
+
+def test_ranges_of_own_hour_folders(spark, tmp_path):
+    """No row of a range is lost, whatever the layout, and what is outside is not opened."""
+    h = 3_600_000
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text("\n".join([HEADER, *[GOOD.replace("1700000000123", str(H0 + k * h // 2)) for k in range(96)]]) + "\n")
+    packets, _ = logs.read_packets(spark, str(tmp_path / "in"))
+    assert packets.count() == 96
+    log = str(tmp_path / "log")
+    sinks.write_packet_log(packets, log)
+    assert logs.read_packets(spark, log, H0, H0 + 48 * h)[0].count() == 96 and logs.read_packets(spark, log)[0].count() == 96
+    got, bad = logs.read_packets(spark, log, H0 + 10 * h + 5, H0 + 13 * h)
+    opened, plan = scans(got)
+    assert sorted(r["ts_ms"] for r in got.collect()) == [H0 + k * h // 2 for k in range(20, 26)] and bad.count() == 0
+    assert "PartitionFilters: [" in plan and "hour#" in plan.split("PartitionFilters: [")[1].split("]")[0] and opened == [3]
+    for start, end, n in ((H0 + 47 * h, None, 2), (None, H0 + h + 1, 4), (H0 - 99 * h, H0, 0), (H0 + 48 * h, None, 0), (H0 + 23 * h, H0 + 25 * h, 4)):
+        assert logs.read_packets(spark, log, start, end)[0].count() == n
+    assert logs.read_packets(spark, log, proto="tcp")[0].count() == 96 and logs.read_packets(spark, log, proto="udp")[0].count() == 0
+    good, bad = logs.read_packets(spark, log, H0, H0 + h, tag="here")
+    assert good.count() == 0 and [r["problem"] for r in bad.collect()] == ["no tag"] * 2
+
+
+def test_ranges_of_named_other_and_tagged_files(spark, tmp_path):
+    h = 3_600_000
+    at = lambda k: GOOD.replace("1700000000123", str(H0 + k * h))
+    for k in range(5):
+        (tmp_path / f"2023-11-15.{k:02d}-00-00.here.prog.tcp.raw.{H0 // 1000 + k * 3600}.csv").write_text("\n".join([HEADER, at(k)]) + "\n")
+    (tmp_path / "other.csv").write_text("\n".join([HEADER, at(1), at(9), BAD[0]]) + "\n")
+    packets, _ = logs.read_packets(spark, str(tmp_path / "other.csv"))
+    sinks.write_packet_log(packets, str(tmp_path), mode="append", tag=F.lit("there"))
+    good, bad = logs.read_packets(spark, str(tmp_path), H0 + h, H0 + 3 * h)
+    assert sorted(scans(good)[0]) == [1, 3] and [r["problem"] for r in bad.collect()] == ["saddr"]
+    assert sorted(((r["ts_ms"] - H0) // h, r["log_tag"] or "") for r in good.collect()) == [(1, ""), (1, "here"), (1, "there"), (2, "here")]
+    good, bad = logs.read_packets(spark, str(tmp_path), H0 + h, tag="there")
+    assert sorted((r["ts_ms"] - H0) // h for r in good.collect()) == [1, 9] and sorted(r["problem"] for r in bad.collect()) == ["no tag", "no tag", "saddr"]
+    assert logs.read_packets(spark, str(tmp_path))[0].count() == 9
+
+
 def test_confirmations_and_legacy(spark, tmp_path):
     (tmp_path / "c.csv").write_text("start sec|start usec|method|userid|num probes|saddr|daddr|sport|dport\n1700000000|123456|tcp-synack|9|1|44.0.0.1|1.2.3.4|23|1000\nx|1|a|b|c|d|e|f|g\n")
     good, bad = logs.read_confirmations(spark, str(tmp_path / "c.csv"))
