@@ -1,7 +1,7 @@
 """TCP handshakes and two-phase events, one fold per (source, destination, port).
 
-Packets are dealt by key and sorted by time.  Keys with one kind of packet only, nearly all of a
-telescope's, are finished by built-in functions.  The rows of the others are walked once: a task keeps
+Packets are dealt by key and sorted by time, once.  Keys with one kind of packet only, nearly all of a
+telescope's, are finished by columns of Arrow batches.  The rows of the others are walked once: a task keeps
 the open phases of the key at hand, indexed by what can find them (ports and numbers for ACKs, the
 confirmation's time and then the order of arrival for second phases), so a row costs a logarithm of
 the open phases, and emits them when their hour has closed.  The same fold serves batch and stream.
@@ -13,9 +13,11 @@ from collections import deque, namedtuple
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOUR, GRACE = 3_600_000, 90 * 60_000
@@ -244,8 +246,10 @@ def assemble_handshakes(packets: DataFrame, phase_timeout: int = 600) -> DataFra
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fold = None, Fold(phase_timeout)
         for batch in batches:
+            finished, waiting = _of_one_kind(batch)
+            yield finished
             out = []
-            for row in map(Packet._make, zip(*[batch.column(c).to_pylist() for c in NEEDED])):
+            for row in map(Packet._make, zip(*[waiting.column(c).to_pylist() for c in NEEDED])):
                 if row[:3] != key:
                     out += fold.close(None)
                     key, fold = row[:3], Fold(phase_timeout)
@@ -255,17 +259,33 @@ def assemble_handshakes(packets: DataFrame, phase_timeout: int = 600) -> DataFra
         yield _batch(fold.close(None))
 
     n = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = Window.partitionBy(*KEYS).orderBy("ts_ms", "step").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    dealt = events_of(packets).repartition(n, *KEYS).withColumn("_alike", F.min("kind").over(own) == F.max("kind").over(own))
-    is_first, none = F.col("kind") == "isyn", lambda kind: F.lit(None).cast(kind)
+    return events_of(packets).repartition(n, *KEYS).sortWithinPartitions(*KEYS, "ts_ms", "step").mapInArrow(walk, RESULT)
+
+
+def _of_one_kind(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """Events of the keys with SYNs of one kind only, and the rows that have to be walked.
+
+    The batch is sorted by key.  Its first and last key may go on in other batches and are walked; keys with
+    nothing but ACKs give no event.
+    """
+    if not batch.num_rows:
+        return _batch([]), batch
+    new = np.ones(batch.num_rows, bool)
+    new[1:] = np.logical_or.reduce([(c[1:] != c[:-1]) for c in (batch.column(k).fill_null(-1).to_numpy() for k in KEYS)])
+    starts, own = np.flatnonzero(new), np.cumsum(new) - 1
+    first, ack = (pc.equal(batch.column("kind"), k).to_numpy(zero_copy_only=False) for k in ("isyn", "ack"))
+    code = np.where(ack, 0, np.where(first, 1, 2))
+    alike = np.minimum.reduceat(code, starts) == np.maximum.reduceat(code, starts)
+    alike[[0, -1]] = False
+    done = alike[own]
+    rows, first = batch.filter(pa.array(done & ~ack)), pa.array(first[done & ~ack])
+    null = lambda kind: pa.nulls(rows.num_rows, kind)
+    of = lambda condition, name: pc.if_else(condition, rows.column(name), None)
     known = {
-        "tag": F.col("kind"), "repeated": F.lit(False), "isyn": F.when(is_first, F.col("userid")), "rsyn": F.when(~is_first, F.col("userid")),
-        "isyn_ipid": F.when(is_first, F.col("ipid")), "isyn_snum": F.when(is_first, F.col("snum")),
+        **{c: rows.column(c) for c in (*KEYS, "ts_ms")}, "tag": rows.column("kind"), "repeated": pa.array(np.zeros(rows.num_rows, bool)),
+        "isyn": of(first, "userid"), "rsyn": of(pc.invert(first), "userid"), "isyn_ipid": of(first, "ipid"), "isyn_snum": of(first, "snum"),
     }
-    kinds = dict(c.split() for c in RESULT.split(", "))
-    alike = dealt.where("_alike and kind <> 'ack'").select(*[(F.col(c) if c in (*KEYS, "ts_ms") else known.get(c, none("string"))).cast(kinds[c]).alias(c) for c in COLUMNS])
-    mixed = dealt.where("not _alike").sortWithinPartitions(*KEYS, "ts_ms", "step").select(*NEEDED)
-    return alike.unionByName(mixed.mapInArrow(walk, RESULT))
+    return pa.RecordBatch.from_arrays([known[f.name].cast(f.type) if f.name in known else null(f.type) for f in _ARROW], schema=_ARROW), batch.filter(pa.array(~done))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -1,4 +1,4 @@
-"""Retransmits, and greedy one-to-one matching as rounds of joins."""
+"""Retransmits, and greedy one-to-one matching in one ordered pass per key."""
 
 from __future__ import annotations
 
