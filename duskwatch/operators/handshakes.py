@@ -91,7 +91,7 @@ class Fold:
         self.irregular: list[Phase] = []
         self.regular: list[Phase] = []
         self.pairs: list[Phase] = []
-        self.waiting: deque[Packet] = deque()
+        self.waiting: deque[tuple[int, Packet]] = deque()
         self._count = 0
         self._index()
 
@@ -127,7 +127,8 @@ class Fold:
     def add(self, row: Packet) -> None:
         if row.kind == "ack":
             if not self._acknowledge(row):
-                self.waiting.append(row)
+                self.waiting.append((self._count, row))
+                self._count += 1
             return
         phase = Phase(row, IRREGULAR if row.kind == "isyn" else REGULAR, self._count)
         self._count += 1
@@ -148,11 +149,11 @@ class Fold:
     def close(self, before: int | None) -> list[tuple]:
         """Events whose first SYN's hour is closed at ``before`` (None: all)."""
         if self._due is None or (before is not None and before < self._due):
-            while self.waiting and before is not None and before >= closing(self.waiting[0].ts_ms):
+            while self.waiting and before is not None and before >= closing(self.waiting[0][1].ts_ms):
                 self.waiting.popleft()
             return []
         gone = lambda p: before is None or before >= closing(p.syn.ts_ms)
-        self.waiting = deque(a for a in self.waiting if not self._acknowledge(a) and before is not None and before < closing(a.ts_ms))
+        self.waiting = deque((k, a) for k, a in self.waiting if not self._acknowledge(a) and before is not None and before < closing(a.ts_ms))
         # SYNs of a second phase that came just before the first one.
         free = Free(self.timeout, [p for p in self.irregular if p.role == IRREGULAR])
         for phase in self.regular:
@@ -180,30 +181,27 @@ class Fold:
     @property
     def due(self) -> int | None:
         """When the next phase or waiting ACK is over; None if there is none."""
-        times = [t for t in (self._due, closing(self.waiting[0].ts_ms) if self.waiting else None) if t is not None]
+        times = [t for t in (self._due, closing(self.waiting[0][1].ts_ms) if self.waiting else None) if t is not None]
         return min(times, default=None)
 
-    def dump(self) -> dict:
-        """The state as plain lists; :meth:`load` reads it back."""
-        plain = lambda p: [p.syn, p.ack, p.order]
+    def phases(self) -> dict[int, tuple]:
+        """The open phases by number: ``(role, number of the second phase, SYN, ACK)``."""
         free = [p for p in self.irregular if p.role == IRREGULAR]
-        return {"version": 1, "count": self._count, "waiting": list(self.waiting), "irregular": [plain(p) for p in free], "regular": [plain(p) for p in self.regular], "pairs": [[plain(p), plain(p.second)] for p in self.pairs]}
+        return {p.order: (p.role, p.second.order if p.second else None, p.syn, p.ack) for p in (*free, *self.regular, *self.pairs, *[p.second for p in self.pairs])}
 
     @classmethod
-    def load(cls, state: dict, timeout: int = 600) -> Fold:
-        def phase(plain: list, role: int) -> Phase:
-            p = Phase(Packet(*plain[0]), role, plain[2])
-            p.ack = None if plain[1] is None else Packet(*plain[1])
-            return p
-
-        fold = cls(timeout)
-        fold._count, fold.waiting = state["count"], deque(Packet(*a) for a in state["waiting"])
-        fold.irregular = [phase(p, IRREGULAR) for p in state["irregular"]]
-        fold.regular = [phase(p, REGULAR) for p in state["regular"]]
-        for first, second in state["pairs"]:
-            p = phase(first, FIRST)
-            p.second = phase(second, SECOND)
-            fold.pairs.append(p)
+    def resumed(cls, phases: dict[int, tuple], waiting: dict[int, Packet], count: int, timeout: int = 600) -> Fold:
+        """The fold whose :meth:`phases`, waiting ACKs by number and count of numbers these are."""
+        fold, made = cls(timeout), {}
+        for number, (role, _, syn, ack) in sorted(phases.items()):
+            made[number] = Phase(syn, role, number)
+            made[number].ack = ack
+        for number, p in made.items():
+            if p.role == FIRST:
+                p.second = made[phases[number][1]]
+        fold.irregular, fold.regular = ([p for p in made.values() if p.role == role] for role in (IRREGULAR, REGULAR))
+        fold.pairs = sorted((p for p in made.values() if p.role == FIRST), key=lambda p: p.second.order)
+        fold.waiting, fold._count = deque(sorted(waiting.items())), count
         fold._index()
         return fold
 
@@ -233,7 +231,9 @@ def events_of(packets: DataFrame, *more: str) -> DataFrame:
 
 def rows_of(pdf: pd.DataFrame) -> Iterator[Packet]:
     """Rows with None for missing values and whole numbers as int."""
-    return map(Packet._make, pdf[NEEDED].astype(object).where(pdf[NEEDED].notna(), None).itertuples(index=False, name=None))
+    texts = ("kind", "payload")
+    columns = [[None if gone else v if c in texts else int(v) for v, gone in zip(pdf[c].tolist(), pdf[c].isna().tolist())] for c in NEEDED]
+    return map(Packet._make, zip(*columns))
 
 
 def assemble_handshakes(packets: DataFrame, phase_timeout: int = 600) -> DataFrame:

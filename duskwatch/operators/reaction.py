@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from duskwatch.operators.ordered import dealt, flag_in_order
 
 TWO32, NEVER = 1 << 32, 1 << 62
+#: Fixed value: a probe without a reply is sent again after so long.
+RESEND_MS = 6000
 
 
 def plan_reaction(packets: DataFrame, tcp: bool = True, udp: bool = True, icmp: bool = True) -> DataFrame:
@@ -84,45 +86,68 @@ def dedupe_rst(requests: DataFrame, pause_ms: int = 5000) -> DataFrame:
 class Probes:
     """The probe in flight to one address, and those that wait for it to be done.
 
-    ``flying`` is (probe, port, start) or None, ``waiting`` holds (probe, port, time).  Methods are called
-    in the order of time and return what is settled, as (probe, outcome).
+    ``flying`` is (probe, port, start, times sent) or None, ``waiting`` holds (probe, port, time).  Methods are called
+    in the order of time and return what happens, as (probe, what, time): a probe is sent at its start and every
+    ``resend_ms`` from then on until it is settled or has had its time, and it is answered, unreachable or
+    a timeout.
     """
 
-    def __init__(self, timeout_ms: int, flying=None, waiting=()):
-        self.timeout_ms, self.flying, self.waiting = timeout_ms, flying, deque(waiting)
+    def __init__(self, timeout_ms: int, resend_ms: int = RESEND_MS, flying=None, waiting=None):
+        self.timeout_ms, self.resend_ms, self.flying, self.waiting = timeout_ms, resend_ms, flying, deque() if waiting is None else waiting
 
-    def _follow(self, free: int) -> None:
+    def _start(self, probe, port, at: int) -> list[tuple]:
+        self.flying = (probe, port, at, 1)
+        return [(probe, "send", at)]
+
+    def _follow(self, free: int) -> list[tuple]:
         self.flying = None
-        if self.waiting:
-            probe, port, ts = self.waiting.popleft()
-            self.flying = (probe, port, max(ts, free))
+        if not self.waiting:
+            return []
+        probe, port, ts = self.waiting.popleft()
+        return self._start(probe, port, max(ts, free))
+
+    def _next(self) -> int | None:
+        """When the probe in flight is sent again, if it has the time."""
+        again = self.flying[2] + self.resend_ms * self.flying[3]
+        return again if again <= self.flying[2] + self.timeout_ms else None
 
     def advance(self, now: int | None) -> list[tuple]:
-        """Time out what has been in flight for too long before ``now`` (None: all), and start what waits."""
+        """Send again and time out what is due before ``now`` (None: all), and start what waits."""
         out = []
-        while self.flying is not None and (now is None or now - self.flying[2] > self.timeout_ms):
-            out.append((self.flying[0], "timeout"))
-            self._follow(self.flying[2] + self.timeout_ms)
+        while self.flying is not None:
+            probe, port, start, sent = self.flying
+            again = self._next()
+            if again is not None and (now is None or again < now):
+                self.flying = (probe, port, start, sent + 1)
+                out.append((probe, "send", again))
+            elif now is None or now - start > self.timeout_ms:
+                out.append((probe, "timeout", start + self.timeout_ms))
+                out += self._follow(start + self.timeout_ms)
+            else:
+                break
         return out
 
     def row(self, ts: int | None, proto: str | None, probe, port) -> list[tuple]:
         """A probe (``proto`` null) or a packet; a probe without a time is never sent."""
         if ts is None:
-            return [(probe, "timeout")]
+            return [(probe, "timeout", None)]
         out = self.advance(ts)
         if proto is None and self.flying is None:
-            self.flying = (probe, port, ts)
+            out += self._start(probe, port, ts)
         elif proto is None:
             self.waiting.append((probe, port, ts))
         elif self.flying is not None and self.flying[1] == port and ts >= self.flying[2]:
-            out.append((self.flying[0], "answered" if proto == "udp" else "unreachable"))
-            self._follow(ts)
+            out.append((self.flying[0], "answered" if proto == "udp" else "unreachable", ts))
+            out += self._follow(ts)
         return out
 
     @property
     def due(self) -> int | None:
-        """When the probe in flight has had its time."""
-        return None if self.flying is None else self.flying[2] + self.timeout_ms + 1
+        """When something happens next if no packet comes."""
+        if self.flying is None:
+            return None
+        again = self._next()
+        return (self.flying[2] + self.timeout_ms if again is None else again) + 1
 
 
 def probe_events(probes: DataFrame, packets: DataFrame, *more: str) -> DataFrame:
@@ -133,8 +158,8 @@ def probe_events(probes: DataFrame, packets: DataFrame, *more: str) -> DataFrame
     return sent.unionByName(got.select(F.col("saddr").alias("addr"), "ts_ms", "proto", F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"), F.col("sport").alias("port"), *more))
 
 
-def udp_outcomes(probes: DataFrame, packets: DataFrame, timeout_ms: int = 20_000) -> DataFrame:
-    """``probe_id, outcome``: answered, unreachable or timeout.
+def udp_probing(probes: DataFrame, packets: DataFrame, timeout_ms: int = 20_000, resend_ms: int = RESEND_MS) -> DataFrame:
+    """``probe_id, what, ts_ms``: each time a probe is sent (``send``), and what became of it: answered, unreachable or timeout.
 
     ``probes``: ``probe_id, addr, port, ts_ms``; ``packets``: ``proto, saddr, sport, ts_ms`` where an
     ICMP unreachable carries the embedded port as ``sport``.  An address has one probe in flight;
@@ -144,10 +169,11 @@ def udp_outcomes(probes: DataFrame, packets: DataFrame, timeout_ms: int = 20_000
     """
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, kind = None, Probes(timeout_ms), None
+        key, state, kind = None, Probes(timeout_ms, resend_ms), None
 
         def made(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], kind), pa.array([y for _, y in out], pa.string())], ["probe_id", "outcome"])
+            probe, what, ts = zip(*out) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(probe, kind), pa.array(what, pa.string()), pa.array(ts, pa.int64())], ["probe_id", "what", "ts_ms"])
 
         for batch in batches:
             kind, out = batch.schema.field("probe_id").type, []
@@ -160,10 +186,15 @@ def udp_outcomes(probes: DataFrame, packets: DataFrame, timeout_ms: int = 20_000
         if kind is not None:
             yield made(state.advance(None))
 
-    schema = T.StructType([probes.schema["probe_id"], T.StructField("outcome", T.StringType())])
+    schema = T.StructType([probes.schema["probe_id"], T.StructField("what", T.StringType()), T.StructField("ts_ms", T.LongType())])
     return dealt(probe_events(probes, packets), ["addr"], ["ts_ms", "proto", "probe_id"]).mapInArrow(settle, schema)
 
 
+def udp_outcomes(probes: DataFrame, packets: DataFrame, timeout_ms: int = 20_000) -> DataFrame:
+    """``probe_id, outcome`` of :func:`udp_probing`: answered, unreachable or timeout."""
+    return udp_probing(probes, packets, timeout_ms).where("what <> 'send'").select("probe_id", F.col("what").alias("outcome"))
+
+
 def reply_loss(requests: DataFrame, replies: DataFrame) -> DataFrame:
     """``userid, replies, loss`` per request (``userid, num_probes``)."""
     got = replies.groupBy("userid").agg(F.count(F.lit(1)).alias("r"))

@@ -128,16 +128,27 @@ def rst_pauses(spark, d):
 #: Probes of an address in order: each starts when the one before is done, and takes the first packet of its port in time.
 _OUTCOMES = W + """, pk AS MATERIALIZED (SELECT a, list(struct_pack(i := i, ts := ts_ms, port := event_id % 3, icmp := event_id % 5 = 0) ORDER BY i) AS pk FROM (SELECT saddr % 8 AS a, *, row_number() OVER (PARTITION BY saddr % 8 ORDER BY ts_ms, event_id % 5 <> 0, userid) AS i FROM packets WHERE kind <> 'isyn' AND kind <> 'rsyn') GROUP BY a),
   pr AS MATERIALIZED (SELECT saddr % 8 AS a, userid, event_id % 3 AS port, ts_ms, row_number() OVER (PARTITION BY saddr % 8 ORDER BY ts_ms, userid) AS n FROM packets WHERE kind IN ('isyn', 'rsyn')),
-  st AS (SELECT a, pk, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS probe_id, CAST(NULL AS VARCHAR) AS outcome, CAST(0 AS BIGINT) AS free, CAST(0 AS BIGINT) AS used FROM pk
-    UNION ALL SELECT a, pk, n, userid, CASE WHEN hit IS NULL THEN 'timeout' WHEN hit.icmp THEN 'unreachable' ELSE 'answered' END, coalesce(hit.ts, s + 20000), coalesce(hit.i, greatest(used, coalesce(list_max(list_transform(list_filter(pk, lambda p: p.ts <= s + 20000), lambda p: p.i)), 0)))
+  st AS (SELECT a, pk, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS probe_id, CAST(NULL AS VARCHAR) AS outcome, CAST(0 AS BIGINT) AS begun, CAST(0 AS BIGINT) AS free, CAST(0 AS BIGINT) AS used FROM pk
+    UNION ALL SELECT a, pk, n, userid, CASE WHEN hit IS NULL THEN 'timeout' WHEN hit.icmp THEN 'unreachable' ELSE 'answered' END, s, coalesce(hit.ts, s + 20000), coalesce(hit.i, greatest(used, coalesce(list_max(list_transform(list_filter(pk, lambda p: p.ts <= s + 20000), lambda p: p.i)), 0)))
     FROM (SELECT a, pk, n, userid, s, used, list_filter(pk, lambda p: p.i > used AND p.port = pport AND p.ts >= s AND p.ts <= s + 20000)[1] AS hit FROM (SELECT st.a, st.pk, pr.n, pr.userid, pr.port AS pport, greatest(pr.ts_ms, st.free) AS s, st.used FROM st JOIN pr ON pr.a = st.a AND pr.n = st.n + 1) x) y)
-  SELECT probe_id, outcome FROM st WHERE n > 0"""
+"""
 
 
-@query("udp_outcomes_contended", _OUTCOMES)
+@query("udp_outcomes_contended", _OUTCOMES + " SELECT probe_id, outcome FROM st WHERE n > 0")
 def udp_outcomes_contended(spark, d):
+    return reaction.udp_outcomes(*_probing(spark, d))
+
+
+@query("udp_sends", _OUTCOMES + """ SELECT probe_id, outcome AS what, free AS ts_ms FROM st WHERE n > 0
+  UNION ALL SELECT probe_id, 'send', unnest(range(begun, CASE WHEN outcome = 'timeout' THEN begun + 20001 ELSE greatest(begun + 1, free) END, 6000)) FROM st WHERE n > 0""")
+def udp_sends(spark, d):
+    """Every time a probe is sent, and what became of it."""
+    return reaction.udp_probing(*_probing(spark, d))
+
+
+def _probing(spark, d):
     p = busy(spark, d).withColumns({"a": F.col("saddr") % 8, "port": (F.col("event_id") % 3).cast("int")})
     syn = F.col("kind").isin("isyn", "rsyn")
     probes = p.where(syn).select(F.col("userid").alias("probe_id"), F.col("a").alias("addr"), "port", "ts_ms")
     got = p.where(~syn).select(F.when(F.col("event_id") % 5 == 0, "icmp").otherwise("udp").alias("proto"), F.col("a").alias("saddr"), F.col("port").alias("sport"), "ts_ms")
-    return reaction.udp_outcomes(probes, got)
+    return probes, got

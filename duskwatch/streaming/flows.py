@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from duskwatch.functions import payload as pl
 from duskwatch.functions.net import hour_ms
-from duskwatch.operators.handshakes import RESULT, Fold, events_of, frame, rows_of
-from duskwatch.operators.reaction import Probes
+from duskwatch.operators.handshakes import KEYS, RESULT, Fold, Packet, closing, events_of, frame, rows_of
+from duskwatch.operators.reaction import RESEND_MS, Probes
 from duskwatch.sources.sinks import split_late
 
 
@@ -33,11 +33,55 @@ def with_time(df: DataFrame, delay: str = "30 minutes") -> DataFrame:
     return df.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", delay)
 
 
+def typed_state(spark: SparkSession) -> None:
+    """Let the session's streams keep states of maps and lists and timers, which needs the RocksDB state store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def flagged_retransmits(packets: DataFrame) -> DataFrame:
+    """Adds ``retransmit`` to packets with the watermarked ``ts``, by the batch's rule (``matching.flag_retransmits``).
+
+    State of a five-field key are two hours, the newest in which it was seen and whether it was seen in the one
+    before; it is dropped when the newest can matter no more, half an hour after the next hour has begun.  Within a
+    micro-batch rows count in order of time.  A row of the hour before the newest still counts in its own hour.
+    """
+    out = [f for f in packets.schema.fields if f.name != "ts"]
+    names, kinds = [f.name for f in out], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out)
+    hour, half = 3_600_000, 1_800_000
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        newest, before = state.get if state.exists else (None, False)
+        rows = pd.concat(list(frames))
+        rows = rows.sort_values([c for c in ("ts_ms", "step") if c in rows.columns], kind="stable")
+        again = []
+        for t in rows["ts_ms"].tolist():
+            own, young = t - t % hour, t % hour < half
+            if newest is None or own > newest + hour:
+                again.append(False)
+                newest, before = own, False
+            elif own == newest + hour:
+                again.append(young)
+                newest, before = own, True
+            elif own == newest:
+                again.append(True)
+            else:
+                again.append(before and own == newest - hour)
+                before = before or own == newest - hour
+        state.update((int(newest), bool(before)))
+        state.setTimeoutTimestamp(max(int(newest) + hour + half, state.getCurrentWatermarkMs() + 1))
+        yield rows[names].assign(retransmit=again)
+
+    others = packets.where("rst <> 1").groupBy("saddr", "daddr", "sport", "dport", "snum")
+    flagged = others.applyInPandasWithState(step, f"{kinds}, retransmit boolean", "newest long, before boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return flagged.unionByName(packets.where("rst = 1").select(*names, F.lit(False).alias("retransmit")))
+
+
 def unique_packets(packets: DataFrame, delay: str = "30 minutes") -> DataFrame:
-    """Packets without repeats of their five-field key within the watermark's delay; RSTs all pass."""
-    timed = with_time(packets, delay)
-    others = timed.where("rst <> 1").dropDuplicatesWithinWatermark(["saddr", "daddr", "sport", "dport", "snum"])
-    return others.unionByName(timed.where("rst = 1"))
+    """Packets without retransmits, as the batch removes them; RSTs all pass."""
+    return flagged_retransmits(packets if "ts" in packets.columns else with_time(packets, delay)).where("not retransmit").drop("retransmit")
 
 
 def confirmed(packets: DataFrame, confs: DataFrame, delay: str = "30 minutes", timeout: str = "5 minutes") -> DataFrame:
@@ -57,31 +101,86 @@ def confirmed(packets: DataFrame, confs: DataFrame, delay: str = "30 minutes", t
     return joined.unionByName(packets.where("method is null").withColumn("con_ms", F.lit(None).cast(packets.schema["ts_ms"].dataType)))
 
 
-def handshakes(packets: DataFrame, phase_timeout: int = 600) -> DataFrame:
-    """The batch fold over a stream of confirmed packets: state per key, events when their hour closes.
+_KINDS = {"ts_ms": "long", "step": "int", "sport": "int", "snum": "long", "anum": "long", "ipid": "int", "userid": "long", "kind": "string", "probe_anum": "long", "con_ms": "long", "payload": "string"}
+_FIELDS = list(_KINDS)
+
 
-    ``packets`` carries the watermarked column ``ts``.  Rows of a micro-batch are sorted per key; the
-    state is the fold's open phases as JSON lists, so that it outlives changes of this library's classes,
-    and the event-time timer is set to its earliest closing time.
+class OpenPhases(StatefulProcessor):
+    """The batch's fold as keyed state: a map of open phases, one of waiting ACKs, and the count that numbers both.
+
+    A micro-batch writes back only what it has changed.  A timer stands at each time at which an hour of the
+    key closes.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold = Fold.load(json.loads(state.get[0]), phase_timeout) if state.exists else Fold(phase_timeout)
+    def __init__(self, phase_timeout: int):
+        self.phase_timeout = phase_timeout
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        packet = lambda p: ", ".join(f"{p}_{c} {k}" for c, k in _KINDS.items())
+        self.handle = handle
+        self.phases = handle.getMapState("phases", "number long", f"role int, second long, {packet('syn')}, {packet('ack')}")
+        self.acks = handle.getMapState("acks", "number long", packet("ack"))
+        self.count = handle.getValueState("count", "n long")
+
+    def _packet(self, key: tuple, values: tuple) -> Packet | None:
+        own = dict(zip(_FIELDS, values))
+        return None if own["kind"] is None else Packet(**dict(zip(KEYS, map(int, key))), **own)
+
+    def _resume(self, key: tuple) -> tuple[Fold, dict, dict]:
+        n = len(_FIELDS)
+        phases = {k[0]: (v[0], v[1], self._packet(key, v[2 : 2 + n]), self._packet(key, v[2 + n :])) for k, v in self.phases.iterator()}
+        acks = {k[0]: self._packet(key, v) for k, v in self.acks.iterator()}
+        count = self.count.get()[0] if self.count.exists() else 0
+        return Fold.resumed(phases, acks, count, self.phase_timeout), phases, acks
+
+    def _keep(self, fold: Fold, phases: dict, acks: dict, watermark: int) -> None:
+        plain = lambda p: (None,) * len(_FIELDS) if p is None else tuple(getattr(p, c) for c in _FIELDS)
+        now, waiting, due = fold.phases(), dict(fold.waiting), set()
+        for number, phase in now.items():
+            if phases.get(number) != phase:
+                self.phases.updateValue((number,), (*phase[:2], *plain(phase[2]), *plain(phase[3])))
+                if number not in phases:
+                    due.add(closing(phase[2].ts_ms))
+        for number, ack in waiting.items():
+            if number not in acks:
+                self.acks.updateValue((number,), plain(ack))
+                due.add(closing(ack.ts_ms))
+        for state, gone in ((self.phases, phases.keys() - now.keys()), (self.acks, acks.keys() - waiting.keys())):
+            for number in gone:
+                state.removeKey((number,))
+        if now or waiting:
+            self.count.update((fold._count,))
+        elif phases or acks:
+            self.count.clear()
+        for at in due:
+            self.handle.registerTimer(max(at, watermark + 1))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fold, phases, acks = self._resume(key)
         out = []
-        if state.hasTimedOut:
-            out = fold.close(state.getCurrentWatermarkMs())
-        else:
-            for row in rows_of(pd.concat(list(frames)).sort_values(["ts_ms", "step"])):
-                out += fold.close(row.ts_ms)
-                fold.add(row)
-        if (due := fold.due) is not None:
-            state.update((json.dumps(fold.dump()),))
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
+        for row in rows_of(pd.concat(list(rows)).sort_values(["ts_ms", "step"])):
+            out += fold.close(row.ts_ms)
+            fold.add(row)
+        self._keep(fold, phases, acks, timerValues.getCurrentWatermarkInMs())
+        yield frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        fold, phases, acks = self._resume(key)
+        out = fold.close(timerValues.getCurrentWatermarkInMs())
+        self._keep(fold, phases, acks, timerValues.getCurrentWatermarkInMs())
         yield frame(out)
 
-    return events_of(packets, "ts").groupBy("saddr", "daddr", "dport").applyInPandasWithState(step, RESULT, "fold string", "append", GroupStateTimeout.EventTimeTimeout)
+    def close(self) -> None:
+        pass
+
+
+def handshakes(packets: DataFrame, phase_timeout: int = 600) -> DataFrame:
+    """The batch fold over a stream of confirmed packets: state per key, events when their hour closes.
+
+    ``packets`` carries the watermarked column ``ts``; rows of a micro-batch are sorted per key.  The session needs
+    :func:`typed_state`.
+    """
+    return events_of(packets, "ts").groupBy("saddr", "daddr", "dport").transformWithStateInPandas(OpenPhases(phase_timeout), RESULT, "append", "eventTime")
 
 
 def throttled(df: DataFrame, key: str, every_ms: int = 3_600_000) -> DataFrame:
@@ -149,31 +248,84 @@ def in_flight(events: DataFrame, forget_ms: int = 3_600_000) -> DataFrame:
     return events.groupBy("daddr", "irregular").applyInPandasWithState(step, "userid long, suppressed boolean", "userid long, since long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def udp_outcomes(events: DataFrame, timeout_ms: int = 20_000) -> DataFrame:
-    """``probe_id, outcome`` of probes (whole numbers), as the batch gives them.
+class ProbesInFlight(StatefulProcessor):
+    """The batch's pass over an address as keyed state: the probe in flight, a map of those waiting, and a timer
+    at the next time to send again or to give up, which is set anew each time."""
 
-    ``events`` are probes and packets as :func:`duskwatch.operators.reaction.probe_events` unites them,
-    with the watermarked ``ts``.  State is the probe in flight and those waiting, as JSON lists.
-    """
+    def __init__(self, timeout_ms: int, resend_ms: int):
+        self.timeout_ms, self.resend_ms = timeout_ms, resend_ms
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        probes = Probes(timeout_ms, **json.loads(state.get[0])) if state.exists else Probes(timeout_ms)
-        if state.hasTimedOut:
-            out = probes.advance(state.getCurrentWatermarkMs())
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.flying = handle.getValueState("flying", "probe_id long, port int, start long, sent int")
+        self.waiting = handle.getMapState("waiting", "number long", "probe_id long, port int, ts_ms long")
+        self.numbers = handle.getValueState("numbers", "first long, next long")
+
+    def _resume(self) -> Probes:
+        waiting = _Queue(self.waiting, *(self.numbers.get() if self.numbers.exists() else (0, 0)))
+        return Probes(self.timeout_ms, self.resend_ms, tuple(self.flying.get()) if self.flying.exists() else None, waiting)
+
+    def _finish(self, probes: Probes, out: list, watermark: int) -> pd.DataFrame:
+        if probes.flying is None:
+            self.flying.clear()
         else:
-            rows = pd.concat(list(frames))
-            rows = rows.assign(_packet=rows["proto"].notna()).sort_values(["ts_ms", "_packet", "proto", "probe_id"])
-            out = []
-            for ts, proto, packet, probe, port in zip(rows["ts_ms"].tolist(), rows["proto"], rows["_packet"], rows["probe_id"], rows["port"].tolist()):
-                out += probes.row(int(ts), proto if packet else None, None if packet else int(probe), int(port))
-        if probes.due is not None:
-            state.update((json.dumps({"flying": probes.flying, "waiting": list(probes.waiting)}),))
-            state.setTimeoutTimestamp(max(probes.due, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["probe_id", "outcome"]).astype({"probe_id": "int64", "outcome": "object"})
+            self.flying.update(tuple(map(int, probes.flying)))
+            self.handle.registerTimer(max(probes.due, watermark + 1))
+        self.numbers.update((probes.waiting.first, probes.waiting.after))
+        if probes.flying is None and not probes.waiting:
+            self.numbers.clear()
+        return pd.DataFrame(out, columns=["probe_id", "what", "ts_ms"]).astype({"probe_id": "Int64", "what": "object", "ts_ms": "Int64"})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        probes = self._resume()
+        rows = pd.concat(list(rows))
+        rows = rows.assign(_packet=rows["proto"].notna()).sort_values(["ts_ms", "_packet", "proto", "probe_id"])
+        out = []
+        for ts, proto, packet, probe, port in zip(rows["ts_ms"].tolist(), rows["proto"], rows["_packet"], rows["probe_id"], rows["port"].tolist()):
+            out += probes.row(int(ts), proto if packet else None, None if packet else int(probe), int(port))
+        yield self._finish(probes, out, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        probes = self._resume()
+        out = probes.advance(timerValues.getCurrentWatermarkInMs())
+        yield self._finish(probes, out, timerValues.getCurrentWatermarkInMs())
 
-    return events.groupBy("addr").applyInPandasWithState(step, "probe_id long, outcome string", "probes string", "append", GroupStateTimeout.EventTimeTimeout)
+    def close(self) -> None:
+        pass
+
+
+class _Queue:
+    """Probes that wait, as entries ``first`` to ``after`` of a map state; only those that are taken are read."""
+
+    def __init__(self, entries, first: int, after: int):
+        self.entries, self.first, self.after = entries, first, after
+
+    def __len__(self) -> int:
+        return self.after - self.first
+
+    def append(self, probe: tuple) -> None:
+        self.entries.updateValue((self.after,), tuple(map(int, probe)))
+        self.after += 1
+
+    def popleft(self) -> tuple:
+        probe = tuple(self.entries.getValue((self.first,)))
+        self.entries.removeKey((self.first,))
+        self.first += 1
+        return probe
+
+
+def udp_probing(events: DataFrame, timeout_ms: int = 20_000, resend_ms: int = RESEND_MS) -> DataFrame:
+    """``probe_id, what, ts_ms`` of probes (whole numbers), as the batch gives them: sends as their times come, and outcomes.
+
+    ``events`` are probes and packets as :func:`duskwatch.operators.reaction.probe_events` unites them, with the
+    watermarked ``ts``.  The session needs :func:`typed_state`.
+    """
+    return events.groupBy("addr").transformWithStateInPandas(ProbesInFlight(timeout_ms, resend_ms), "probe_id long, what string, ts_ms long", "append", "eventTime")
+
+
+def udp_outcomes(events: DataFrame, timeout_ms: int = 20_000) -> DataFrame:
+    """``probe_id, outcome`` of :func:`udp_probing`."""
+    return udp_probing(events, timeout_ms).where("what <> 'send'").select("probe_id", F.col("what").alias("outcome"))
 
 
 def aged(store: DataFrame, max_age_ms: int) -> DataFrame:

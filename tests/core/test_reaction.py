@@ -29,3 +29,14 @@ def test_one_probe_is_in_flight_per_address(spark):
     packets = spark.createDataFrame([("udp", 7, 53, 5000), ("udp", 7, 69, 6000), ("icmp", 7, 53, 7000), ("udp", 7, 69, 8000), ("tcp", 8, 53, 10), ("udp", 8, 53, 20000), ("udp", 9, 53, 40000), ("udp", None, 53, 5)], "proto string, saddr long, sport int, ts_ms long")
     out = {r["probe_id"]: r["outcome"] for r in reaction.udp_outcomes(probes, packets).collect()}
     assert out == {1: "answered", 2: "unreachable", 3: "answered", 4: "timeout", 5: "answered", 6: "timeout", 7: "answered", 8: "timeout"}
+
+
+def test_probes_are_sent_again():
+    p = reaction.Probes(20_000)
+    assert p.row(0, None, 1, 53) == [(1, "send", 0)] and p.due == 6001
+    assert p.row(6000, "udp", None, 9) == []  # another port; what is due at this time comes after it
+    assert p.row(6001, None, 2, 54) == [(1, "send", 6000)] and p.due == 12_001
+    assert p.row(12_000, "udp", None, 53) == [(1, "answered", 12_000), (2, "send", 12_000)]
+    assert p.advance(24_001) == [(2, "send", 18_000), (2, "send", 24_000)] and p.due == 30_001
+    assert p.advance(32_000) == [(2, "send", 30_000)] and p.due == 32_001
+    assert p.advance(None) == [(2, "timeout", 32_000)] and p.due is None

@@ -1,5 +1,7 @@
 """Streams give what the batch gives."""
 
+import glob
+import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ D = "/root/testdata/sf0.001"
 
 
 def run(spark, df, mode="append"):
+    flows.typed_state(spark)
     name = f"t{uuid.uuid4().hex}"
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination(240)
@@ -22,6 +25,8 @@ def as_stream(spark, df, path, ordered="ts_ms", files=3, last=None):
     """The rows as time-ordered files, and one more file whose rows push the watermark past all."""
     top = df.agg(F.max(ordered)).first()[0]
     df.orderBy(ordered).coalesce(1).write.option("maxRecordsPerFile", -(-df.count() // files)).parquet(path)
+    for k, name in enumerate(sorted(glob.glob(f"{path}/part-*"), key=lambda f: f.rsplit("-c", 1)[1])):
+        os.utime(name, (1_700_000_000 + k,) * 2)  # files are read in this order
     if last is not None:
         last(top).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
@@ -39,6 +44,76 @@ def test_handshakes(spark, tmp_path):
     assert sorted((r["tag"], r["isyn"], r["rsyn"], r["rack"]) for r in got if r["isyn"] is not None and r["rsyn"] is not None) == want and want
 
 
+def test_handshakes_of_a_contended_hour(spark, tmp_path):
+    """The stream and the batch agree where phases contend, and a batch writes back what it changed."""
+    p = derived.busy_packets(spark, D)
+    rows = queries.matching.match_confirmations(queries.matching.flag_retransmits(p, ("ts_ms", "step")), derived.busy_confirmations(p)).where("not retransmit")
+    columns = ["tag", "repeated", "isyn", "iack", "rsyn", "rack", "repeat_of"]
+    want = sorted((tuple(r[c] for c in columns) for r in queries.handshakes.assemble_handshakes(rows).collect()), key=str)
+
+    def later(top):
+        return rows.where("rst = 0 and syn = 1").limit(1).withColumns({"ts_ms": F.lit(top + 40 * 3_600_000).cast("long"), "saddr": F.lit(99).cast(dict(rows.dtypes)["saddr"])})
+
+    stream = flows.with_time(as_stream(spark, rows, f"{tmp_path}/p", files=4, last=later))
+    got = [tuple(r[c] for c in columns) for r in run(spark, flows.handshakes(stream)) if r["saddr"] != 99]
+    assert sorted(got, key=str) == want and len({g[0] for g in want}) == 6
+
+
+def test_state_of_phases_is_written_as_it_changes():
+    """Of a key with many open phases, one more packet writes one phase."""
+
+    class Kept(dict):
+        writes = 0
+
+        def iterator(self):
+            return iter(self.items())
+
+        def updateValue(self, k, v):  # noqa: N802
+            Kept.writes += 1
+            self[k] = v
+
+        def removeKey(self, k):  # noqa: N802
+            del self[k]
+
+    class One(list):
+        exists = lambda self: bool(self)
+        get = lambda self: self[0]
+        update = lambda self, v: self.__setitem__(slice(None), [v])
+
+    state = flows.OpenPhases(600)
+    timers = set()
+    state.phases, state.acks, state.count = Kept(), Kept(), One()
+    state.handle = type("H", (), {"registerTimer": lambda self, at: timers.add(at)})()
+    clock = type("T", (), {"getCurrentWatermarkInMs": lambda self: 0})()
+    row = lambda k, kind, ts, sport, snum: (1, 2, 80, ts, k, sport, snum, 0, 7, k, kind, snum + 1 if kind != "ack" else 0, ts + 5 if kind != "ack" else None, "")
+    feed = lambda *rows: list(state.handleInputRows((1, 2, 80), iter([flows.pd.DataFrame(rows, columns=queries.handshakes.NEEDED)]), clock))
+    feed(*[row(k, "isyn", 1000 + k, 100 + k, k) for k in range(300)])
+    assert Kept.writes == 300 and timers == {5_400_000}
+    Kept.writes = 0
+    feed(row(300, "ack", 5000, 107, 8))
+    assert Kept.writes == 1 and state.phases[7,][13] is not None
+    feed(row(301, "ack", 5001, 999, 8), row(302, "rsyn", 6000, 9, 9))
+    assert Kept.writes == 4 and len(state.acks) == 1
+    clock.getCurrentWatermarkInMs = lambda: 5_400_000
+    tags = [t for pdf in state.handleExpiredTimer((1, 2, 80), clock, None) for t in pdf["tag"]]
+    assert sorted(set(tags)) == ["isyn", "isyn (acked)", "two-phase (no ack)"] and len(tags) == 300 and not state.phases and not state.acks
+
+
+def test_retransmits_across_hour_edges(spark, tmp_path):
+    h, h0 = 3_600_000, 1_700_006_400_000
+    at = [(1, 0), (1, 5), (1, h + 10), (2, 7), (2, h + h // 2), (2, h + h // 2 + 5), (3, h // 2), (3, h + h // 2 - 1), (3, 2 * h + h // 2 - 1), (3, 3 * h + h // 2), (4, 9), (4, 2 * h + 9), (4, 2 * h + 10)]
+    rows = spark.createDataFrame([(k, 1, 2, s, 4, 5, 0, h0 + t) for k, (s, t) in enumerate(at)] + [(99, 1, 2, 1, 4, 5, 1, h0 + 3 * h)], "step int, saddr long, daddr long, sport int, dport int, snum long, rst int, ts_ms long")
+    want = sorted((r["step"], r["retransmit"]) for r in queries.matching.flag_retransmits(rows, ("ts_ms", "step")).collect())
+    for files in (1, 5, 14):
+        stream = flows.with_time(as_stream(spark, rows, f"{tmp_path}/r{files}", files=files))
+        assert sorted((r["step"], r["retransmit"]) for r in run(spark, flows.flagged_retransmits(stream))) == want
+    assert [s for s, again in want if again] == [1, 2, 5, 7, 8, 12]
+    p = derived.busy_packets(spark, D)
+    want = sorted((r["userid"], r["retransmit"]) for r in queries.matching.flag_retransmits(p, ("ts_ms", "step")).collect())
+    stream = flows.with_time(as_stream(spark, p, f"{tmp_path}/busy", files=3))
+    assert sorted((r["userid"], r["retransmit"]) for r in run(spark, flows.flagged_retransmits(stream))) == want
+
+
 def test_throttle(spark, tmp_path):
     e = derived.read(spark, D, "events").select(F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
     want = sorted((r["key"], r["ts_ms"], r["attempted"]) for r in reports.throttle(e, "key").collect())
@@ -112,8 +187,11 @@ def test_probes_in_flight_and_pauses(spark, tmp_path):
     got = p.where(~syn).select(F.when(F.col("event_id") % 5 == 0, "icmp").otherwise("udp").alias("proto"), "saddr", F.lit(53).alias("sport"), "ts_ms")
     want = sorted(tuple(r) for r in reaction.udp_outcomes(probes, got).collect())
     events = reaction.probe_events(probes, got)
-    out = run(spark, flows.udp_outcomes(pushed(spark, events, f"{tmp_path}/o", addr=F.lit(-1).cast("long"), proto=F.lit("udp"))))
+    stream = pushed(spark, events, f"{tmp_path}/o", addr=F.lit(-1).cast("long"), proto=F.lit("udp"))
+    out = run(spark, flows.udp_outcomes(stream))
     assert sorted((r["probe_id"], r["outcome"]) for r in out) == want and len({o for _, o in want}) == 3
+    want = sorted(tuple(r) for r in reaction.udp_probing(probes, got).collect())
+    assert sorted(tuple(r) for r in run(spark, flows.udp_probing(stream))) == want and sum(w == "send" for _, w, _ in want) > len({i for i, _, _ in want})
 
     asked = p.where(syn).select("userid", F.col("saddr").alias("daddr"), (F.col("kind") == "isyn").alias("irregular"), "ts_ms")
     replies = p.where(syn & (F.col("event_id") % 7 > 0)).select("userid", (F.col("ts_ms") + 5000).alias("ts_ms"))
