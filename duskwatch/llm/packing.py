@@ -9,14 +9,15 @@ the size of least cost per token opens.  In the end each bin shrinks to the shor
 that holds its contents.  A shard is also packed with each permitted length preferred throughout, and
 the plan of least total cost is kept, so several lengths never cost more than one of them.
 
-The number of shards follows the number of pieces, so no task grows with the table, and a lost task
-is packed again to the same result.  Ties: equal lengths go in the order of id and piece, equal rooms
-to the bin opened first, equal costs to the smaller size.
+The number of shards follows the number of pieces, so no task grows with the table, and the result depends on
+the rows alone, not on how the table is cut into files: a lost task is packed again to the same result.
+Ties: equal lengths go in the order of id, document length, copy and piece, equal rooms to the bin opened first,
+equal costs to the smaller size.
 
 Defined cases: texts of any length are encoded whole and cut into pieces; null, zero and negative
 lengths are documents without tokens and get a row without bin; null and repeated ids are packed like
-others, each row as a document, and are dealt by their place in the table as well, so that they spread
-over the shards; other columns are not read; an empty table gives none.
+others, each row as a document; rows of equal id and length are alike, so they are counted and numbered, which
+spreads them over the shards; other columns are not read; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import table, written
+from duskwatch.llm.common import spread, table, written
 from duskwatch.llm.token_counts import VOCABULARY, encoded_length
 
 CAPACITIES = (1024, 2048, 4096, 8192)
@@ -119,16 +120,17 @@ def best_fit_pack(df: DataFrame, doc_id: str, length: str, capacities: Sequence[
     and bin_offset null).  Ids and lengths are written once, since packing reads them twice.
     """
     top = max(capacities)
-    docs = written(df.select(F.col(doc_id).alias("doc_id"), F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)).cast("long").alias("n")), "lengths")
-    numbered = docs.where("n > 0").select("doc_id", "n", F.monotonically_increasing_id().alias("row"))
-    pieces = numbered.select("doc_id", "n", "row", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {top} as int)"))).alias("piece"))
-    pieces = pieces.select("doc_id", "row", "piece", (F.col("piece").cast("long") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece").cast("long") * top).alias("length"))
-    total = docs.agg(F.sum(F.expr(f"(n + {top - 1}) div {top}")).alias("pieces")).first()["pieces"] or 0
+    lengths = df.select(F.col(doc_id).alias("doc_id"), F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)).cast("long").alias("n"))
+    counted = written(lengths.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("copies")), "lengths")
+    docs = _copies(counted)
+    cut = docs.where("n > 0").select("doc_id", "n", "row", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {top} as int)"))).alias("piece"))
+    pieces = cut.select("doc_id", "n", "row", "piece", (F.col("piece").cast("long") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece").cast("long") * top).alias("length"))
+    total = counted.agg(F.sum(F.expr(f"copies * ((n + {top - 1}) div {top})")).alias("pieces")).first()["pieces"] or 0
     shards = max(1, -(-total // shard_pieces))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(shards)))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", "row", "piece"), F.lit(shards)))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "row", "piece"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "doc_id", "n", "row", "piece"], ascending=[False, True, True, True, True], kind="stable")
         packed = pack_lengths(pdf["length"].tolist(), capacities, cost)
         bins, offsets, sizes = zip(*packed)
         base = pdf["shard"].to_numpy() << 32
@@ -140,6 +142,15 @@ def best_fit_pack(df: DataFrame, doc_id: str, length: str, capacities: Sequence[
     return packed.unionByName(docs.where("n = 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), none.alias("bin_id"), none.alias("capacity"), none.alias("bin_offset")))
 
 
+def _copies(counted: DataFrame, block: int = 4096) -> DataFrame:
+    """``doc_id, n, row``: each row of ``doc_id, n, copies`` as often as it says, numbered; many copies by several tasks."""
+    few, many = counted.where(F.col("copies") <= block), counted.where(F.col("copies") > block)
+    blocks = many.select("doc_id", "n", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {block}"))).alias("b"))
+    blocks = blocks.repartition(spread(counted), "doc_id", "n", "b")
+    parts = blocks.select("doc_id", "n", F.explode(F.sequence(F.col("b") * block, F.least(F.col("copies"), (F.col("b") + 1) * block) - 1)).alias("row"))
+    return few.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("row")).unionByName(parts)
+
+
 def _nullable_ids(pack, kind: str):
     """pandas reads a nullable integer column as floats; take ids as nullable integers instead."""
 

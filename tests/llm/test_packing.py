@@ -115,6 +115,13 @@ def test_repeated_rows_are_dealt_to_many_shards(spark):
         assert len(out) > 30 and sum(r["count"] for r in out) == 4000 and max(r["count"] for r in out) < 200
 
 
+def test_the_layout_of_the_table_does_not_matter(spark):
+    rows = [(i % 700 if i % 9 else None, (i * 7919) % 9000) for i in range(3000)] + [(5, 100)] * 5000
+    first = spark.createDataFrame(rows, "doc_id long, n long")
+    packed = [sorted((tuple(r) for r in packing.best_fit_pack(df, "doc_id", "n", shard_pieces=500).collect()), key=repr) for df in (first.repartition(4), first.orderBy("n").repartition(9), first.coalesce(1))]
+    assert packed[0] == packed[1] == packed[2] and sum(r[3] for r in packed[0]) == sum(n for _, n in rows)
+
+
 def test_long_null_and_repeated_documents(spark):
     rows = [(1, 2500), (2, None), (2, 0), (None, 10), (None, -4), (3, 1024), (3, 1024)]
     out = packing.best_fit_pack(spark.createDataFrame(rows, "doc_id long, n long"), "doc_id", "n", (256, 1024), shard_pieces=3).collect()
