@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duskwatch.llm.common import shared_dir, spread, table
+from duskwatch.llm.common import delete, shared_dir, spread, table
 
 DATE = "2024-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -183,17 +183,21 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
             store, folder = fs.FileSystem.from_uri(target)
             own, rows, at = f"{folder}/archives/.{name}.{uuid.uuid4().hex}", [], 0
             store.create_dir(f"{folder}/archives", recursive=True)
-            with _opened(source, raw) as stream, store.open_output_stream(own) as out:
-                for k, data in enumerate(_records(_inflated(stream))):
-                    member = _member(data)
-                    out.write(member)
-                    h = _headers(data[: data.index(b"\r\n\r\n")])
-                    rows.append((name, k, at, len(member), _page(h, "X-Page-Id"), h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha1:")))
-                    at += len(member)
-                    if len(rows) == 10_000:
-                        yield _columns(rows, kinds, schema.names)
-                        rows = []
-            store.move(own, f"{folder}/archives/{name}")
+            try:
+                with _opened(source, raw) as stream, store.open_output_stream(own) as out:
+                    for k, data in enumerate(_records(_inflated(stream))):
+                        member = _member(data)
+                        out.write(member)
+                        h = _headers(data[: data.index(b"\r\n\r\n")])
+                        rows.append((name, k, at, len(member), _page(h, "X-Page-Id"), h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha1:")))
+                        at += len(member)
+                        if len(rows) == 10_000:
+                            yield _columns(rows, kinds, schema.names)
+                            rows = []
+                _put(store, own, f"{folder}/archives/{name}")
+            except BaseException:
+                _drop(store, own)
+                raise
             if rows:
                 yield _columns(rows, kinds, schema.names)
 
@@ -201,6 +205,18 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     return spark.read.schema(_INDEX).parquet(f"{target}/index")
 
 
+def _drop(store: fs.FileSystem, path: str) -> None:
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        store.delete_file(path)
+
+
+def _put(store: fs.FileSystem, own: str, path: str) -> None:
+    """Rename a finished file; one that an earlier attempt of the task has left, with the same bytes, goes first,
+    since not every file system renames over another."""
+    _drop(store, path)
+    store.move(own, path)
+
+
 def _columns(rows: list[tuple], kinds, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
@@ -252,6 +268,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), f"{base}/raw")
     normalise(spark, f"{base}/raw", f"{base}/normal")
+    delete(spark, [f"{base}/raw"])  # the index is written, so nothing reads them again
     return read_archives(spark, f"{base}/normal")
 
 

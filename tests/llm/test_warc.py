@@ -5,6 +5,7 @@ import glob
 import gzip
 import hashlib
 import io
+import os
 import uuid
 
 import pytest
@@ -60,6 +61,35 @@ def test_small_payloads_can_be_left_out_of_revisits(spark, pages_of):
     assert sorted((r["page_id"], r["record_type"]) for r in read.collect()) == [(1, "response"), (2, "response"), (3, "revisit"), (4, "response")]
 
 
+def test_a_repeated_normalisation_leaves_the_same_files(spark, pages_of):
+    base, index, _ = through(spark, pages_of(ROWS))
+    local = base.removeprefix("file://")
+    before = {p: open(p, "rb").read() for p in glob.glob(f"{local}/normal/archives/*")}
+    want = sorted(map(tuple, index.collect()))
+    os.rename(f"{local}/normal/index", f"{local}/old-index")
+    again = warc.normalise(spark, f"{base}/raw", f"{base}/normal")  # every archive is there already
+    assert sorted(map(tuple, again.collect())) == want
+    assert {p: open(p, "rb").read() for p in glob.glob(f"{local}/normal/archives/*")} == before
+
+
+def test_a_failed_normalisation_leaves_no_part(spark, pages_of, monkeypatch):
+    base, _, _ = through(spark, pages_of(ROWS[:3]))
+    local = base.removeprefix("file://")
+    for p in glob.glob(f"{local}/raw/*.gz"):
+        data = open(p, "rb").read()
+        open(p, "wb").write(data[:-9])
+    with pytest.raises(Exception, match="truncated"):
+        warc.normalise(spark, f"{base}/raw", f"{base}/other").count()
+    assert glob.glob(f"{local}/other/archives/.*.gz.*") == []
+
+
+def test_the_query_leaves_no_raw_archives(spark):
+    before = set(glob.glob(f"{shared_dir(spark).removeprefix('file://')}/warc-*"))
+    assert warc.query(spark, "/root/testdata/sf0.001").count() == 50
+    (new,) = set(glob.glob(f"{shared_dir(spark).removeprefix('file://')}/warc-*")) - before
+    assert sorted(os.listdir(new)) == ["normal"]
+
+
 def test_empty_table(spark, pages_of):
     _, index, read = through(spark, pages_of([]))
     assert index.count() == read.count() == 0
