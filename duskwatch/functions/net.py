@@ -157,6 +157,15 @@ def flow(proto, saddr, daddr, sport, dport) -> Column:
     return F.when(_c(proto).isin("tcp", "udp"), F.struct(_c(saddr).alias("saddr"), _c(daddr).alias("daddr"), _c(sport).alias("sport"), _c(dport).alias("dport")))
 
 
+def probe_request(probed="probed", method="method", userid="userid", num_probes="num_probes", saddr="saddr", daddr="daddr", sport="sport", dport="dport", snum="probe_snum", anum="probe_anum") -> Column:
+    """The probe that a packet got, null if none: it goes back, so source and destination change places."""
+    asked = F.struct(
+        _c(method).alias("method"), _c(userid).alias("userid"), _c(num_probes).cast("int").alias("num_probes"), long_to_ip(daddr).alias("saddr"), long_to_ip(saddr).alias("daddr"),
+        _c(dport).cast("int").alias("sport"), _c(sport).cast("int").alias("dport"), _c(snum).alias("snum"), _c(anum).alias("anum"),
+    )
+    return F.when(_c(probed), asked)
+
+
 def named(code: Column | str, names: dict[int, str], other: str) -> Column:
     """The name of a code, ``other`` for unknown ones."""
     lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -158,6 +158,33 @@ def extract_urls(df: DataFrame, text: str, tools=("wget", "curl")) -> DataFrame:
     return df.select("*", F.explode(urls(text, tools)).alias("_u")).select("*", "_u.tool", "_u.url", "_u.parts.*").drop("_u")
 
 
+def url_table(spark: SparkSession, name: str, parsers: Mapping[str, Callable[[str], str | None]]) -> None:
+    """Register a table function ``name(text)`` of ``tool, url``, for parsers that no column can say.
+
+    ``parsers`` are Python functions of a command's arguments; rows go to them in Arrow batches.  The text is one that
+    ``clean_text`` and ``neutral_text`` have made, as in ``SELECT p.*, u.* FROM payloads p, LATERAL name(p.text) u``.
+    """
+    given = dict(parsers)
+
+    class Urls:
+        def eval(self, text: str):
+            for tool, parse in given.items():
+                for part in (text or "").split(tool)[1:]:
+                    if (url := parse(part)) is not None:
+                        yield tool, url
+
+    spark.udtf.register(name, F.udtf(Urls, returnType="tool string, url string", useArrow=True))
+
+
+def parsed_by(df: DataFrame, text: str, parsers: Mapping[str, Callable[[str], str | None]], name: str = "duskwatch_urls") -> DataFrame:
+    """The columns of :func:`extract_urls`, with Python parsers by way of :func:`url_table`."""
+    spark = df.sparkSession
+    url_table(spark, name, parsers)
+    cleaned = df.withColumn("_text", neutral_text(clean_text(text)))
+    found = spark.sql(f"SELECT p.*, u.tool, u.url FROM {{p}} p, LATERAL {name}(p._text) u", p=cleaned)
+    return found.withColumn("_parts", url_parts("url")).select(*df.columns, "tool", "url", "_parts.*")
+
+
 def first_url_with_path(text: Column | str, tools=("wget", "curl")) -> Column:
     """struct(tool, url, server, port, name, path) of the first command with a URL; null if there is none."""
     first = F.get(urls(text, tools), F.lit(0))

@@ -500,4 +500,4 @@ def phase_states(spark, d):
     return shakes(spark, d).groupBy(net.hour_ms("ts_ms").alias("hour_ms"), "tag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rack").isNull() & F.col("iack").isNull()).alias("no_ack"))
 
 
-from duskwatch.plans import busy, files  # noqa: E402, F401  (register their queries)
+from duskwatch.plans import busy, files, tables  # noqa: E402, F401  (register their queries)

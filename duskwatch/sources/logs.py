@@ -236,13 +236,27 @@ def read_partitioned(spark: SparkSession, root: str, **where) -> tuple[DataFrame
     return typed.where("problem is null").select("packet.*", *keep), typed.where("problem is not null").select("value", "problem", *keep)
 
 
+def _json(spark: SparkSession, path: str, schema: str, good: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a JSON-lines file with ``file``, and the lines that do not parse or fit."""
+    rows = spark.read.schema(T.StructType.fromDDL(f"{schema}, broken string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(path)
+    names = [c for c in rows.columns if c != "broken"]
+    rows = rows.select("*", F.col("_metadata.file_path").alias("file")).withColumn("fits", F.col("broken").isNull() & F.coalesce(F.expr(good), F.lit(False)))
+    return rows.where("fits").select(*names, "file"), rows.where("not fits").select(F.coalesce("broken", F.to_json(F.struct(*names))).alias("value"), "file")
+
+
 def read_handshakes(spark: SparkSession, path: str, days: int | None = None) -> DataFrame:
     """Assembled events (JSON lines, plain or gzip); with ``days`` the first so many days of them."""
-    rows = spark.read.schema(S.HANDSHAKES).json(path)
+    return sort_handshakes(spark, path, days)[0]
+
+
+def sort_handshakes(spark: SparkSession, path: str, days: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Assembled events as :func:`read_handshakes` gives them, and the quarantine: lines without a time or a tag."""
+    rows, bad = _json(spark, path, S.HANDSHAKES, "ts is not null and tag is not null")
+    rows = rows.drop("file")
     if days is None:
-        return rows
+        return rows, bad
     first = rows.agg(F.min("ts").alias("t")).first()["t"] or 0
-    return rows.where(F.col("ts") < first - first % 3600 + days * 86_400)
+    return rows.where(F.col("ts") < first - first % 3600 + days * 86_400), bad
 
 
 def _sorted_out(text: DataFrame, good: str, *columns: str) -> tuple[DataFrame, DataFrame]:
@@ -275,22 +289,48 @@ def read_geo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_downloads(spark: SparkSession, path: str) -> DataFrame:
     """Download logs <hash>/downloads.csv.gz with the hash of their folder."""
-    rows = spark.read.schema(S.DOWNLOADS).option("sep", "|").option("header", True).csv(path)
-    return rows.select("*", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("hash"))
+    return sort_downloads(spark, path)[0]
+
+
+def sort_downloads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Downloads as :func:`read_downloads` gives them, and the quarantine: lines with another number of fields or without a time."""
+    names = S.DOWNLOADS.fieldNames()
+    f = F.split("value", r"\|")
+    text = spark.read.text(path).where(F.col("value") != "|".join(names)).select("value", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("hash"), F.size(f).alias("n"), *[F.get(f, F.lit(k)).alias(c) for k, c in enumerate(names)])
+    return _sorted_out(text, f"n = {len(names)} and try_cast(timestamp as double) is not null", *names, "hash")
 
 
 def read_reputation_replies(spark: SparkSession, path: str) -> DataFrame:
     """``hash, first_submission, last_submission`` from reply files <hash>.json[.gz]; null dates if empty."""
-    schema = "data array<struct<attributes:struct<first_submission_date:bigint,last_submission_date:bigint>>>"
-    rows = spark.read.schema(schema).json(path)
+    return sort_reputation_replies(spark, path)[0]
+
+
+def sort_reputation_replies(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Replies as :func:`read_reputation_replies` gives them, and the quarantine: what is no reply."""
+    rows, bad = _json(spark, path, "data array<struct<attributes:struct<first_submission_date:bigint,last_submission_date:bigint>>>", "data is not null")
     first = F.get("data", F.lit(0))["attributes"]
-    return rows.select(F.regexp_extract("_metadata.file_name", r"^([^.]+)\.", 1).alias("hash"), first["first_submission_date"].alias("first_submission"), first["last_submission_date"].alias("last_submission"))
+    name = F.element_at(F.split("file", "/"), -1)
+    return rows.select(F.regexp_extract(name, r"^([^.]+)\.", 1).alias("hash"), first["first_submission_date"].alias("first_submission"), first["last_submission_date"].alias("last_submission")), bad
 
 
 def read_hash_database(spark: SparkSession, path: str) -> DataFrame:
     """``hash, first, last`` (maps of source to epoch seconds) of databases kept as one JSON object a file."""
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.explode(F.from_json("value", S.HASH_ENTRY)).alias("hash", "entry")).select("hash", "entry.first", "entry.last")
+    return sort_hash_database(spark, path)[0]
+
+
+def sort_hash_database(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Entries as :func:`read_hash_database` gives them, and the quarantine.
+
+    An entry ends with two braces, which end nothing else, so files are read as records that end there: one entry a row,
+    whatever the size of the object, and parts of a plain file by several tasks.  An object that is written with
+    blanks between its braces is one record and is parsed whole.
+    """
+    text = spark.read.option("lineSep", "}}").text(path).select("value", F.regexp_replace("value", r"^[\s,{]*", "").alias("entry"), F.rtrim(F.regexp_replace("value", r"[\s}]+$", "")).alias("bare")).where("bare not in ('', '{')")
+    parsed = F.coalesce(F.from_json(F.concat(F.lit("{"), "entry", F.lit("}}}")), S.HASH_ENTRY), F.from_json("value", S.HASH_ENTRY))
+    rows = text.withColumn("parsed", parsed)
+    whole = F.coalesce(F.forall(F.map_values("parsed"), lambda e: e["first"].isNotNull()) & (F.size("parsed") > 0), F.lit(False))
+    good = rows.where(whole).select(F.explode("parsed").alias("hash", "e")).select("hash", "e.first", "e.last")
+    return good, rows.where(~whole).select("value")
 
 
 def read_annotatable(spark: SparkSession, path: str, sep: str = "|") -> DataFrame:

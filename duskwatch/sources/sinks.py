@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def with_events(handshakes: DataFrame, packets: DataFrame) -> DataFrame:
             F.col("sport").cast("int").alias("sport"), F.col("dport").cast("int").alias("dport"), "snum", "anum", F.lit(0).alias("window_size"),
             net.flags_array({c: F.col(c) for c in ("fin", "syn", "rst", "ack")}).alias("flags"), net.options_array("options").alias("options"), "payload",
         ).alias("payload")).alias("trigger"),
-        F.when(F.col("method").isNotNull(), F.struct("method", "userid", F.lit(1).alias("num_probes"), net.long_to_ip("daddr").alias("saddr"), net.long_to_ip("saddr").alias("daddr"), F.col("dport").cast("int").alias("sport"), F.col("sport").cast("int").alias("dport"), F.col("probe_snum").alias("snum"), F.col("probe_anum").alias("anum"))).alias("reaction"),
+        net.probe_request(F.col("method").isNotNull(), num_probes=F.lit(1)).alias("reaction"),
     ).alias("event"))
     out = handshakes.where("not repeated")
     for part in ("isyn", "iack", "rsyn", "rack"):
@@ -134,7 +135,8 @@ def append_contact_types(df: DataFrame, path: str) -> None:
 def write_activity(df: DataFrame, path: str) -> None:
     """Activity rows in folders name_key=/month=; the key is the server where the name is empty."""
     key = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("server"))
-    df.withColumns({"name_key": key, "month": F.date_format(F.timestamp_millis("ts_ms"), "yyyy.MM")}).write.partitionBy("name_key", "month").option("compression", "gzip").option("header", True).csv(path)
+    rows = df.withColumns({"name_key": key, "month": F.date_format(F.timestamp_millis("ts_ms"), "yyyy.MM")})
+    rows.hint("rebalance", "name_key", "month").write.partitionBy("name_key", "month").option("compression", "gzip").option("header", True).csv(path)
 
 
 def write_hashes(known: DataFrame, missing: DataFrame, path: str) -> None:
@@ -143,6 +145,23 @@ def write_hashes(known: DataFrame, missing: DataFrame, path: str) -> None:
     missing.select("hash").distinct().write.mode("overwrite").json(f"{path}/missing")
 
 
+def write_hash_database(known: DataFrame, path: str) -> None:
+    """``hash, first, last`` (maps of source to epoch seconds) as one JSON object a file, an entry a line."""
+    pair = F.concat(F.regexp_replace(F.to_json(F.array("hash")), r"^\[|\]$", ""), F.lit(": "), F.to_json(F.struct(*[F.coalesce(c, F.create_map().cast("map<string,bigint>")).alias(c) for c in ("first", "last")])))
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "{"
+        for batch in batches:
+            lines = []
+            for line in batch.column(0).to_pylist():
+                lines.append(lead + line)
+                lead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["{}" if lead == "{" else "}"])], ["value"])
+
+    known.select(pair.alias("value")).mapInArrow(framed, "value string").write.text(path)
+
+
 def unparsed_payloads(df: DataFrame, text: str) -> DataFrame:
     """Payloads that name more tools than URLs were found in."""
     return df.where(pl.unparsed(text)).select(text)

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from duskwatch.functions import payload as pl
 from duskwatch.functions.net import hour_ms
 from duskwatch.operators.handshakes import KEYS, RESULT, Fold, Packet, closing, events_of, frame, rows_of
 from duskwatch.operators.reaction import RESEND_MS, Probes
+from duskwatch.sources import folders
 from duskwatch.sources.sinks import split_late
 
 
@@ -84,6 +86,15 @@ def unique_packets(packets: DataFrame, delay: str = "30 minutes") -> DataFrame:
     return flagged_retransmits(packets if "ts" in packets.columns else with_time(packets, delay)).where("not retransmit").drop("retransmit")
 
 
+def align(spark: SparkSession) -> None:
+    """Let a join of streams wait for its slower input: time goes on with the least of the inputs' watermarks.
+
+    However far one input has been read ahead, its rows stay in the state until the other has come as far, and rows
+    that both have passed by the delay are dropped.
+    """
+    spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "min")
+
+
 def confirmed(packets: DataFrame, confs: DataFrame, delay: str = "30 minutes", timeout: str = "5 minutes") -> DataFrame:
     """Packets with ``con_ms``: probed ones by a stream-stream join with their confirmations, unprobed ones with null.
 
@@ -91,6 +102,7 @@ def confirmed(packets: DataFrame, confs: DataFrame, delay: str = "30 minutes", t
     first within the watermark's delay counts and the join is one to one.  Probed packets without a
     confirmation are left out, as in the batch.
     """
+    align(packets.sparkSession)
     keys = ["userid", "method", "saddr", "daddr", "sport", "dport"]
     packets = packets if "ts" in packets.columns else with_time(packets, delay)
     p = packets.where("method is not null").dropDuplicatesWithinWatermark(keys)
@@ -351,6 +363,45 @@ def progress_of(query) -> dict[str, dict]:
     return {} if last is None else {name: row.asDict() if hasattr(row, "asDict") else dict(row) for name, row in (last.observedMetrics or {}).items()}
 
 
+class ProgressTotals(StreamingQueryListener):
+    """Adds up what the queries of a session observe (``reports.progress``), over all batches and restarts.
+
+    A query's totals are kept in a small file of ``path`` by the query's id, with the last batch that they hold, so that
+    a batch counts once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _kept(self, query_id: str) -> dict:
+        at = f"{self.path}/{query_id}"
+        return json.loads(folders.read_text(self.spark, at)) if folders.exists(self.spark, at) else {"batch": -1, "totals": {}}
+
+    def totals(self, query_id) -> dict[str, dict[str, int]]:
+        """The sums by name of the counters."""
+        return self._kept(str(query_id))["totals"]
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        kept = self._kept(str(p.id))
+        if p.batchId <= kept["batch"] or not p.observedMetrics:
+            return
+        for name, row in p.observedMetrics.items():
+            own = kept["totals"].setdefault(name, {})
+            for counter, n in row.asDict().items():
+                own[counter] = own.get(counter, 0) + (n or 0)
+        folders.write_text(self.spark, f"{self.path}/{p.id}", json.dumps({**kept, "batch": p.batchId}))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
 def rates(packets: DataFrame, width: str = "1 second") -> DataFrame:
     """Requests and probes per tumbling window of the watermarked ``ts``."""
     return packets.groupBy(F.window("ts", width).alias("w")).agg(F.count(F.lit(1)).alias("requests"), F.sum("num_probes").alias("probes")).select(F.unix_millis("w.start").alias("start_ms"), "requests", "probes")

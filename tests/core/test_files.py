@@ -194,3 +194,41 @@ def test_two_hour_log(spark):
         for width in (1, 2, 1000):
             good, bad = sinks.split_late(rows, "seq", width=width)
             assert sorted(r["seq"] for r in bad.collect()) == late and good.count() == len(hours) + 1 - len(late)
+
+
+def test_quarantines_of_events_downloads_replies_and_databases(spark, tmp_path):
+    (tmp_path / "e.json").write_text('{"ts": 5, "tag": "isyn"}\n{"ts": 5}\nhalf\n')
+    good, bad = logs.sort_handshakes(spark, f"{tmp_path}/e.json")
+    assert [r["tag"] for r in good.collect()] == ["isyn"] and sorted(r["value"] for r in bad.collect()) == ["half", '{"ts":5}']
+    (tmp_path / "ab").mkdir()
+    (tmp_path / "ab/downloads.csv").write_text("name|url|timestamp|server|tag\nn|u|1|s|t\nn|u|x|s|t\nn|u|1|s\n")
+    good, bad = logs.sort_downloads(spark, f"{tmp_path}/ab/downloads.csv")
+    assert [(r["hash"], r["timestamp"]) for r in good.collect()] == [("ab", "1")] and sorted(r["value"] for r in bad.collect()) == ["n|u|1|s", "n|u|x|s|t"]
+    (tmp_path / "h1.json").write_text('{"data": []}\n')
+    (tmp_path / "h2.json").write_text('{"error": "quota"}\n')
+    good, bad = logs.sort_reputation_replies(spark, f"{tmp_path}/h?.json")
+    assert [tuple(r) for r in good.collect()] == [("h1", None, None)] and bad.count() == 1
+
+
+def test_hash_databases_are_read_an_entry_a_row(spark, tmp_path):
+    entries = {f"{k:064x}": {"first": {"own": k, "vt": 2}, "last": {"own": k + 3}} for k in range(300)}
+    compact, spaced, broken = (tmp_path / n for n in ("a.json", "b.json", "c.json"))
+    compact.write_text(json.dumps(entries))
+    spaced.write_text(json.dumps(entries, indent=2))
+    broken.write_text('{"x": {"first": {"own": 1}, "last": {"own": 2}}, "y": {"first": [1]}}, "z": {"first": {}, "last": {}}}')
+    for path in (compact, spaced):
+        good, bad = logs.sort_hash_database(spark, str(path))
+        assert {r["hash"]: {"first": r["first"], "last": r["last"]} for r in good.collect()} == entries and bad.count() == 0
+    pieces = spark.read.option("lineSep", "}}").text(str(compact)).count()
+    assert pieces >= 300  # no cell holds the object
+    good, bad = logs.sort_hash_database(spark, str(broken))
+    assert sorted(r["hash"] for r in good.collect()) == ["x", "z"] and bad.count() == 1
+    rows = spark.createDataFrame([('q"uo\\te', {"own": 1}, None), ("plain", {"own": 2, "vt": 3}, {"own": 4})], "hash string, first map<string,bigint>, last map<string,bigint>")
+    sinks.write_hash_database(rows.repartition(3), f"{tmp_path}/db")
+    assert sorted((r["hash"], r["first"], r["last"]) for r in logs.read_hash_database(spark, f"{tmp_path}/db").collect()) == [("plain", {"own": 2, "vt": 3}, {"own": 4}), ('q"uo\\te', {"own": 1}, {})]
+    import glob
+
+    whole = {}
+    for part in glob.glob(f"{tmp_path}/db/part-*"):
+        whole |= json.loads(open(part).read())
+    assert whole.keys() == {"plain", 'q"uo\\te'}

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -234,3 +235,67 @@ def test_chained_query_and_its_counters(spark, tmp_path):
     q = counted.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/ck2").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert flows.progress_of(q)["packets"]["rows"] == rows.count() + 1
+
+
+def test_counters_add_up_over_batches_and_restarts(spark, tmp_path):
+    """What is consumed is produced or rejected."""
+    flows.typed_state(spark)
+    listener = flows.ProgressTotals(spark, f"{tmp_path}/totals")
+    spark.streams.addListener(listener)
+    try:
+        rows = [spark.range(k * 100, k * 100 + 100).withColumn("ts_ms", F.col("id")) for k in range(4)]
+        ids = set()
+        for part in (rows[:2], rows[2:]):
+            for df in part:
+                df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            counted, _ = reports.progress(spark.readStream.schema("id long, ts_ms long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), "filter", produced=F.col("id") % 3 == 0, rejected=F.col("id") % 3 > 0)
+            q = counted.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/ck").start()
+            q.processAllAvailable()
+            q.stop()
+            ids.add(str(q.id))
+        (query_id,) = ids
+        for _ in range(100):  # events come a little later
+            own = flows.ProgressTotals(spark, f"{tmp_path}/totals").totals(query_id).get("filter", {})
+            if own.get("rows") == 400:
+                break
+            time.sleep(0.2)
+        assert own == {"rows": 400, "produced": 134, "rejected": 266}
+        # An event that comes again counts once.
+        progress = type("P", (), {"id": query_id, "batchId": 0, "observedMetrics": {"filter": None}})
+        listener.onQueryProgress(type("E", (), {"progress": progress}))
+        assert listener.totals(query_id)["filter"] == own
+    finally:
+        spark.streams.removeListener(listener)
+
+
+def in_turns(spark, frames, path):
+    for k, df in enumerate(frames):
+        df.coalesce(1).write.parquet(f"{path}/{k}")
+        for name in glob.glob(f"{path}/{k}/*.parquet"):
+            os.utime(name, (1_700_000_000 + k,) * 2)
+    return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+def test_a_slower_input_holds_the_join_back(spark, tmp_path):
+    """One side is read hours ahead of the other: no row is lost, and the state goes once both have passed."""
+    minute, t0 = 60_000, 1_700_006_400_000
+    packet = "userid long, method string, saddr long, daddr long, sport int, dport int, ts_ms long, step int"
+    p_of = lambda minutes: spark.createDataFrame([(m, "tcp-synack", 1, 2, 3, 4, t0 + m * minute, 0) for m in minutes], packet)
+    c_of = lambda minutes: spark.createDataFrame([(m, "tcp-synack", 2, 1, 4, 3, t0 + m * minute + 500) for m in minutes], "userid long, method string, saddr long, daddr long, sport int, dport int, ts_ms long")
+    end = 2000
+    ahead = [p_of(range(0, 20)), p_of(range(20, 140)), p_of(range(140, 260)), p_of([end])]
+    behind = [c_of(range(0, 5)), c_of(range(5, 20)), c_of(range(20, 40)), *[c_of(range(k, k + 40)) for k in range(40, 240, 40)], c_of(range(240, 260)), c_of([end]), c_of([end + 1])]
+    seen = []
+    for policy in ("min", "max"):
+        df = flows.confirmed(in_turns(spark, ahead, f"{tmp_path}/p-{policy}"), in_turns(spark, behind, f"{tmp_path}/c-{policy}")).select("userid", "con_ms")
+        assert spark.conf.get("spark.sql.streaming.multipleWatermarkPolicy") == "min"
+        spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", policy)
+        q = df.writeStream.format("memory").queryName(f"aligned_{policy}").option("checkpointLocation", f"{tmp_path}/ck-{policy}").start()
+        q.processAllAvailable()
+        seen.append(sorted(r["userid"] for r in spark.table(f"aligned_{policy}").collect()))
+        states = max(o.numRowsTotal for o in q.lastProgress.stateOperators)
+        q.stop()
+        if policy == "min":
+            assert states < 30
+    flows.align(spark)
+    assert seen[0] == [*range(260), end] and len(seen[1]) < 200
