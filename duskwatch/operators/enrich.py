@@ -39,12 +39,15 @@ def tag_known_scanners(df: DataFrame, ip: str, lists: DataFrame | None = None, s
 def longest_prefix(ips: DataFrame, ip: str, prefixes: DataFrame) -> DataFrame:
     """``ip`` and the columns of the longest prefix (``lo, len, ..``) that holds it, for each distinct address.
 
-    An address is compared by equality only: once per prefix length in the table (at most 33), cut
-    to that length.  No range join, and each address is looked up once however often it occurs.
+    An address is compared by equality only: once for each length that prefixes of its first octet have, cut to that
+    length.  No range join, and each address is looked up once however often it occurs; those whose octet
+    has no prefix go at once.  The octets' lengths are at most 256 rows.
     """
-    lengths = sorted(r["len"] for r in prefixes.select("len").distinct().collect())
     one = ips.select(F.col(ip).alias("ip")).where("ip is not null").distinct()
-    cut = one.select("ip", F.explode(F.array(*[F.struct(F.lit(n).alias("len"), (F.col("ip") - F.pmod("ip", F.lit(1 << (32 - n)))).alias("lo")) for n in lengths])).alias("k")).select("ip", "k.len", "k.lo") if lengths else one.select("ip", F.lit(0).alias("len"), F.lit(0).cast("long").alias("lo"))
+    octets = F.sequence(F.shiftright("lo", 24), F.shiftright(F.col("lo") + F.expr("shiftleft(1L, 32 - len)") - 1, 24))
+    lengths = prefixes.select("len", F.explode(octets).alias("_octet")).groupBy("_octet").agg(F.collect_set("len").alias("_lengths"))
+    cut = one.join(F.broadcast(lengths), F.shiftright("ip", 24) == F.col("_octet")).select("ip", F.explode("_lengths").alias("len"))
+    cut = cut.withColumn("lo", F.col("ip") - F.pmod("ip", F.expr("shiftleft(1L, 32 - len)")))
     rest = [c for c in prefixes.columns if c not in ("lo", "len")]
     hit = cut.join(prefixes, ["len", "lo"])
     return hit.groupBy("ip").agg(F.max_by(F.struct("len", "lo", *rest), F.col("len")).alias("p")).select("ip", "p.*")
