@@ -95,8 +95,8 @@ def rake(cells: DataFrame, dimensions=DIMENSIONS, targets: dict[str, dict[str, f
     dimension, ``g_<dimension>`` (the tokens its value should get) and ``gap_<dimension>`` (how far
     what it is expected to get is from that, as a share of it; null for a target of 0).
 
-    The driver holds a sum and a count for each dimension; marginals are written to the shared folder
-    as they are summed, and cells every second round, so that no step repeats those before it.
+    The driver holds a sum and a count for each dimension.  Each round is one job that sums its marginals one after the
+    other and writes the cells to the shared folder, so that no round repeats those before it.
     """
     cells = written(cells.select(*[F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d) for d in dimensions], "tokens"), "cells")
     total = float(cells.agg(F.sum("tokens").alias("t")).first()["t"] or 0)
@@ -107,14 +107,12 @@ def rake(cells: DataFrame, dimensions=DIMENSIONS, targets: dict[str, dict[str, f
     x = written(x, "goals")
 
     def marginal(x: DataFrame, d: str) -> DataFrame:
-        return _joined(x, written(x.groupBy(d).agg(F.sum("x").alias("m")), "marginal"), d, small[d])
+        return _joined(x, x.groupBy(d).agg(F.sum("x").alias("m")), d, small[d])
 
-    for k in range(rounds):
+    for _ in range(rounds):
         for d in dimensions:
             x = marginal(x, d).withColumn("x", F.coalesce(F.try_divide(F.col("x") * F.col(f"g_{d}"), F.col("m")), F.lit(0.0))).drop("m")
-        x = x.withColumn("x", F.least("x", F.col("tokens").cast("double")))
-        if k % 2 or k == rounds - 1:
-            x = written(x, "raked")
+        x = written(x.withColumn("x", F.least("x", F.col("tokens").cast("double"))), "raked")
     for d in dimensions:
         x = marginal(x, d).withColumn(f"gap_{d}", F.round(F.try_divide(F.col("m"), F.col(f"g_{d}")) - 1, 6)).drop("m")
     return x.select(*dimensions, "tokens", F.round(F.coalesce(F.try_divide("x", "tokens"), F.lit(0.0)), 9).alias("probability"), *[f"g_{d}" for d in dimensions], *[f"gap_{d}" for d in dimensions])
