@@ -14,8 +14,9 @@ pairs is exact and never compares a block with every template:
 * what passes is verified by intersecting the two sets.
 
 Everything is built from DataFrame functions.  Defined cases: a null text is empty (no words, no
-labels, score 0, first_word and last_word null); a null or repeated id is a row like others;
-other columns are not read; an empty table gives none.
+labels, score 0, first_word and last_word null); a null or repeated id is a row like others, and equal
+texts are scored alike; of equally rare template words the alphabet decides, which changes no result; texts
+of any length are read whole, block by block; other columns are not read; an empty table gives none.
 """
 
 from __future__ import annotations

@@ -18,8 +18,8 @@ all cells is summed up on the way; they and the cells are broadcast if they have
 are a value of their own (an empty string); a value that given targets do not name gets nothing, and
 a target whose value does not occur is left to the others; documents without tokens are not sampled
 (probability 0); rows of one id are kept or left together where they share a cell, and a null id hashes
-as an empty string; topics of equally many stems go by their order; extra columns stay; an empty table
-gives none.
+as an empty string; topics of equally many stems go by their order; texts of any length are read whole;
+extra columns stay; an empty table gives none.
 """
 
 from __future__ import annotations

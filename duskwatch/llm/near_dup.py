@@ -30,8 +30,9 @@ Defined cases: a null text is empty; texts without words have no shingles, link
 are kept; rows of one id are one document, linked by any of their texts; rows with a null id are linked
 like others but never represent a group: component_id is the smallest id of the component, null if it has
 none, and then ``kept`` is true for all its rows, which cannot be told apart (drop_near_duplicates keeps
-one of them); where ids reach 2^62, rows with a null id are compared by exact set only; other columns are
-not read; an empty table gives none.
+one of them); where ids reach 2^62, rows with a null id are compared by exact set only; texts of any length
+are read whole, one such text at a time; of equally rare coordinates or shingles the smaller number is posted, which
+changes no result; other columns are not read; an empty table gives none.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ cover every document.  The table of log ratios has one number per bucket.
 
 Everything is built from DataFrame functions, with at most one shuffle of texts.  Defined cases:
 null and empty texts have no words, all counts 0, score 0 and fail the base rules; null or repeated
-ids are rows like others; extra columns are not read; an empty table gives none; without labels the
+ids are rows like others, and equal texts have equal scores; a score at the threshold is kept; texts of any
+length are read whole.  The folds of tokens fit the junk of the tables at hand (capitals, symbols, repeated
+words); without them (``fold``) the threshold wants setting anew; extra columns are not read; an empty table gives none; without labels the
 trusted and raw multinomials differ by smoothing only.
 """
 
