@@ -9,10 +9,11 @@ document's score is the mean log ratio of its n-grams, so length does not matter
 kept if the score reaches a fixed threshold.
 
 Trusted documents are all those labelled good (``trusted_rows`` can bound them, by a hash of the id): their
-ids are broadcast if there are at most ``BROADCAST_IDS``, and joined by a shuffle beyond; corpus counts
-cover every document.  The table of log ratios has one number per bucket.
+ids are broadcast if there are at most ``BROADCAST_IDS``.  Beyond that a blocked Bloom filter of the ids is broadcast
+(at most 32 MB of bits, whatever their number), and only the texts that it lets pass are shuffled for an exact
+join; corpus counts cover every document and never need a join then.  The table of log ratios has one number per bucket.
 
-Everything is built from DataFrame functions, with at most one shuffle of texts.  Defined cases:
+Everything is built from DataFrame functions, with at most one shuffle of texts, of trusted ones and few others.  Defined cases:
 null and empty texts have no words, all counts 0, score 0 and fail the base rules; null or repeated
 ids are rows like others, and equal texts have equal scores; a score at the threshold is kept; texts of any
 length are read whole.  The folds of tokens fit the junk of the tables at hand (capitals, symbols, repeated
@@ -29,10 +30,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskwatch.llm.common import table
+from duskwatch.llm.url_filters import BROADCAST_BLOCKS, blocks_for, bloom_filter, with_possible
 
 BUCKETS = 1 << 14
 MIN_SCORE = -0.5
-#: So many trusted ids at most are broadcast (8 MB); more are joined by a shuffle of texts.
+#: So many trusted ids at most are broadcast (8 MB).
 BROADCAST_IDS = 1_000_000
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -109,19 +111,30 @@ def trusted_ids(labels: DataFrame, rows: int | None = None) -> DataFrame:
     return good.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < int(span * min(1.0, rows / max(good.count(), 1))))
 
 
+def _grams(rows: DataFrame, n: int, fold: bool) -> DataFrame:
+    """``bucket`` of each n-gram of ``text``, beside the other columns."""
+    own = [c for c in rows.columns if c != "text"]
+    marked = rows.select(*own, tokens("text", fold).alias("t"))
+    neighbours = marked.select(*own, F.inline(F.arrays_zip(F.col("t").alias("x"), _but_first("t").alias("y"))))
+    grams = neighbours.select(*own, F.explode(F.array(_single(F.col("x"), n), F.when(F.col("y").isNotNull(), _pair(F.col("x"), F.col("y"), n)))).alias("bucket"))
+    return grams.where("bucket is not null")
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = BUCKETS, fold: bool = True) -> list[float]:
     """The log ratio trusted : raw of every bucket; n numbers, whatever the corpus."""
-    marked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    if trusted.count() <= BROADCAST_IDS:
-        marked = marked.join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    number = trusted.count()
+    if number <= BROADCAST_IDS:
+        marked = rows.join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left").select("good", "text")
+        counts = _grams(marked, n, fold).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good"))
     else:
-        # Rows without an id are dealt by their text, so that they do not meet in one task.
-        marked = marked.withColumn("_deal", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0))
-        marked = marked.join(trusted.select("doc_id", F.lit(0).cast("long").alias("_deal"), F.lit(1).alias("good")).hint("merge"), ["doc_id", "_deal"], "left")
-    marked = marked.select("good", tokens("text", fold).alias("t"))
-    neighbours = marked.select("good", F.inline(F.arrays_zip(F.col("t").alias("x"), _but_first("t").alias("y"))))
-    grams = neighbours.select("good", F.explode(F.array(_single(F.col("x"), n), F.when(F.col("y").isNotNull(), _pair(F.col("x"), F.col("y"), n)))).alias("bucket"))
-    counts = grams.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good"))
+        # Raw counts need no ids; of the texts only those go through a shuffle whose id the filter does not rule out.
+        ids = trusted.select(F.col("doc_id").cast(rows.schema["doc_id"].dataType).alias("doc_id"))
+        blocks = min(blocks_for(number), BROADCAST_BLOCKS)
+        likely = with_possible(rows, "doc_id", bloom_filter(ids, "doc_id", blocks), blocks).where("possible").select("doc_id", "text")
+        good = likely.join(ids.hint("merge"), "doc_id", "left_semi").select("text")
+        counted = [_grams(df, n, fold).groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).select("bucket", *[(F.col("c") if name == own else F.lit(0)).alias(name) for name in ("raw", "good")]) for own, df in (("raw", rows.select("text")), ("good", good))]
+        counts = counted[0].unionByName(counted[1]).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
     raw, good = [0] * n, [0] * n
     for r in counts.collect():  # one row for each bucket
         raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]

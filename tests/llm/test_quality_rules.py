@@ -87,3 +87,14 @@ def test_both_ways_of_finding_trusted_documents_agree(spark, docs_of, monkeypatc
     few = q.log_ratios(docs, trusted)
     monkeypatch.setattr(q, "BROADCAST_IDS", 3)
     assert q.log_ratios(docs, trusted) == few
+    assert q.log_ratios(docs, trusted.selectExpr("cast(doc_id as int) as doc_id")) == few
+    monkeypatch.setattr(q, "BROADCAST_BLOCKS", 1)  # a filter that rules out little
+    assert q.log_ratios(docs, trusted) == few
+
+
+def test_only_texts_that_may_be_trusted_are_shuffled(spark, monkeypatch):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('text of ', id) as text")
+    trusted = spark.range(0, 20_000, 100).withColumnRenamed("id", "doc_id")
+    blocks = q.blocks_for(200)
+    passed = q.with_possible(docs, "doc_id", q.bloom_filter(trusted, "doc_id", blocks), blocks).where("possible")
+    assert 200 <= passed.count() < 300 and passed.join(trusted, "doc_id").count() == 200
