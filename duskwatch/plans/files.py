@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +28,10 @@ def folder(spark: SparkSession, name: str) -> str:
     if not base:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="spark-logs-"))
+        if "dir" not in _local:
+            _local["dir"] = "file://" + (made := tempfile.mkdtemp(prefix="spark-logs-"))
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+        base = _local["dir"]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import net
 from duskwatch.functions import payload as pl
-from duskwatch.operators import enrich, reports, stats
+from duskwatch.operators import enrich, reaction, reports, stats
 from duskwatch.plans import busy, derived, files, queries
 from duskwatch.plans.queries import query
 from duskwatch.sources import folders, logs, sinks
-from duskwatch.sources import schemas as S
+from duskwatch.streaming.hourlog import HourLog
 
 W = derived.BUSY_WITH
 _IP = lambda c: f"concat_ws('.', {c} // 16777216, {c} // 65536 % 256, {c} // 256 % 256, {c} % 256)"
@@ -269,3 +269,32 @@ def prediction_intervals(spark, d):
     fit = stats.fit_by(li.unionByName(flat), ["k"], "x", "y", x0=4.0, t=3.18)
     places = {"best_m": 4, "best_b": 3, "sse": 0, "low": 2, "high": 2}
     return fit.select("k", "n", *[F.round(c, k).alias(c) for c, k in places.items()])
+
+
+@query("reputation_of_sources", W + """, c AS (SELECT saddr, count(*) AS n, count(DISTINCT daddr) AS targets FROM packets GROUP BY 1), r AS (SELECT saddr, CASE WHEN n > 40 THEN 'malicious' WHEN targets > 1 THEN 'unknown' ELSE 'benign' END AS classification, targets > 3 AS spoofable FROM c WHERE saddr % 5 <> 2)
+  SELECT userid, coalesce(classification, 'no result') AS classification, coalesce(CAST(spoofable AS VARCHAR), 'no result') AS spoofable FROM packets LEFT JOIN r USING (saddr)""")
+def reputation_of_sources(spark, d):
+    """Packets with the reputation of their source in a snapshot made from what sources did; some have none."""
+    p = derived.busy_packets(spark, d)
+    seen = p.groupBy(F.col("saddr").alias("ip")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("daddr").alias("targets")).where("ip % 5 <> 2")
+    kind = F.when(F.col("n") > 40, "malicious").when(F.col("targets") > 1, "unknown").otherwise("benign")
+    return enrich.add_reputation(p, "saddr", seen.select("ip", kind.alias("classification"), (F.col("targets") > 3).alias("spoofable"))).select("userid", "classification", "spoofable")
+
+
+@query("counter_changes", "SELECT event_id, event_id * 7919 % 1000 - coalesce(lag(event_id * 7919 % 1000) OVER w, 0) AS a_delta, length(event_type) - coalesce(lag(length(event_type)) OVER w, 0) AS b_delta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def counter_changes(spark, d):
+    """Changes of two counters that also fall, by user."""
+    e = derived.read(spark, d, "events").select("event_id", "user_id", (F.col("event_id") * 7919 % 1000).alias("a"), F.length("event_type").cast("long").alias("b"))
+    return reaction.counter_deltas(e, ["user_id"], "event_id", ["a", "b"]).select("event_id", "a_delta", "b_delta")
+
+
+@query("closed_hours", derived.WITH + f", p AS (SELECT userid, {files._TWO_DAYS} + ts_ms % 172800000 AS ts_ms, event_id % 3 AS b FROM packets), k AS (SELECT *, ts_ms // 3600000 AS h, max(ts_ms // 3600000) OVER (ORDER BY b RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS newest FROM p) SELECT h * 3600000 AS log_hour_ms, count(*) AS n, CAST(sum(userid) AS BIGINT) AS ids FROM k WHERE h >= newest - 1 GROUP BY 1")
+def closed_hours(spark, d):
+    """An hour log that takes three micro-batches; what is older than the two open hours is rejected, then all are closed."""
+    p = derived.packets(spark, d)
+    p = p.withColumns({"ts_ms": F.lit(files._TWO_DAYS) + F.col("ts_ms") % 172_800_000, "window_size": F.lit(1), "probed": F.col("method").isNotNull(), "num_probes": F.lit(1)})
+    log = HourLog(spark, files.folder(spark, "hours"))
+    for number in range(3):
+        log.write(p.where(F.col("event_id") % 3 == number), number)
+    log.close()
+    return logs.read_packets(spark, log.path)[0].groupBy("log_hour_ms").agg(F.count(F.lit(1)).alias("n"), F.sum("userid").alias("ids"))
