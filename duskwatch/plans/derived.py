@@ -50,6 +50,9 @@ _CONF = "SELECT userid, method, daddr AS saddr, saddr AS daddr, dport AS sport,
 #: Common table expressions for DuckDB: ev, packets, conf.
 WITH = "WITH packets AS (" + _packets_sql("SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS t0 FROM events") + f"), conf AS ({_CONF})"
 
+#: Start of two days that queries over ranges and hours spread the packets over.
+TWO_DAYS = 1_700_006_400_000
+
 
 #: A contended hour over few addresses, with all protocols: (script, step, kind, offset, number, proto, syn, ack, rst, fin).
 BUSY = (

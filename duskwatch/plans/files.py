@@ -54,8 +54,8 @@ def packet_log(spark, d):
     return good.select(*LOG)
 
 
-#: Two days of packets, from an hour's start; the query reads three hours from their tenth.
-_TWO_DAYS = 1_700_006_400_000
+#: The query reads three hours from the tenth on.
+_TWO_DAYS = derived.TWO_DAYS
 _RANGE = (_TWO_DAYS + 10 * 3_600_000 + 1, _TWO_DAYS + 13 * 3_600_000)
 
 

@@ -288,11 +288,11 @@ def counter_changes(spark, d):
     return reaction.counter_deltas(e, ["user_id"], "event_id", ["a", "b"]).select("event_id", "a_delta", "b_delta")
 
 
-@query("closed_hours", derived.WITH + f", p AS (SELECT userid, {files._TWO_DAYS} + ts_ms % 172800000 AS ts_ms, event_id % 3 AS b FROM packets), k AS (SELECT *, ts_ms // 3600000 AS h, max(ts_ms // 3600000) OVER (ORDER BY b RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS newest FROM p) SELECT h * 3600000 AS log_hour_ms, count(*) AS n, CAST(sum(userid) AS BIGINT) AS ids FROM k WHERE h >= newest - 1 GROUP BY 1")
+@query("closed_hours", derived.WITH + f", p AS (SELECT userid, {derived.TWO_DAYS} + ts_ms % 172800000 AS ts_ms, event_id % 3 AS b FROM packets), k AS (SELECT *, ts_ms // 3600000 AS h, max(ts_ms // 3600000) OVER (ORDER BY b RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS newest FROM p) SELECT h * 3600000 AS log_hour_ms, count(*) AS n, CAST(sum(userid) AS BIGINT) AS ids FROM k WHERE h >= newest - 1 GROUP BY 1")
 def closed_hours(spark, d):
     """An hour log that takes three micro-batches; what is older than the two open hours is rejected, then all are closed."""
     p = derived.packets(spark, d)
-    p = p.withColumns({"ts_ms": F.lit(files._TWO_DAYS) + F.col("ts_ms") % 172_800_000, "window_size": F.lit(1), "probed": F.col("method").isNotNull(), "num_probes": F.lit(1)})
+    p = p.withColumns({"ts_ms": F.lit(derived.TWO_DAYS) + F.col("ts_ms") % 172_800_000, "window_size": F.lit(1), "probed": F.col("method").isNotNull(), "num_probes": F.lit(1)})
     log = HourLog(spark, files.folder(spark, "hours"))
     for number in range(3):
         log.write(p.where(F.col("event_id") % 3 == number), number)
