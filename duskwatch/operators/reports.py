@@ -164,10 +164,10 @@ def activity(downloads: DataFrame) -> DataFrame:
     return downloads.groupBy(name, F.date_format(F.timestamp_millis("ts_ms"), "yyyy.MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def throttle(df: DataFrame, key: str, ts: str = "ts_ms", every_ms: int = 3_600_000) -> DataFrame:
+def throttle(df: DataFrame, key: str, ts: str = "ts_ms", every_ms: int = 3_600_000, ties: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``attempted``: at least ``every_ms`` since the key's last attempt (not sighting).
 
-    One pass over a key's rows in order keeps one number, the time of its last attempt.
+    Rows of one time stand in the order of the ``ties`` columns. One pass over a key's rows in order keeps one number, the time of its last attempt.
     """
 
     def fold():
@@ -182,7 +182,7 @@ def throttle(df: DataFrame, key: str, ts: str = "ts_ms", every_ms: int = 3_600_0
 
         return step
 
-    tried = flag_in_order(df, [key], [ts], "attempted", fold)
+    tried = flag_in_order(df, [key], [ts, *ties], "attempted", fold)
     return tried.withColumn("attempted", F.col("attempted") & F.col(key).isNotNull())
 
 
