@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskwatch.functions.net import bounds
@@ -36,9 +36,11 @@ def tag_known_scanners(df: DataFrame, ip: str, lists: DataFrame | None = None, s
     return found.withColumn("project", F.coalesce("project", F.lit("unknown")))
 
 
-def longest_prefix(ips: DataFrame, ip: str, prefixes: DataFrame) -> DataFrame:
+def longest_prefix(ips: DataFrame, ip: str, prefixes: DataFrame, every: bool = False) -> DataFrame:
     """``ip`` and the columns of the longest prefix (``lo, len, ..``) that holds it, for each distinct address.
 
+    Where the table holds that prefix several times, one of its rows counts, or with ``every`` each gives a row.
+
     An address is compared by equality only: once for each length that prefixes of its first octet have, cut to that
     length.  No range join, and each address is looked up once however often it occurs; those whose octet
     has no prefix go at once.  The octets' lengths are at most 256 rows.
@@ -50,6 +52,8 @@ def longest_prefix(ips: DataFrame, ip: str, prefixes: DataFrame) -> DataFrame:
     cut = cut.withColumn("lo", F.col("ip") - F.pmod("ip", F.expr("shiftleft(1L, 32 - len)")))
     rest = [c for c in prefixes.columns if c not in ("lo", "len")]
     hit = cut.join(prefixes, ["len", "lo"])
+    if every:
+        return hit.withColumn("_place", F.rank().over(Window.partitionBy("ip").orderBy(F.desc("len")))).where("_place = 1").select("ip", "len", "lo", *rest)
     return hit.groupBy("ip").agg(F.max_by(F.struct("len", "lo", *rest), F.col("len")).alias("p")).select("ip", "p.*")
 
 
@@ -61,16 +65,22 @@ def add_asn(df: DataFrame, fields: list[str], table: DataFrame) -> DataFrame:
     return df
 
 
-def add_geo(df: DataFrame, fields: list[str], table: DataFrame, shift: int = 16) -> DataFrame:
+def add_geo(df: DataFrame, fields: list[str], table: DataFrame, shift: int = 16, every: bool = False) -> DataFrame:
     """Adds country, region, continent and city of each field from ranges ``lo, hi, ..``.
 
+    The range that begins last counts. Where several begin there, one of them does, or with ``every`` each gives a row.
+
     Ranges and addresses meet by equality on blocks of 2^``shift`` addresses, then by the bounds.
     """
     names = ("country_code", "region_code", "continent_code", "city")
     blocks = table.select("*", F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright("hi", shift))).alias("_b"))
     for f in fields:
         one = df.select(F.col(f).alias("_ip")).where("_ip is not null").distinct().withColumn("_b", F.shiftright("_ip", shift))
-        found = one.join(blocks, "_b").where("_ip between lo and hi").groupBy("_ip").agg(F.max_by(F.struct(*names), F.col("lo")).alias("_g"))
+        found = one.join(blocks, "_b").where("_ip between lo and hi")
+        if every:
+            found = found.withColumn("_place", F.rank().over(Window.partitionBy("_ip").orderBy(F.desc("lo")))).where("_place = 1").select("_ip", F.struct(*names).alias("_g"))
+        else:
+            found = found.groupBy("_ip").agg(F.max_by(F.struct(*names), F.col("lo")).alias("_g"))
         found = found.select("_ip", *[F.col(f"_g.{n}").alias(f"{f}.{n}") for n in names])
         df = df.join(found, df[f] == found["_ip"], "left").drop("_ip")
     return df
