@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import deque, namedtuple
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ RESULT = "saddr long, daddr long, dport int, ts_ms long, tag string, repeated bo
 COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
 NEEDED = ["saddr", "daddr", "dport", "ts_ms", "step", "sport", "snum", "anum", "ipid", "userid", "kind", "probe_anum", "con_ms", "payload"]
 KEYS = ["saddr", "daddr", "dport"]
+#: Columns with few values in a batch, which its rows share.
+SHARED = {*KEYS, "kind", "payload"}
 REGULAR, IRREGULAR, SECOND, FIRST = range(4)
 
 Packet = namedtuple("Packet", NEEDED)
@@ -104,14 +107,24 @@ class Fold:
         self._due = min((closing(p.syn.ts_ms) for p in (*self.regular, *self.irregular, *self.pairs)), default=None)
 
     def _expect(self, p: Phase) -> None:
+        """One phase stands for itself, since nearly all are alone and a queue of one is larger than the phase."""
         if p.ack is None and p.syn.con_ms is not None:
-            self._expecting[p.role].setdefault((p.syn.sport, p.syn.probe_anum), deque()).append(p)
+            expecting, key = self._expecting[p.role], (p.syn.sport, p.syn.probe_anum)
+            others = expecting.get(key)
+            if others is None:
+                expecting[key] = p
+            elif isinstance(others, Phase):
+                expecting[key] = deque((others, p))
+            else:
+                others.append(p)
 
     def _acknowledge(self, ack: Packet) -> bool:
         """Give an ACK to the first regular SYN that expects it, else an irregular one, else a second phase."""
         for role, expecting in enumerate(self._expecting):
             queue = expecting.get((ack.sport, ack.snum), ())
-            while queue and (queue[0].ack is not None or queue[0].role != role):
+            if isinstance(queue, Phase):
+                queue = (queue,)
+            while isinstance(queue, deque) and queue and (queue[0].ack is not None or queue[0].role != role):
                 queue.popleft()
             for p in queue:
                 if p.ack is None and p.role == role and ack.ts_ms < closing(p.syn.ts_ms):
@@ -148,35 +161,37 @@ class Fold:
 
     def close(self, before: int | None) -> list[tuple]:
         """Events whose first SYN's hour is closed at ``before`` (None: all)."""
+        return list(self.closed(before))
+
+    def closed(self, before: int | None) -> Iterator[tuple]:
+        """As :meth:`close`, one by one; to be taken to the end."""
         if self._due is None or (before is not None and before < self._due):
             while self.waiting and before is not None and before >= closing(self.waiting[0][1].ts_ms):
                 self.waiting.popleft()
-            return []
+            return
         gone = lambda p: before is None or before >= closing(p.syn.ts_ms)
         self.waiting = deque((k, a) for k, a in self.waiting if not self._acknowledge(a) and before is not None and before < closing(a.ts_ms))
         # SYNs of a second phase that came just before the first one.
-        free = Free(self.timeout, [p for p in self.irregular if p.role == IRREGULAR])
+        self._free = free = Free(self.timeout, (p for p in self.irregular if p.role == IRREGULAR))
         for phase in self.regular:
             if gone(phase) and (first := free.first(phase.syn)) is not None:
                 self._join(first, phase)
         pairs = Free(self.timeout, self.pairs, FIRST)
 
-        out = []
         for p in self.regular:
             if p.role == REGULAR and gone(p):
                 first = pairs.first(p.syn) if p.ack is not None else None
-                out.append(_row("rsyn (acked)" if p.ack is not None else "rsyn", None, p, first))
+                yield _row("rsyn (acked)" if p.ack is not None else "rsyn", None, p, first)
         for p in self.pairs:
             if gone(p):
-                out.append(_row("two-phase" if p.second.ack is not None else "two-phase (no ack)", p, p.second))
+                yield _row("two-phase" if p.second.ack is not None else "two-phase (no ack)", p, p.second)
         for p in self.irregular:
             if p.role == IRREGULAR and gone(p):
-                out.append(_row("isyn (acked)" if p.ack is not None else "isyn", p, None))
+                yield _row("isyn (acked)" if p.ack is not None else "isyn", p, None)
         self.regular = [p for p in self.regular if p.role == REGULAR and not gone(p)]
         self.pairs = [p for p in self.pairs if not gone(p)]
         self.irregular = [p for p in self.irregular if p.role == IRREGULAR and not gone(p)]
         self._index()
-        return out
 
     @property
     def due(self) -> int | None:
@@ -249,19 +264,31 @@ def assemble_handshakes(packets: DataFrame, phase_timeout: int = 600) -> DataFra
             finished, waiting = _of_one_kind(batch)
             yield finished
             out = []
-            for row in map(Packet._make, zip(*[waiting.column(c).to_pylist() for c in NEEDED])):
+            for row in map(Packet._make, zip(*[_shared(waiting.column(c)) if c in SHARED else waiting.column(c).to_pylist() for c in NEEDED])):
                 if row[:3] != key:
-                    out += fold.close(None)
+                    yield from map(_batch, _pieces(fold.closed(None)))
                     key, fold = row[:3], Fold(phase_timeout)
-                out += fold.close(row.ts_ms)
+                out += fold.closed(row.ts_ms)
                 fold.add(row)
             yield _batch(out)
-        yield _batch(fold.close(None))
+        yield from map(_batch, _pieces(fold.closed(None)))
 
     n = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return events_of(packets).repartition(n, *KEYS).sortWithinPartitions(*KEYS, "ts_ms", "step").mapInArrow(walk, RESULT)
 
 
+def _shared(column: pa.Array) -> list:
+    """The values of a column, equal ones as one object."""
+    coded = column.dictionary_encode()
+    values = coded.dictionary.to_pylist()
+    return [None if k is None else values[k] for k in coded.indices.to_pylist()]
+
+
+def _pieces(rows: Iterator[tuple], size: int = 10_000) -> Iterator[list[tuple]]:
+    while piece := list(islice(rows, size)):
+        yield piece
+
+
 def _of_one_kind(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
     """Events of the keys with SYNs of one kind only, and the rows that have to be walked.
 

@@ -34,3 +34,13 @@ def test_what_happens_to_waiting_probes_comes_in_pieces():
         assert len(some) <= 8
         got += some
     assert got == whole.advance(None) and len(got) == 50 * 5 - 1
+
+
+def test_a_phase_that_is_alone_has_no_queue():
+    row = lambda k, kind, sport: Packet(1, 2, 3, 1000 * k, k, sport, k, 0, 54321, k, kind, 7, 1000 * k + 5, "")
+    fold = Fold()
+    for k in range(100):
+        fold.add(row(k, "isyn", k // 99 * 98 + k % 99 if k == 99 else k))
+    assert sum(isinstance(q, deque) for q in fold._expecting[1].values()) <= 1
+    events = fold.closed(None)
+    assert [len(p) for p in _pieces(events, 30)] == [30, 30, 30, 10]
