@@ -83,9 +83,12 @@ def with_events(handshakes: DataFrame, packets: DataFrame) -> DataFrame:
 
 
 def write_handshakes(events: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Events as gzipped JSON lines in one folder per hour, ordered by time within a file."""
+    """Events as gzipped JSON lines in one folder per hour, ordered by time within a file.
+
+    Rows meet by hour before they are written, as in :func:`write_packet_log`.
+    """
     hour = F.date_format(F.timestamp_seconds(F.col("ts")), "yyyyMMdd-HH")
-    events.withColumn("hour", hour).sortWithinPartitions("hour", "ts").write.partitionBy("hour").mode(mode).option("compression", "gzip").json(path)
+    events.withColumn("hour", hour).hint("rebalance", "hour").sortWithinPartitions("hour", "ts").write.partitionBy("hour").mode(mode).option("compression", "gzip").json(path)
 
 
 def kafka_rows(df: DataFrame, key: Column | None = None) -> DataFrame:

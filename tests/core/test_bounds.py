@@ -44,3 +44,10 @@ def test_a_phase_that_is_alone_has_no_queue():
     assert sum(isinstance(q, deque) for q in fold._expecting[1].values()) <= 1
     events = fold.closed(None)
     assert [len(p) for p in _pieces(events, 30)] == [30, 30, 30, 10]
+
+
+def test_an_hour_of_events_is_one_file(spark, tmp_path):
+    rows = spark.range(400, numPartitions=4).select((F.col("id") % 10 * 3600).alias("ts"), F.lit("isyn").alias("tag"))
+    sinks.write_handshakes(rows, f"{tmp_path}/events")
+    found = [sum(f.endswith(".json.gz") for f in names) for at, _, names in os.walk(f"{tmp_path}/events") if "hour=" in at]
+    assert found == [1] * 10
