@@ -10,7 +10,7 @@ the open phases, and emits them when their hour has closed.  The same fold serve
 from __future__ import annotations
 
 from collections import deque, namedtuple
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heappop, heappush
 from itertools import islice
 
@@ -26,12 +26,21 @@ RESULT = "saddr long, daddr long, dport int, ts_ms long, tag string, repeated bo
 COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
 NEEDED = ["saddr", "daddr", "dport", "ts_ms", "step", "sport", "snum", "anum", "ipid", "userid", "kind", "probe_anum", "con_ms", "payload"]
 KEYS = ["saddr", "daddr", "dport"]
+#: What :func:`events_of` takes of packets, and matching needs of them before.
+INPUT = [*[c for c in NEEDED if c not in ("kind", "con_ms")], "method", "syn", "ack", "rst", "ttl", "options"]
 #: Columns with few values in a batch, which its rows share.
 SHARED = {*KEYS, "kind", "payload"}
 REGULAR, IRREGULAR, SECOND, FIRST = range(4)
 
 Packet = namedtuple("Packet", NEEDED)
-_ARROW = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]]) for c in RESULT.split(", ")])
+
+
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    return pa.schema([(name, kinds[kind]) for name, kind in map(str.split, ddl.split(", "))])
+
+
+_ARROW = _schema(RESULT)
 
 
 def closing(ts_ms: int) -> int:
@@ -89,8 +98,8 @@ class Free:
 class Fold:
     """State of one key; ``add`` takes rows in order, ``close`` gives finished events."""
 
-    def __init__(self, timeout: int = 600):
-        self.timeout = timeout
+    def __init__(self, timeout: int = 600, row: Callable[..., tuple | None] | None = None):
+        self.timeout, self.row = timeout, row or _row
         self.irregular: list[Phase] = []
         self.regular: list[Phase] = []
         self.pairs: list[Phase] = []
@@ -181,18 +190,22 @@ class Fold:
         for p in self.regular:
             if p.role == REGULAR and gone(p):
                 first = pairs.first(p.syn) if p.ack is not None else None
-                yield _row("rsyn (acked)" if p.ack is not None else "rsyn", None, p, first)
+                yield self.row("rsyn (acked)" if p.ack is not None else "rsyn", None, p, first)
         for p in self.pairs:
             if gone(p):
-                yield _row("two-phase" if p.second.ack is not None else "two-phase (no ack)", p, p.second)
+                yield self.row("two-phase" if p.second.ack is not None else "two-phase (no ack)", p, p.second)
         for p in self.irregular:
             if p.role == IRREGULAR and gone(p):
-                yield _row("isyn (acked)" if p.ack is not None else "isyn", p, None)
+                yield self.row("isyn (acked)" if p.ack is not None else "isyn", p, None)
         self.regular = [p for p in self.regular if p.role == REGULAR and not gone(p)]
         self.pairs = [p for p in self.pairs if not gone(p)]
         self.irregular = [p for p in self.irregular if p.role == IRREGULAR and not gone(p)]
         self._index()
 
+    def over(self, before: int) -> bool:
+        """Whether :meth:`closed` has something to do at ``before``."""
+        return (self._due is not None and before >= self._due) or (bool(self.waiting) and before >= closing(self.waiting[0][1].ts_ms))
+
     @property
     def due(self) -> int | None:
         """When the next phase or waiting ACK is over; None if there is none."""
@@ -258,23 +271,40 @@ def assemble_handshakes(packets: DataFrame, phase_timeout: int = 600) -> DataFra
     the userid of that event's first SYN.
     """
 
+    return _dealt(packets).mapInArrow(_walker(phase_timeout), RESULT)
+
+
+def _walker(timeout: int, row: Callable[..., tuple | None] | None = None, schema: pa.Schema = _ARROW) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Walks rows that are sorted by key and time; with ``row``, what it makes of the contended keys' events only."""
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fold = None, Fold(phase_timeout)
+        batched = lambda rows: _batch(rows, schema)
+        key, fold = None, Fold(timeout, row)
         for batch in batches:
-            finished, waiting = _of_one_kind(batch)
-            yield finished
+            finished, waiting = _apart(batch, timeout)
+            if row is None:
+                yield finished
             out = []
-            for row in map(Packet._make, zip(*[_shared(waiting.column(c)) if c in SHARED else waiting.column(c).to_pylist() for c in NEEDED])):
-                if row[:3] != key:
-                    yield from map(_batch, _pieces(fold.closed(None)))
-                    key, fold = row[:3], Fold(phase_timeout)
-                out += fold.closed(row.ts_ms)
-                fold.add(row)
-            yield _batch(out)
-        yield from map(_batch, _pieces(fold.closed(None)))
+            for packet in _packets(waiting):
+                if packet[:3] != key:
+                    yield from map(batched, _pieces(filter(None, fold.closed(None))))
+                    key, fold = packet[:3], Fold(timeout, row)
+                if fold.over(packet.ts_ms):
+                    out += filter(None, fold.closed(packet.ts_ms))
+                fold.add(packet)
+            yield batched(out)
+        yield from map(batched, _pieces(filter(None, fold.closed(None))))
+
+    return walk
 
+
+def _dealt(packets: DataFrame) -> DataFrame:
     n = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return events_of(packets).repartition(n, *KEYS).sortWithinPartitions(*KEYS, "ts_ms", "step").mapInArrow(walk, RESULT)
+    return events_of(packets).repartition(n, *KEYS).sortWithinPartitions(*KEYS, "ts_ms", "step")
+
+
+def _packets(batch: pa.RecordBatch) -> Iterator[Packet]:
+    return map(Packet._make, zip(*[_shared(batch.column(c)) if c in SHARED else batch.column(c).to_pylist() for c in NEEDED]))
 
 
 def _shared(column: pa.Array) -> list:
@@ -289,35 +319,83 @@ def _pieces(rows: Iterator[tuple], size: int = 10_000) -> Iterator[list[tuple]]:
         yield piece
 
 
-def _of_one_kind(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
-    """Events of the keys with SYNs of one kind only, and the rows that have to be walked.
+def _apart(batch: pa.RecordBatch, timeout: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """Events of the keys whose phases cannot contend, and the rows that have to be walked.
 
-    The batch is sorted by key.  Its first and last key may go on in other batches and are walked; keys with
-    nothing but ACKs give no event.
+    These are keys with SYNs of one kind and no ACK, and keys with at most one SYN of each kind (that expect different
+    ACKs) whose rows all come before the first hour closes.  The batch is sorted by key and time.  Its first and last
+    key may go on in other batches and are walked; keys with nothing but ACKs give no event.
     """
-    if not batch.num_rows:
+    size = batch.num_rows
+    if not size:
         return _batch([]), batch
-    new = np.ones(batch.num_rows, bool)
-    new[1:] = np.logical_or.reduce([(c[1:] != c[:-1]) for c in (batch.column(k).fill_null(-1).to_numpy() for k in KEYS)])
+    number = lambda c: batch.column(c).fill_null(-1).to_numpy()
+    new = np.ones(size, bool)
+    new[1:] = np.logical_or.reduce([(c[1:] != c[:-1]) for c in map(number, KEYS)])
     starts, own = np.flatnonzero(new), np.cumsum(new) - 1
     first, ack = (pc.equal(batch.column("kind"), k).to_numpy(zero_copy_only=False) for k in ("isyn", "ack"))
-    code = np.where(ack, 0, np.where(first, 1, 2))
-    alike = np.minimum.reduceat(code, starts) == np.maximum.reduceat(code, starts)
-    alike[[0, -1]] = False
-    done = alike[own]
-    rows, first = batch.filter(pa.array(done & ~ack)), pa.array(first[done & ~ack])
-    null = lambda kind: pa.nulls(rows.num_rows, kind)
-    of = lambda condition, name: pc.if_else(condition, rows.column(name), None)
+    second, place = ~(first | ack), np.arange(size)
+    times, con = number("ts_ms"), np.where(pc.is_null(batch.column("con_ms")).to_numpy(zero_copy_only=False), np.iinfo(np.int64).max, number("con_ms"))
+    n_first, n_second, n_ack = (np.add.reduceat(x.astype(np.int64), starts) for x in (first, second, ack))
+    ends = np.append(starts[1:], size) - 1
+
+    # Of a key with at most one SYN of a kind: its place, or -1; and the ACK it gets: the first that comes after it, else the first before.
+    at = [np.maximum.reduceat(np.where(x, place, -1), starts) for x in (first, second)]
+    sport, snum, expected = number("sport"), number("snum"), number("probe_anum")
+    answered = []
+    for syn in (x[own] for x in at):
+        fits = ack & (syn >= 0) & (sport == sport[syn]) & (snum == expected[syn]) & (con[syn] < np.iinfo(np.int64).max)
+        turn = np.minimum.reduceat(np.where(fits, np.where(place > syn, place, place + size), 2 * size), starts)
+        answered.append(np.where(turn < 2 * size, turn % size, -1))
+    i, r = at
+    both = (i >= 0) & (r >= 0)
+    apart = (n_first <= 1) & (n_second <= 1) & (times[ends] < closing(times[starts])) & ~(both & (sport[i] == sport[r]) & (expected[i] == expected[r]))
+    done = apart | ((n_ack == 0) & ((n_first == 0) | (n_second == 0))) | (n_first + n_second == 0)
+    done[[0, -1]] = False
+    begun = con[i] // 1000
+    late = times[r] // 1000 - begun
+    paired = apart & both & (con[i] < np.iinfo(np.int64).max) & (late >= -1) & (late < timeout)
+
+    # An event for each SYN that is done; a pair's is that of its first phase.
+    rows = np.flatnonzero(done[own] & ~ack & ~(second & paired[own]))
+    key, none = own[rows], np.full(len(rows), -1)
+    alone = apart[key]
+    is_first = first[rows]
+    isyn, rsyn = np.where(is_first, rows, none), np.where(is_first, np.where(paired[key], r[key], -1), rows)
+    iack = np.where(alone & is_first & ~paired[key], answered[0][key], -1)
+    rack = np.where(alone & (rsyn >= 0), answered[1][key], -1)
+    taken = lambda name, places: batch.column(name).take(pa.array(places, mask=places < 0))
+    names = np.array(["isyn", "isyn (acked)", "rsyn", "rsyn (acked)", "two-phase (no ack)", "two-phase"], object)
+    tag = np.where(isyn >= 0, np.where(rsyn >= 0, 4, 0), 2) + ((iack >= 0) | (rack >= 0))
     known = {
-        **{c: rows.column(c) for c in (*KEYS, "ts_ms")}, "tag": rows.column("kind"), "repeated": pa.array(np.zeros(rows.num_rows, bool)),
-        "isyn": of(first, "userid"), "rsyn": of(pc.invert(first), "userid"), "isyn_ipid": of(first, "ipid"), "isyn_snum": of(first, "snum"),
+        **{c: taken(c, rows) for c in (*KEYS, "ts_ms")}, "tag": pa.array(names[tag], pa.string()), "repeated": pa.array(np.zeros(len(rows), bool)),
+        **{n: taken("userid", x) for n, x in (("isyn", isyn), ("iack", iack), ("rsyn", rsyn), ("rack", rack))}, "isyn_ipid": taken("ipid", isyn), "isyn_snum": taken("snum", isyn),
+        "rack_sport": taken("sport", rack), "rack_snum": taken("snum", rack), "rack_payload": taken("payload", rack), "iack_payload": taken("payload", iack),
     }
-    return pa.RecordBatch.from_arrays([known[f.name].cast(f.type) if f.name in known else null(f.type) for f in _ARROW], schema=_ARROW), batch.filter(pa.array(~done))
+    columns = [known[f.name].cast(f.type) if f.name in known else pa.nulls(len(rows), f.type) for f in _ARROW]
+    return pa.RecordBatch.from_arrays(columns, schema=_ARROW), batch.filter(pa.array(~done[own]))
+
+
+def _batch(rows: list[tuple], schema: pa.Schema = _ARROW) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+NAMED = "rsyn long, first_s long, sport long, ipid long, anum long"
+_NAMED = _schema(NAMED)
+
+
+def _named(tag: str, first: Phase | None, second: Phase | None, repeats: Phase | None = None) -> tuple | None:
+    if repeats is not None:
+        s = repeats.syn
+        return second.syn.userid, s.ts_ms // 1000, s.sport, s.ipid, s.anum
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else [()] * len(COLUMNS)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+def named_repeats(packets: DataFrame, phase_timeout: int = 600) -> DataFrame:
+    """As :func:`repeat_identities` of the handshakes of these packets: the walk itself names the events, without a join."""
+    named = _dealt(packets).mapInArrow(_walker(phase_timeout, _named, _NAMED), NAMED)
+    named = named.withColumns({c: F.col(c).cast(packets.schema[of].dataType) for c, of in (("rsyn", "userid"), ("sport", "sport"), ("ipid", "ipid"), ("anum", "anum"))})
+    return named.withColumn("ident", F.xxhash64("first_s", "sport", "ipid", "anum"))
 
 
 def repeat_identities(handshakes: DataFrame, packets: DataFrame) -> DataFrame:

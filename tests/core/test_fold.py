@@ -5,6 +5,7 @@ import time
 
 import pytest
 
+from duskwatch.operators import handshakes
 from duskwatch.operators.handshakes import COLUMNS, Fold, Packet, assemble_handshakes
 from tests.core import plain_fold
 
@@ -72,3 +73,29 @@ def test_keys_with_one_kind_take_the_same_rows(spark):
             rows.append(tuple(d[c.split()[0]] for c in SCHEMA.split(", ")))
     got = assemble_handshakes(spark.createDataFrame(rows, SCHEMA)).select(*COLUMNS).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_keys_whose_phases_cannot_contend_are_not_walked():
+    """Keys with at most one SYN of each kind, in all orders and at all times, in one batch."""
+    rng = random.Random(5)
+    rows, want, tags = [], [], set()
+    for key in range(3000):
+        kinds = rng.sample(("isyn", "rsyn"), rng.choice((1, 1, 2))) + ["ack"] * rng.choice((0, 1, 1, 2, 3))
+        rng.shuffle(kinds)
+        span = rng.choice((3000, 700_000, HOUR, 3 * HOUR))
+        own = []
+        for k, ts in enumerate(sorted(rng.randrange(span) for _ in kinds)):
+            kind, number = kinds[k], rng.randrange(3)
+            con = None if kind == "ack" or rng.random() < 0.1 else ts + rng.choice((5, 900, 1500, 4000, 200_000, -900))
+            own.append(Packet(key, 2, 80, ts, k, rng.randrange(2), number + 1, 0, k % 7, key * 10 + k, kind, number + 1 if kind != "ack" else 0, con, f"{k:02x}"))
+        rows += own
+        if 0 < key < 2999:
+            found = walked(plain_fold.Fold(), own)
+            want += found
+            tags |= {r[4] for r in found}
+    batch = handshakes.pa.RecordBatch.from_arrays([handshakes.pa.array(c) for c in zip(*rows)], handshakes.NEEDED)
+    finished, waiting = handshakes._apart(batch, 600)
+    keys = set(waiting.column("saddr").to_pylist())
+    got = [tuple(r.values()) for r in finished.to_pylist()]
+    assert sorted(map(repr, got)) == sorted(repr(r) for r in want if r[0] not in keys)
+    assert len(tags) == 6 and len(keys) < 900
