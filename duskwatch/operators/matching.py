@@ -61,21 +61,23 @@ def match_confirmations(packets: DataFrame, confs: DataFrame, timeout_ms: int =
     order of arrival (``ts_ms``, ``step``).  Probed packets without one are left out, and those with a
     null among these columns have none.
 
-    Packets and confirmations are shuffled once, by the six columns.  Where a key has one of each, a
-    window sees it; other keys are walked in the order of time, which keeps what is within reach.
+    Packets and confirmations meet by the six columns.  Where a key has one packet, which is nearly always so,
+    a window sees its first confirmation; keys with more packets, and those whose first confirmation came too
+    early to be the packet's, are walked in the order of time, which keeps what is within reach.
     """
-    probed = packets.where(" and ".join(f"{c} is not null" for c in (*PAIR, "ts_ms")))
-    row = F.struct(*[F.col(c) for c in packets.columns])
-    p = probed.select(*PAIR, "ts_ms", "step", row.alias("packet"))
-    turned = {"saddr": "daddr", "daddr": "saddr", "sport": "dport", "dport": "sport"}
-    c = confs.where("ts_ms is not null").select(*[F.col(turned.get(n, n)).cast(packets.schema[n].dataType).alias(n) for n in PAIR], F.col("ts_ms").cast(packets.schema["ts_ms"].dataType).alias("ts_ms"), F.lit(-1).cast(packets.schema["step"].dataType).alias("step"), F.lit(None).cast(p.schema["packet"].dataType).alias("packet"))
-    n = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = Window.partitionBy(*PAIR).orderBy("ts_ms", "step").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    is_packet = F.col("packet").isNotNull()
-    rows = p.unionByName(c.where(" and ".join(f"{k} is not null" for k in PAIR))).repartition(n, *PAIR)
-    rows = rows.withColumns({"np": F.count_if(is_packet).over(own), "nc": F.count_if(~is_packet).over(own), "c_ts": F.min(F.when(~is_packet, F.col("ts_ms"))).over(own)})
-    single = rows.where((F.col("np") == 1) & (F.col("nc") == 1) & is_packet & (F.abs(F.col("c_ts") - F.col("ts_ms")) <= timeout_ms)).select("packet.*", F.col("c_ts").alias("con_ms"))
-    several = rows.where("np >= 1 and nc >= 1 and np + nc > 2").sortWithinPartitions(*PAIR, "ts_ms", "step").select(*PAIR, "ts_ms", "packet")
+    usable = F.expr("method is null or (" + " and ".join(f"{c} is not null" for c in (*PAIR, "ts_ms")) + ")")
+    flat = [*PAIR, "ts_ms", "step"]
+    rest = [c for c in packets.columns if c not in flat]
+    p = packets.where(usable).select(*flat, F.lit(True).alias("is_packet"), F.struct(*rest).alias("packet"))
+    c = turned(packets, confs).where(" and ".join(f"{k} is not null" for k in (*PAIR, "ts_ms")))
+    rows = p.unionByName(c.select(*PAIR, "ts_ms", F.lit(-1).cast(packets.schema["step"].dataType).alias("step"), F.lit(False).alias("is_packet"), F.lit(None).cast(p.schema["packet"].dataType).alias("packet")))
+    own, is_packet, probed = Window.partitionBy(*PAIR), F.col("is_packet"), F.col("method").isNotNull()
+    rows = rows.withColumns({"np": F.count_if(is_packet).over(own), "p_ts": F.min(F.when(is_packet, F.col("ts_ms"))).over(own), "c_ts": F.min(F.when(~is_packet, F.col("ts_ms"))).over(own)})
+    walked = probed & ((F.col("np") > 1) | (F.col("c_ts") < F.col("p_ts") - timeout_ms))
+    first = F.when(probed, F.col("c_ts"))
+    columns = [F.col(c) if c in flat else F.col("packet")[c].alias(c) for c in packets.columns]
+    single = rows.where(is_packet & (~probed | (~walked & (F.col("c_ts") <= F.col("ts_ms") + timeout_ms)))).select(*columns, first.alias("con_ms"))
+    several = rows.where(walked & F.col("p_ts").isNotNull() & F.col("c_ts").isNotNull()).sortWithinPartitions(*flat).select(*flat, "is_packet", "packet")
     schema = T.StructType([*packets.schema.fields, T.StructField("con_ms", packets.schema["ts_ms"].dataType)])
     names = [f.name for f in schema]
 
@@ -83,19 +85,34 @@ def match_confirmations(packets: DataFrame, confs: DataFrame, timeout_ms: int =
         key, step = None, None
         for batch in batches:
             found = []
-            packet_type = batch.schema.field("packet").type
-            kinds = [packet_type.field(k).type for k in range(packet_type.num_fields)] + [batch.schema.field("ts_ms").type]
-            own_keys = zip(*[batch.column(k).to_pylist() for k in PAIR])
-            for k, ts, packet in zip(own_keys, batch.column("ts_ms").to_pylist(), batch.column("packet").to_pylist()):
-                if k != key:
-                    key, step = k, first_free(timeout_ms)
-                if (hit := step(ts, packet)) is not None:
+            kind = lambda c: batch.schema.field(c).type if c in flat else batch.schema.field("packet").type.field(c).type
+            kinds = [*map(kind, names[:-1]), kind("ts_ms")]
+            for values, here, packet in zip(zip(*[batch.column(c).to_pylist() for c in flat]), batch.column("is_packet").to_pylist(), batch.column("packet").to_pylist()):
+                if values[: len(PAIR)] != key:
+                    key, step = values[: len(PAIR)], first_free(timeout_ms)
+                if (hit := step(values[len(PAIR)], {**packet, **dict(zip(flat, values))} if here else None)) is not None:
                     found.append((*[hit[0][name] for name in names[:-1]], hit[1]))
-            columns = zip(*found) if found else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], names)
+            values = zip(*found) if found else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(values, kinds)], names)
+
+    return single.unionByName(several.mapInArrow(walk, schema))
+
+
+def turned(packets: DataFrame, confs: DataFrame) -> DataFrame:
+    """Confirmations as seen by the packets they answer: their PAIR columns and ``ts_ms``, in the packets' types."""
+    swap = {"saddr": "daddr", "daddr": "saddr", "sport": "dport", "dport": "sport"}
+    return confs.select(*[F.col(swap.get(n, n)).cast(packets.schema[n].dataType).alias(n) for n in PAIR], F.col("ts_ms").cast(packets.schema["ts_ms"].dataType).alias("ts_ms"))
 
-    unprobed = packets.where("method is null").withColumn("con_ms", F.lit(None).cast(packets.schema["ts_ms"].dataType))
-    return unprobed.unionByName(single).unionByName(several.mapInArrow(walk, schema))
+
+def confirmed(packets: DataFrame, confs: DataFrame, order: tuple[str, ...] = ("ts_ms",), keys: tuple[str, ...] = ("saddr", "daddr", "dport")) -> DataFrame:
+    """Packets with ``retransmit`` and ``con_ms``, as :func:`flag_retransmits` and :func:`match_confirmations` give them.
+
+    Both deal rows by columns that include ``keys``, so packets and confirmations are shuffled once, by these.
+    """
+    n = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    back = {"saddr": "daddr", "daddr": "saddr", "sport": "dport", "dport": "sport"}
+    dealt = confs.repartition(n, *[F.col(back.get(k, k)).cast(packets.schema[k].dataType) for k in keys])
+    return match_confirmations(flag_retransmits(packets.repartition(n, *keys), order), dealt)
 
 
 def unused_confirmations(packets: DataFrame, confs: DataFrame, timeout_ms: int = 300_000) -> DataFrame:
