@@ -61,24 +61,34 @@ U8, U16, U32 = 255, 65535, 2**32 - 1
 
 
 def typed_packets(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``packet`` (a struct of S.PACKETS) and ``problem``, null where the row is good."""
-    f = repair_udp(F.col("f"))
+    """``lines`` with ``packet`` (a struct of S.PACKETS) and ``problem``, null where the row is good.
+
+    Fields are repaired, cast and checked in projections of their own, and ``problem`` comes out of an ``explode``: Spark
+    would else copy splitting and casts into the condition on it, once a mention.
+    """
+    own = [c for c in lines.columns if c not in ("packet", "problem")]
+    lines = lines.withColumn("_fields", repair_udp(F.col("f")))
+    f = F.col("_fields")
     text = lambda at: F.coalesce(F.get(f, F.lit(at)), F.lit(""))
-    num = lambda at, high, empty=None: _number(f, at, 0, high, empty)
+    address = lambda at: F.when(net.is_ipv4(text(at)), F.aggregate(F.split(text(at), r"\."), F.lit(0).cast("bigint"), lambda v, part: v * 256 + part.try_cast("bigint")))
+    number = lambda at: F.when(text(at) != "", text(at).try_cast("bigint")).otherwise(F.lit(None if at in (0, 3, 4, 19) else 0))
+    lines = lines.select(*own, "_fields", *[address(at).alias(f"_{at}") for at in (1, 2)], *[number(at).alias(f"_{at}") for at in (0, 3, 4, *range(6, 10), *range(12, 17), *range(19, 23))])
+    num = lambda at, high: F.when(F.col(f"_{at}").between(0, high), F.col(f"_{at}"))
     probed = text(17) == "true"
     fields = {
-        "ts_ms": num(0, 2**53), "saddr": net.ip_to_long(text(1)), "daddr": net.ip_to_long(text(2)), "ipid": num(3, U16), "ttl": num(4, U8),
-        "proto": F.when(text(5).isin("tcp", "udp", "icmp"), text(5)), "sport": num(6, U16, 0), "dport": num(7, U16, 0), "anum": num(8, U32, 0), "snum": num(9, U32, 0), "options": text(10), "payload": text(11),
-        **{n: num(12 + k, 1, 0) for k, n in enumerate(("syn", "ack", "rst", "fin"))}, "window_size": num(16, U16, 0), "probed": probed,
-        "method": F.when(probed, text(18)), "userid": F.when(probed, num(19, U32)), "probe_anum": F.when(probed, num(20, U32, 0)), "probe_snum": F.when(probed, num(21, U32, 0)), "num_probes": F.when(probed, num(22, U16, 0)),
+        "ts_ms": num(0, 2**53), "saddr": F.col("_1"), "daddr": F.col("_2"), "ipid": num(3, U16), "ttl": num(4, U8),
+        "proto": F.when(text(5).isin("tcp", "udp", "icmp"), text(5)), "sport": num(6, U16), "dport": num(7, U16), "anum": num(8, U32), "snum": num(9, U32), "options": text(10), "payload": text(11),
+        **{n: num(12 + k, 1) for k, n in enumerate(("syn", "ack", "rst", "fin"))}, "window_size": num(16, U16), "probed": probed,
+        "method": F.when(probed, text(18)), "userid": F.when(probed, num(19, U32)), "probe_anum": F.when(probed, num(20, U32)), "probe_snum": F.when(probed, num(21, U32)), "num_probes": F.when(probed, num(22, U16)),
     }
     kinds = {x.split()[0]: x.split()[1] for x in S.PACKETS.split(", ")}
     wrong = [F.when(fields[n].isNull(), F.lit(n)) for n in ("ts_ms", "saddr", "daddr", "ipid", "ttl", "proto", "sport", "dport", "anum", "snum", "syn", "ack", "rst", "fin", "window_size")]
     wrong.append(F.when(probed & fields["userid"].isNull(), F.lit("userid")))
     size = F.when(F.size(f) != len(S.PACKET_COLUMNS), F.lit("number of fields"))
-    problem = F.coalesce(size, F.nullif(F.concat_ws(",", *wrong), F.lit("")))
+    problem = F.coalesce(size, F.array_join(F.filter(F.array(*wrong), lambda n: n.isNotNull()), ","))
     packet = F.struct(*[c.cast("boolean" if n == "probed" else kinds[n]).alias(n) for n, c in fields.items()])
-    return lines.withColumn("packet", packet).withColumn("problem", problem)
+    typed = lines.select(*own, packet.alias("packet"), problem.alias("_found"))
+    return typed.withColumn("problem", F.explode(F.array("_found"))).withColumn("problem", F.nullif("problem", F.lit(""))).drop("_found")
 
 
 def _under(spark: SparkSession, path: str, pattern: str = "") -> list[str]:

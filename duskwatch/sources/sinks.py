@@ -35,8 +35,11 @@ def write_packet_log(packets: DataFrame, path: str, mode: str = "errorifexists",
     """Packet log in folders date=/hour=, and tag= if given, one header a file, pipes between fields, gzip.
 
     Rows meet by hour before they are written, so an hour is one file or, where it is large, as many as its size
-    asks for; small hours share a task.
+    asks for; small hours share a task.  Spark divides a large hour between the tasks that sent its rows, so rows are
+    dealt out evenly first: packets that come from one task are then made text, sorted and written by many.  A small hour
+    whose rows meet with a large one's is divided with it.
     """
+    packets = packets.hint("rebalance")
     ts = F.timestamp_millis(F.col("ts").cast("bigint"))
     folders = ["date", "hour"] + ([] if tag is None else ["tag"])
     lines = packet_lines(packets) if tag is None else packet_lines(packets, tag=tag)

@@ -42,6 +42,36 @@ def test_packet_log_round_trip(spark, tmp_path):
     assert bad.count() == 0 and sorted(map(tuple, good.drop(*drop).collect())) == sorted(map(tuple, again.drop(*drop).collect()))
 
 
+def test_a_large_hour_of_one_task_is_written_by_several(spark, tmp_path):
+    """The files of an hour follow its size, not the number of tasks that its rows come from."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text("\n".join([HEADER, GOOD, PLAIN, UDP]) + "\n")
+    k = F.col("k")
+    rows = spark.range(0, 60_000, 1, 1).withColumnRenamed("id", "k").crossJoin(F.broadcast(logs.read_packets(spark, str(tmp_path / "in"))[0].where("userid = 9")))
+    packets = rows.withColumns({"ts_ms": H0 + k, "snum": k * 7919, "anum": k * 104_729 % 2**32}).drop("k")
+    sizes = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    for size in sizes:
+        spark.conf.set(size, "100k")
+    try:
+        sinks.write_packet_log(packets, str(tmp_path / "log"))
+    finally:
+        for size in sizes:
+            spark.conf.unset(size)
+    assert [f.name for f in tmp_path.glob("log/date=*/hour=*")] == ["hour=00"] and len(list(tmp_path.glob("log/date=*/hour=*/*.csv.gz"))) > 1
+    good, bad = logs.read_packets(spark, str(tmp_path / "log"))
+    columns = [c for c in good.columns if not c.startswith("log_")]
+    assert bad.count() == 0 and good.count() == 60_000 and good.select(columns).exceptAll(packets.select(columns)).count() == 0
+
+
+def test_a_line_is_split_once(spark, tmp_path):
+    """The condition on the problem holds no copy of the splitting and the casts."""
+    (tmp_path / "a.csv").write_text("\n".join([HEADER, GOOD, PLAIN, UDP, *BAD]) + "\n")
+    good, bad = logs.read_packets(spark, str(tmp_path))
+    for rows, n in ((good, 3), (bad, 3)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(r"split(value#") == 1 and rows.count() == n
+
+
 def scans(df):
     """Files that each scan opens, and the plan."""
     df.collect()
